@@ -1,0 +1,36 @@
+"""Connected components by alternating large and small stars, each round a table in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import store
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    """Every greater neighbour of a node is tied to the node's smallest neighbour (or the node)."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of a node, and the node, is tied to the smallest of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    rest = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node that has an edge and is not itself the smallest of its component."""
+    now = store.keep(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    last = mark(now)
+    while last[0]:
+        now = store.keep(_small(_large(now)), "stars")
+        this = mark(now)
+        if this == last:
+            break
+        last = this
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

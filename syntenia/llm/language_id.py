@@ -19,6 +19,7 @@ alphabetically first language; null langs do not train; other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +84,15 @@ class Profiler:
         return out
 
 
+@lru_cache(maxsize=2)
+def profiler_of(dimensions: int) -> Profiler:
+    """One profiler for each worker process, with the vectors it has bound."""
+    return Profiler(dimensions)
+
+
 def _partial(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler = Profiler(dimensions)
+        profiler = profiler_of(dimensions)
         counts: dict[str, dict[int, int]] = {}
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -119,7 +126,7 @@ def prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "
 
 def _predict(langs: list[str], unit: np.ndarray, dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler = Profiler(dimensions)
+        profiler = profiler_of(dimensions)
         for batch in batches:
             names, scores = [], []
             for text in batch.column(1).to_pylist():

@@ -5,8 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, store, url_filter
+from . import decontaminate, exact_dedup, language_id, mixing, simhash, store, token_counts, url_filter, wavelet
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the package is on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(store.table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(store.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_output(store.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents")
+    held_out = store.fold(F.col("doc_id"), 3) == 1
+    found = language_id.identify(docs, train=~held_out).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(store.table(spark, sf_dir, "documents"), store.table(spark, sf_dir, "benchmark"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +53,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_mixing, op8_url_filter, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_token_output, op5_mixing, op7_language_id, op8_url_filter, op9_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

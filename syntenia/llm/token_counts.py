@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Distinct pre-tokens whose counts a worker remembers; then it forgets all.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Symbols held in one ragged array.
 HELD = 1 << 20
 _NONE = np.int64(1) << 62
@@ -167,9 +168,15 @@ class PieceMerger:
         return [sum(map(known.__getitem__, part)) for part in parts]
 
 
+@lru_cache(maxsize=2)
+def merger_of(model_file: str) -> PieceMerger:
+    """One merger for each worker process, with what it remembers."""
+    return PieceMerger(model_file)
+
+
 def _run(model_file: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = PieceMerger(model_file)
+        merger = merger_of(model_file)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n: list[int] = []
