@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, simhash, store, token_counts, url_filter, wavelet
+from . import decontaminate, exact_dedup, language_id, mixing, simhash, store, token_counts, toxicity, url_filter, wavelet
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(store.table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = store.table(spark, sf_dir, "documents"), store.table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, rows=store.fold(F.col("id"), 3) != 1)
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (store.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = store.table(spark, sf_dir, "documents")
     held_out = store.fold(F.col("doc_id"), 3) == 1
@@ -53,7 +60,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_token_output, op5_mixing, op7_language_id, op8_url_filter, op9_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_token_output, op5_mixing, op6_toxicity, op7_language_id, op8_url_filter, op9_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
