@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, simhash, store, token_counts, toxicity, url_filter, wavelet
+from . import bloom_lm, decontaminate, exact_dedup, language_id, mixing, simhash, store, token_counts, toxicity, url_filter, wavelet
 
 
 def vocabulary(name: str) -> str:
@@ -17,6 +17,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = store.table(spark, sf_dir, "documents")
+    held_out = store.fold(F.col("doc_id"), 5) == 1
+    found = bloom_lm.score(docs, train_rows=~held_out).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(store.table(spark, sf_dir, "documents"))
 
@@ -60,7 +67,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_token_output, op5_mixing, op6_toxicity, op7_language_id, op8_url_filter, op9_exact_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_simhash, op3_token_counts, op4_token_output, op5_mixing, op6_toxicity, op7_language_id, op8_url_filter, op9_exact_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
