@@ -11,13 +11,14 @@ halves the range).  Probabilities interpolate the orders:
 
 (absolute discounting), where T(h) is the number of held n-grams hw and K(h) the occurrences of h
 before one, so what is not held goes to the lower order and probabilities add up to one but for
-the rounding of counts.  B is held like a count.
+the rounding of counts.  B(h) is held as the level of c(h) / B(h).
 
 Plan.  An n-gram is held if it makes up at least 1/2**SHARE of the N tokens, so there are at
 most 2**SHARE of each length, whatever the corpus: that bounds what is broadcast.  Orders
 are counted one after the other over the whole corpus; only n-grams whose parts are held
 can be (their counts are no smaller), so the last order's filter prunes the next, without loss.
-Map tasks send packed arrays of distinct hashes, dealt out by hash.  All words' exact counts stay
+Map tasks send packed arrays of distinct hashes, dealt out by ranges; the tasks that add them
+up also make the filter's segments, so no n-gram reaches the driver, only the filter.  All words' exact counts stay
 in a table; frequent ones are broadcast in a sorted array, the rare ones' share of
 a text's base score comes from a join on their hashes (pre-summed by text), and as no longer
 n-gram can hold a rare word, the model's log-probability there is a sum that the same join completes.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,46 +42,80 @@ from . import store
 from .ragged import chain, lowered, mix, word_runs
 
 ORDER, SHARE, STEP, D = 3, 24, 2**0.25, 0.75
-#: Parts of one in which shares of a type, and B, are counted.
-PARTS, QUARTERS = 1 << 16, 4
+#: Parts of one in which shares of a type are counted.
+PARTS = 1 << 16
 END = np.uint64(0xE7D5C3B1A5F70E4D)
 #: Bits of the filter for each entry; entries of a reduce task.
-ROOM, BUCKET = 16, 1 << 21
-HELD = 1 << 22
+ROOM, BUCKET = 16, 1 << 20
+HELD = 1 << 20
+#: Keys whose entries are set at once.
+CHUNK = 1 << 18
+#: Texts lower-cased at once.
+ROWS = 512
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The segment that a key belongs to: a range of hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def bucket_column(key: str, buckets: int) -> Column:
+    """:func:`bucket_of` in the JVM."""
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("long"), 32).cast("int")
+
+
+def level_of(values: np.ndarray, least: float) -> np.ndarray:
+    c = np.maximum(np.asarray(values, float) / least, 1.0)
+    return 1 + np.floor(np.log(c) / np.log(STEP) + 1e-9).astype(np.int64)
+
+
+def entry(keys: np.ndarray, j: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in its segment (32 bits of a fraction) and which 4 bits of a word stand for (key, j)."""
+    h = mix(keys + np.asarray(j, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    one, six = np.uint64(1), np.uint64(63)
+    mask = (one << (h & six)) | (one << ((h >> np.uint64(6)) & six)) | (one << ((h >> np.uint64(12)) & six)) | (one << ((h >> np.uint64(18)) & six))
+    return h >> np.uint64(32), mask
+
+
+def segment(keys: np.ndarray, values: np.ndarray, least: float) -> tuple[int, np.ndarray]:
+    """The highest level and the words of one segment of the filter."""
+    top, entries = 0, 0
+    for at in range(0, len(keys), CHUNK):
+        level = level_of(values[at : at + CHUNK], least)
+        top, entries = max(top, int(level.max())), entries + int(level.sum())
+    words = np.zeros(max(1, entries * ROOM // 64), np.uint64)
+    for at in range(0, len(keys), CHUNK):
+        key, level = keys[at : at + CHUNK], level_of(values[at : at + CHUNK], least)
+        for j in range(1, int(level.max()) + 1):
+            place, mask = entry(key[level >= j], j)
+            np.bitwise_or.at(words, (place * np.uint64(len(words))) >> np.uint64(32), mask)
+    return top, words
 
 
 class LogBloom:
-    """Quantised counts of 64-bit keys, in one array of 64-bit words; an entry sets 4 bits of one word."""
-
-    def __init__(self, least: float, keys: np.ndarray, counts: np.ndarray):
-        self.least = max(float(least), 1.0)
-        level = self.level(counts)
-        self.top = int(level.max()) if len(level) else 0
-        entries = int(level.sum())
-        self.bits = max(6, (entries * ROOM // 64).bit_length())
-        self.words = np.zeros(1 << self.bits, np.uint64)
-        for j in range(1, self.top + 1):
-            at, mask = self._entry(keys[level >= j], j)
-            np.bitwise_or.at(self.words, at, mask)
-
-    def level(self, counts: np.ndarray) -> np.ndarray:
-        c = np.maximum(np.asarray(counts, float) / self.least, 1.0)
-        return 1 + np.floor(np.log(c) / np.log(STEP) + 1e-9).astype(np.int64)
-
-    def _entry(self, keys: np.ndarray, j: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(keys + np.asarray(j, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        one, six = np.uint64(1), np.uint64(63)
-        mask = (one << (h & six)) | (one << ((h >> np.uint64(6)) & six)) | (one << ((h >> np.uint64(12)) & six)) | (one << ((h >> np.uint64(18)) & six))
-        return h >> np.uint64(64 - self.bits), mask
+    """Quantised values (``least`` or more) of 64-bit keys: one array of 64-bit words, in segments by ranges of the keys."""
+
+    def __init__(self, least: float, segments: dict[int, tuple[int, np.ndarray]], buckets: int):
+        self.least, self.buckets = float(least), buckets
+        self.top = max((t for t, _ in segments.values()), default=0)
+        self.size = np.ones(buckets, np.uint64)
+        for b, (_, words) in segments.items():
+            self.size[b] = len(words)
+        self.begin = np.concatenate(([0], np.cumsum(self.size)[:-1])).astype(np.uint64)
+        self.words = np.zeros(int(self.size.sum()), np.uint64)
+        for b, (_, words) in segments.items():
+            self.words[int(self.begin[b]) : int(self.begin[b]) + len(words)] = words
 
     def has(self, keys: np.ndarray, j: int | np.ndarray = 1) -> np.ndarray:
         if not self.top:
             return np.zeros(len(keys), bool)
-        at, mask = self._entry(keys, j)
+        place, mask = entry(keys, j)
+        own = bucket_of(keys, self.buckets)
+        at = self.begin[own] + ((place * self.size[own]) >> np.uint64(32))
         return self.words[at] & mask == mask
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Count of each key: the middle of its level, 0 if it isn't held."""
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key: the middle of its level (the least itself on the first), 0 if it isn't held."""
         out = np.zeros(len(keys))
         some = np.flatnonzero(self.has(keys))
         key = keys[some]
@@ -89,10 +125,22 @@ class LogBloom:
             yes = self.has(key, mid)
             lo, hi = np.where(yes, mid, lo), np.where(yes, hi, mid - 1)
         low = self.least * STEP ** (lo - 1)
-        out[some] = np.where(lo == 1, low, low * STEP**0.5) if self.least <= 1 else low * STEP**0.5
+        out[some] = np.where(lo == 1, low, low * STEP**0.5)
         return out
 
 
+def build(pairs: DataFrame, key: str, value: str, least: float, buckets: int) -> LogBloom:
+    """A filter of (key, value) rows; executors make the segments, only those reach the driver."""
+
+    def run(table: pa.Table) -> pa.Table:
+        top, words = segment(table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy(), least)
+        return pa.table({"bucket": table.column(0).slice(0, 1), "top": pa.array([top], pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    rows = pairs.select(bucket_column(key, buckets).alias("bucket"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    made = rows.groupBy("bucket").applyInArrow(run, "bucket int, top int, words binary")
+    return LogBloom(least, {r["bucket"]: (r["top"], np.frombuffer(r["words"], np.uint64)) for r in made.toLocalIterator()}, buckets)
+
+
 class Tally:
     """Counts of keys within a task; gives them out when there are many."""
 
@@ -136,8 +184,9 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(from, to, tokens, first)`` for runs of texts, each text's words followed by END."""
-    for i, j, h, first in word_runs(lowered(column)):
-        yield i, j, np.insert(h, first[1:], END), first + np.arange(len(first))
+    for at in range(0, len(column), ROWS):
+        for i, j, h, first in word_runs(lowered(column.slice(at, ROWS))):
+            yield at + i, at + j, np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
 def places(first: np.ndarray) -> np.ndarray:
@@ -159,16 +208,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _count_grams(n: int, order: int, held: dict[int, LogBloom], buckets: int):
+def _count_grams(n: int, order: int, shared: dict, buckets: int):
     """Counts of n-grams whose two parts are held (kind 0) and of the contexts of held (n-1)-grams (kind 1), packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = [Tally(), Tally(), Tally()]
+        held = {k: b.value for k, b in shared.items()}
 
         def out(kind: int) -> pa.RecordBatch:
             keys, count = tallies[kind].take()
-            cut = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(buckets)], np.uint64))
-            cut = np.append(cut, len(keys))
+            cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
             own = [b for b in range(buckets) if cut[b + 1] > cut[b]]
             packed = [[x[cut[b] : cut[b + 1]].tobytes() for b in own] for x in (keys, count.astype(COUNT[kind]))]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["bucket", "kind", "keys", "counts"])
@@ -190,7 +239,7 @@ def _count_grams(n: int, order: int, held: dict[int, LogBloom], buckets: int):
                 if n > 2:
                     end = np.flatnonzero(kept)
                     # each occurrence is its count's part of one type
-                    parts = np.rint(PARTS / np.maximum(held[n - 1].counts(gram[end]), 1.0)).astype(np.int64)
+                    parts = np.rint(PARTS / np.maximum(held[n - 1].values(gram[end]), 1.0)).astype(np.int64)
                     if tallies[1].add(below[end - 1]) | tallies[2].add(below[end - 1], parts):
                         yield out(1)
                         yield out(2)
@@ -225,10 +274,21 @@ def _merge(least: float):
 
 
 class Model:
-    """What the workers get: filters by order, and the exact counts of the words that are held."""
+    """What the workers get, each array as a broadcast of its own: filters by order, and the exact counts of the words that are held."""
+
+    def __init__(self, n: int, v: int, order: int):
+        self.n, self.v, self.order = n, v, order
+        self.parts: dict[tuple[str, int], Broadcast] = {}
+
+    def held(self, k: int) -> LogBloom:
+        return self.parts["held", k].value
+
+    def back(self, k: int) -> LogBloom:
+        return self.parts["back", k].value
 
-    def __init__(self, n: int, v: int, words: np.ndarray, exact: np.ndarray, held: dict[int, LogBloom], rest: dict[int, LogBloom], order: int):
-        self.n, self.v, self.words, self.exact, self.held, self.rest, self.order = n, v, words, exact, held, rest, order
+    def free(self) -> None:
+        for b in self.parts.values():
+            b.unpersist()
 
     @property
     def total(self) -> float:
@@ -236,35 +296,36 @@ class Model:
 
     def score(self, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text: base log10 and known tokens of held words, model's log10 without the rare words' last factor; and which tokens are rare."""
+        words, exact = self.parts["words", 1].value
         u, inv = np.unique(t, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, u), max(len(self.words) - 1, 0))
-        common_u = self.words[at] == u if len(self.words) else np.zeros(len(u), bool)
-        base_u = np.where(common_u, np.log10((self.exact[at] + 0.5) / self.total) if len(self.words) else 0.0, 0.0)
+        at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
+        common_u = words[at] == u if len(words) else np.zeros(len(u), bool)
+        base_u = np.where(common_u, np.log10((exact[at] + 0.5) / self.total) if len(words) else 0.0, 0.0)
         count_u = np.zeros(len(u))
-        count_u[common_u] = self.held[1].counts(u[common_u])
+        count_u[common_u] = self.held(1).values(u[common_u])
         common, count = common_u[inv], count_u[inv]
         p = np.where(common, (count + 0.5) / self.total, 1.0)
         place, gram, own = places(first), t, common
-        rest = None
+        left = np.zeros(len(t))  # c / B of the gram that ends here
         if self.order > 1:
-            rest_u = np.zeros(len(u))
-            rest_u[common_u] = self.rest[1].counts(u[common_u])
-            rest = rest_u[inv]
+            left_u = np.zeros(len(u))
+            left_u[common_u] = self.back(1).values(u[common_u])
+            left = left_u[inv]
         for k in range(2, self.order + 1):
             # contexts: grams of length k - 1 that are held, by their end
             after = np.flatnonzero((place[1:] >= k - 1) & (count[:-1] > 0)) + 1
             c = count[after - 1]
-            back = np.minimum(rest[after - 1] / QUARTERS / c, 1.0)
+            back = 1.0 / np.maximum(left[after - 1], 1.0)
             longer, found = np.zeros(len(t), np.uint64), np.zeros(len(t))
             longer[after] = chain(gram[after - 1], t[after])
             may = after[own[after]]
-            found[may] = np.minimum(self.held[k].counts(longer[may]), count[may - 1])
+            found[may] = np.minimum(self.held(k).values(longer[may]), count[may - 1])
             p[after] = np.minimum(np.maximum(found[after] - D, 0.0) / c + back * p[after], 1.0)
             gram, count, own = longer, found, found > 0
             if k < self.order:
-                rest = np.zeros(len(t))
+                left = np.zeros(len(t))
                 some = np.flatnonzero(own)
-                rest[some] = self.rest[k].counts(longer[some])
+                left[some] = self.back(k).values(longer[some])
         begin = first[:-1]
         p = np.maximum(p, 1e-30)  # a filter's false answer never makes a text impossible
         return np.add.reduceat(base_u[inv], begin), np.add.reduceat(common.astype(np.int64), begin), np.add.reduceat(np.log10(p), begin), ~common
@@ -277,52 +338,47 @@ def train(rows: DataFrame, *, text_col: str = "text", order: int = ORDER, share:
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = n / 2**share
 
-    def sorted_pairs(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-        found = df.select(key, "n").toArrow()
-        return add_up(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy())
-
-    words, exact = sorted_pairs(vocabulary.filter(F.col("n") >= least), "word")
-    held, rest, pairs = {1: LogBloom(least, words, exact)}, {}, {1: (words, exact)}
+    share_out = rows.sparkSession.sparkContext.broadcast
+    model = Model(int(n), int(v), order)
     buckets = max(1, -(-n // BUCKET))
+    counts = {1: vocabulary.filter(F.col("n") >= least).select(F.col("word").alias("gram"), "n")}
+    found = counts[1].toArrow()
+    model.parts["words", 1] = share_out(add_up(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()))
+    del found
+    model.parts["held", 1] = share_out(build(counts[1], "gram", "n", max(least, 1.0), buckets))
     for size in range(2, order + 2) if order > 1 else ():
-        counted = texts.mapInArrow(_count_grams(size, order, held, buckets), "bucket int, kind int, keys binary, counts binary")
+        filters = {k: model.parts["held", k] for k in range(1, min(size, order + 1))}
+        counted = texts.mapInArrow(_count_grams(size, order, filters, buckets), "bucket int, kind int, keys binary, counts binary")
         merged = store.keep(counted.groupBy("bucket").applyInArrow(_merge(least), "kind int, gram long, n long"), f"grams{size}")
-        if size <= order:
-            pairs[size] = sorted_pairs(merged.filter("kind = 0"), "gram")
-            held[size] = LogBloom(least, *pairs[size])
         if size > 2:
             # B: the context's count, less its held continuations but for their discounts
-            keys, counts = pairs[size - 2]
-            left = counts.astype(float)
-            for kind, factor in ((1, -1.0), (2, D / PARTS)):
-                context, seen = sorted_pairs(merged.filter(F.col("kind") == kind), "gram")
-                if len(keys) and len(context):
-                    at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-                    same = keys[at] == context
-                    left[at[same]] += factor * seen[same]
-            some = left > 0
-            rest[size - 2] = LogBloom(1.0, keys[some], left[some] * QUARTERS)
-    return Model(int(n), int(v), words, exact, held, rest, order), vocabulary
-
-
-def _score(shared):
+            seen = merged.filter("kind > 0").groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in ((1, "followed"), (2, "parts"))])
+            left = F.col("n") - F.coalesce("followed", F.lit(0)) + F.coalesce("parts", F.lit(0)) * F.lit(D / PARTS)
+            ratio = counts[size - 2].join(seen, "gram", "left").withColumn("left", left).filter("left > 0").select("gram", (F.col("n") / F.col("left")).alias("ratio"))
+            model.parts["back", size - 2] = share_out(build(ratio, "gram", "ratio", 1.0, buckets))
+        if size <= order:
+            counts[size] = merged.filter("kind = 0").select("gram", "n")
+            model.parts["held", size] = share_out(build(counts[size], "gram", "n", max(least, 1.0), buckets))
+    return model, vocabulary
+
+
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            size, known, base, score, rare = [], [], [], [], []
-            for _, _, t, first in tokens(batch.column(1)):
-                b, k, s, is_rare = model.score(t, first)
-                size.append(np.diff(first))
-                base.append(b)
-                known.append(k)
-                score.append(s)
-                for i in range(len(first) - 1):
-                    own = t[first[i] : first[i + 1]]
-                    word, n = np.unique(own[is_rare[first[i] : first[i + 1]]], return_counts=True)
-                    rare.append([{"word": w, "n": c} for w, c in zip(word.view(np.int64).tolist(), n.tolist(), strict=True)])
-            if batch.num_rows:
-                columns = [np.concatenate(x) for x in (size, known, base, score)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))], ["id", "n_tokens", "known", "base", "part", "rare"])
+            for i, j, t, first in tokens(batch.column(1)):
+                base, known, part, is_rare = model.score(t, first)
+                at = np.flatnonzero(is_rare)
+                text = np.searchsorted(first, at, side="right") - 1
+                order = np.lexsort((t[at], text))
+                text, word = text[order], t[at[order]]
+                new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])))) if len(at) else at
+                times = np.diff(np.append(new, len(at)))
+                ends = np.searchsorted(text[new], np.arange(j - i + 1))
+                rare = pa.StructArray.from_arrays([pa.array(word[new].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(part), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rare)],
+                    ["id", "n_tokens", "known", "base", "part", "rare"],
+                )
 
     return run
 
@@ -330,10 +386,10 @@ def _score(shared):
 def score(docs: DataFrame, *, train_rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: int = SHARE) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score, log10) for every row; trained on ``train_rows`` (default: all)."""
     model, vocabulary = train(docs if train_rows is None else docs.filter(train_rows), text_col=text_col, order=order, share=share)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, known long, base double, part double, rare array<struct<word: long, n: long>>"
-    scored = store.keep(rows.mapInArrow(_score(shared), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = store.keep(rows.mapInArrow(_score(model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    model.free()
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     c = F.coalesce("n", F.lit(0))
     tails = (
