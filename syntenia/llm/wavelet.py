@@ -25,6 +25,7 @@ table gives no shard; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -42,6 +43,10 @@ MAGIC = b"WMATRIX1"
 SHARD = 1 << 20
 #: Distinct words whose ids a worker remembers; then it forgets all.
 REMEMBERED = 1_000_000
+#: ASCII characters that are neither letter, digit nor white space.
+#: Letters of which neither normal form nor lower case ends in a combining mark, which would join what follows.
+LETTERS = re.compile("[À-ÖØ-öø-įıĲ-ɏ]").match
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class WaveletMatrix:
@@ -63,9 +68,9 @@ class WaveletMatrix:
             one = (ids & ids.dtype.type(1 << (bits - 1 - level))) != 0
             packed = np.packbits(one, bitorder="little")
             planes[level, : len(packed)] = packed
-            low = ids[~one]
+            low = ids.take(np.flatnonzero(~one))
             zeros[level] = len(low)
-            ids = np.concatenate((low, ids[one]))
+            ids = np.concatenate((low, ids.take(np.flatnonzero(one))))
         words = planes.view("<u8").reshape(bits, blocks, 8)
         per_block = np.bitwise_count(words).sum(axis=2, dtype=np.uint32)
         before = np.zeros((bits, blocks), np.uint32)
@@ -164,8 +169,8 @@ class WaveletMatrix:
         for level in reversed(range(self.bits)):
             one = np.unpackbits(np.ascontiguousarray(self.planes[level]).view(np.uint8).reshape(-1), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
-            above[~one] = out[: int(self.zeros[level])]
-            above[one] = out[int(self.zeros[level]) :] | out.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = out[: int(self.zeros[level])]
+            above[np.flatnonzero(one)] = out[int(self.zeros[level]) :] | out.dtype.type(1 << (self.bits - 1 - level))
             out = above
         return out
 
@@ -182,20 +187,25 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        # ids that end a run of letters
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark, self.mark_text = special[-1]
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
     def learn(self, new: set[bytes]) -> None:
         """Encode new words, many in one call, with a special string between them."""
         known, tail = self.known, {}
-        # a letter and a mark after it are always parted, so a word with a final mark is its stem's ids and the mark's
+        # a letter and marks after it are always parted, so such a word is its stem's ids and the marks'
         for w in new:
-            if len(w) > 1 and w[-1] in b".,;:!?" and 97 <= w[-2] <= 122:
-                tail[w] = w[:-1]
-        need = {tail.get(w, w) for w in new}.union(w[-1:] for w in tail).difference(known)
+            if w[-1] in MARKS and (stem := w.rstrip(MARKS)) and b"<|" not in w and (97 <= stem[-1] <= 122 or stem[-1] > 127 and LETTERS(stem.decode()[-1])):
+                tail[w] = stem
+        need = {tail.get(w, w) for w in new}.union(w[len(t) :] for w, t in tail.items()).difference(known)
+        need = self.learn_plain(need)
         plain = [w for w in need if b"<|" not in w]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
@@ -207,10 +217,24 @@ class Encoder:
                 known[w] = data[begin * size : end * size]
                 begin = end + 1
         for w in need:
-            if b"<|" in w:
+            if b"<|" in w and w not in known:
                 known[w] = self._ids(w.decode()).astype(self.dtype).tobytes()
         for w, stem in tail.items():
-            known[w] = known[stem] + known[w[-1:]]
+            known[w] = known[stem] + known[w[len(stem) :]]
+
+    def learn_plain(self, need: set[bytes]) -> list[bytes]:
+        """Encode words of letters only, many in one call, each ending with its last id's end-of-word mark; returns the others."""
+        words = [w for w in need if w.isalpha() or ((t := w.decode()).isalpha() and "\u0130" not in t)] if self.ends.any() else []
+        size = self.dtype.itemsize
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = self._ids(b" ".join(part).decode())
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(cut) != len(part):
+                continue  # not one run of letters each: told apart by the special string below
+            data = ids.astype(self.dtype).tobytes()
+            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+        return [w for w in need if w not in self.known]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -259,7 +283,7 @@ def _write(tokenizer_file: str, end_id: int, shard: int):
             at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size < 1 << 20):
+                while to < len(texts) and (to == at or size < 1 << 22):
                     size += len(texts[to])
                     to += 1
                 for doc, row in zip(docs[at:to], encoder.encode(texts[at:to], end), strict=True):
