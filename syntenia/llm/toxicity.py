@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .ragged import blocks, lowered, pieces, words
 
 BITS, BLOCK = 18, 256
-SAMPLE, SAMPLE_BYTES = 6000, 48 << 20
+SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
 SUPPORT, PURITY, STEPS = 6, 0.97, 40
 BEGINNINGS = (4, 5, 6)
 
@@ -143,9 +143,7 @@ class Model:
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         h, first, a, b = features(texts)
-        opens = np.zeros(h.shape[1], bool)
-        opens[first[:-1][first[1:] > first[:-1]]] = True
-        p, _ = marginals(self.bias + self.weights[slots(h)].sum(axis=0), opens, self.step, self.start)
+        p, _ = marginals(self.bias + self.weights[slots(h)].sum(axis=0), opening(first, h.shape[1]), self.step, self.start)
         return p, first, a, b
 
     def score(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -155,24 +153,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def marks(h: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
+def marks(texts: list[bytes], toxic: np.ndarray) -> list[np.ndarray]:
     """For each kind of feature the hashes that mark toxicity."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    # copies and near copies share their two smallest word hashes: the first of them counts
-    once, seen = np.zeros(len(toxic), bool), set()
-    for k in range(len(toxic)):
-        own = np.unique(h[0, first[k] : first[k + 1]])[:2]
-        key = (bool(toxic[k]), *own.tolist())
-        once[k] = key not in seen
-        seen.add(key)
+    seen: set[tuple] = set()
+    stats: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(1 + len(BEGINNINGS))]
+    for i, _, part in blocks(texts):
+        h, first, _, _ = features(part)
+        for k in range(len(part)):
+            # copies and near copies share their two smallest word hashes: the first of them counts
+            own = h[:, first[k] : first[k + 1]]
+            bad = bool(toxic[i + k])
+            key = (bad, *np.unique(own[0])[:2].tolist())
+            if key in seen:
+                continue
+            seen.add(key)
+            for kind, row in zip(stats, own, strict=True):
+                kind.append((np.unique(row), bad))
     out = []
-    for row in h:
-        use = once[text]
-        kinds, inverse = np.unique(row[use], return_inverse=True)
-        pair = np.unique(inverse.astype(np.int64) * len(toxic) + text[use])
-        kind, of_toxic = pair // len(toxic), toxic[pair % len(toxic)]
-        bad, total = np.bincount(kind[of_toxic], minlength=len(kinds)), np.bincount(kind, minlength=len(kinds))
-        out.append(kinds[(bad >= SUPPORT) & (bad >= PURITY * total)])
+    for kind in stats:
+        found = []
+        for bad in (True, False):
+            rows = [x for x, is_bad in kind if is_bad == bad]
+            found.append(np.unique(np.concatenate(rows) if rows else np.empty(0, np.uint64), return_counts=True))
+        kind.clear()
+        (of_toxic, bad_count), (of_clean, clean_count) = found
+        at = np.minimum(np.searchsorted(of_clean, of_toxic), max(len(of_clean) - 1, 0))
+        clean = np.where(of_clean[at] == of_toxic, clean_count[at], 0) if len(of_clean) else np.zeros(len(of_toxic), np.int64)
+        out.append(of_toxic[(bad_count >= SUPPORT) & (bad_count >= PURITY * (bad_count + clean))])
+    return out
+
+
+def opening(first: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` words are the first of a text."""
+    out = np.zeros(n, bool)
+    out[first[:-1][first[1:] > first[:-1]]] = True
     return out
 
 
@@ -183,36 +197,41 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     if not toxic.any() or toxic.all():
         nothing.constant = float(toxic.mean()) if len(toxic) else 0.0
         return nothing
-    h, first, _, _ = features(texts)
-    text = np.repeat(np.arange(len(texts)), np.diff(first))
-    y = np.zeros(h.shape[1], bool)
-    for row, found in zip(h, marks(h, first, toxic), strict=True):
-        y |= np.isin(row, found)
-    y &= toxic[text]
-    opens = np.zeros(len(y), bool)
-    opens[first[:-1][first[1:] > first[:-1]]] = True
-    at = slots(h)
-    inside = np.flatnonzero(~opens)
-    seen = np.array([[np.sum((y[inside - 1] == i) & (y[inside] == j)) for j in (0, 1)] for i in (0, 1)], float)
-    share = float(np.clip(y.mean(), 1e-6, 0.5))
+    marked = marks(texts, toxic)
+    parts, total, hits, seen = [], 0, 0, np.zeros((2, 2))
+    for i, j, part in blocks(texts):
+        h, first, _, _ = features(part)
+        y = np.logical_or.reduce([np.isin(row, found) for row, found in zip(h, marked, strict=True)]) & np.repeat(toxic[i:j], np.diff(first))
+        opens = opening(first, len(y))
+        inside = np.flatnonzero(~opens)
+        seen += np.bincount(2 * y[inside - 1] + y[inside], minlength=4).reshape(2, 2)
+        total, hits = total + len(y), hits + int(y.sum())
+        parts.append((slots(h).astype(np.int32), y, opens, first))
+    share = float(np.clip(hits / max(total, 1), 1e-6, 0.5))
     w, step, bias = np.zeros(1 << BITS), np.zeros((2, 2)), float(np.log(share / (1 - share)))
     start, heat, heat_step, heat_bias = 0.0, np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8), 1e-8
-    for _ in range(STEPS):  # AdaGrad on the log-likelihood over word count, L2 on the weights
-        p, expected = marginals(bias + w[at].sum(axis=0), opens, step, start)
-        gap = y - p
-        scale = 1.0 / max(1.0, float(y.sum()))
-        g = sum(np.bincount(a, gap, 1 << BITS) for a in at) * scale - 1e-4 * w
+    scale = 1.0 / max(1, hits)
+    for _ in range(STEPS):  # AdaGrad on the log-likelihood for each toxic word, L2 on the weights
+        g, expected, gb = np.zeros(1 << BITS), np.zeros((2, 2)), 0.0
+        for at, y, opens, _ in parts:
+            p, moved = marginals(bias + w[at].sum(axis=0), opens, step, start)
+            gap = y - p
+            for row in at:
+                g += np.bincount(row, gap, 1 << BITS)
+            expected += moved
+            gb += float(gap.sum())
+        g = g * scale - 1e-4 * w
         heat += g * g
         w += 0.8 * g / np.sqrt(heat)
         gs = (seen - expected) * scale - 1e-3 * step
         heat_step += gs * gs
         step += 0.1 * gs / np.sqrt(heat_step)
-        gb = float(gap.sum()) * scale
+        gb *= scale
         heat_bias += gb * gb
         bias += 0.1 * gb / np.sqrt(heat_bias)
     model = Model(w.astype(np.float32), step, start, bias, np.zeros(3))
-    p, _ = marginals(bias + model.weights[at].sum(axis=0), opens, step, start)
-    x = np.column_stack([document_features(p, first), np.ones(len(texts))])
+    z = [document_features(marginals(bias + model.weights[at].sum(axis=0), opens, step, start)[0], first) for at, _, opens, first in parts]
+    x = np.column_stack([np.concatenate(z), np.ones(len(texts))])
     beta = np.zeros(3)
     for _ in range(25):  # Newton's method, lightly regularised as the classes may be apart
         mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
