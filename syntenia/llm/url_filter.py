@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from . import store
 
 CONTEXTS, GRAMS = 1 << 12, 1 << 16
+#: Characters of a URL that are cut up at once.
+PART = 256
 #: (verdict, host with path prefix)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 BEGIN, END = "\u0002", "\u0003"
@@ -56,7 +58,13 @@ def _grams(urls: DataFrame, order: int, *by: str) -> DataFrame:
     """(by, size, gram) for every n-gram occurrence of ``url``, marks included."""
     marks = urls.select(*by, F.concat(F.array(F.lit(BEGIN)), F.split(F.col("url"), ""), F.array(F.lit(END))).alias("raw"))
     marks = marks.select(*by, F.filter("raw", lambda c: c != "").alias("c"))
-    ends = marks.select(*by, F.posexplode(F.transform("c", lambda _, i: F.slice(F.col("c"), F.greatest(i - F.lit(order - 1), F.lit(1)), F.least(i + 1, F.lit(order + 1))))).alias("at", "tail"))
+    # a very long URL is cut into parts that overlap by the order, as a slice may copy its whole array
+    parts = F.transform(F.sequence(F.lit(0), F.expr(f"(size(c) - 1) div {PART}")), lambda p: F.struct(F.greatest(p * PART - order, F.lit(0)).alias("base"), (p * PART).alias("own"), F.slice(F.col("c"), F.greatest(p * PART - order, F.lit(0)) + 1, F.lit(PART + order)).alias("c")))
+    cut = marks.select(*by, F.explode(parts).alias("p")).select(*by, F.col("p.c").alias("c"), F.col("p.base").alias("base"), F.col("p.own").alias("own"))
+    tails = F.transform("c", lambda _, i: F.slice(F.col("c"), F.greatest(i - F.lit(order - 1), F.lit(1)), F.least(i + 1, F.lit(order + 1))))
+    ends = cut.select(*by, "base", "own", F.posexplode(tails).alias("place", "tail")).select(*by, "own", (F.col("base") + F.col("place")).alias("at"), "tail")
+    # a place belongs to the part that starts at or before it, the last such
+    ends = ends.filter(F.col("at").between(F.col("own"), F.col("own") + PART - 1))
     sizes = F.explode(F.expr("sequence(1, size(tail))"))
     return ends.select(*by, "at", "tail", sizes.alias("size")).select(*by, "at", "size", F.array_join(F.expr("slice(tail, size(tail) - size + 1, size)"), "").alias("gram"))
 

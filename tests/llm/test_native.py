@@ -138,6 +138,7 @@ def brute_weights(urls, order):
 def test_scores_equal_the_recursion(spark):
     r = random.Random(2)
     pages = [(k, f"http://{r.choice('abc')}{r.choice(['.org/fr/', '.net/', '.example.com/de/', '.com/'])}{r.randint(1, 50)}") for k in range(120)]
+    pages += [(200 + k, f"http://a{'.org/fr/' if k % 2 else '.com/'}" + "".join(r.choice("abc/") for _ in range(500 + 13 * k))) for k in range(6)]
     df = spark.createDataFrame(pages, "page_id long, url string")
     rows = {x["page_id"]: x for x in url_filter.judge(df, order=3).collect()}
     import zlib
