@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import component_roots
 from . import store
-from .components import components
 from .ragged import lowered
 
 SEED, SHINGLE, NEAR = 42, 3, 3
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     fps = store.keep(rows.mapInArrow(_fingerprints, f"id {dict(rows.dtypes)['id']}, fp long"), "fingerprints")
     distinct = store.keep(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct))
+    roots = component_roots(links(distinct))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = store.keep(member.join(least, "root").select("fp", "component_id"), "classes")
