@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kmers import cosine, kmers
+from ..plans.ranks import ranked
 from ..plans.tables import materialize
 from .components import components
 
@@ -35,7 +35,7 @@ def grouping_from_lists(spark, lists: list[list[int]]) -> DataFrame:
 def number_groups(members: DataFrame) -> DataFrame:
     """(gene_id, group_id) from (gene_id, root): 1.. by size descending, then by root."""
     sizes = members.groupBy("root").agg(F.count("*").alias("n"))
-    ranks = sizes.select("root", F.row_number().over(W.orderBy(F.col("n").desc(), "root")).cast("long").alias("group_id"))
+    ranks = ranked(sizes, F.col("n").desc(), "root", name="group_id").select("root", "group_id")
     return members.join(ranks, "root").select("gene_id", "group_id")
 
 

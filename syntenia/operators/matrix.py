@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranks import ranked
+
 
 def pan_matrix(genes: DataFrame) -> DataFrame:
     """(group_id, org_id, n): genes of each organism in each group; the sparse matrix in long form."""
@@ -185,21 +187,20 @@ def representatives(genes: DataFrame, method: str = "longest", seed: int = 0) ->
 
 def scale_range(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """``column`` stretched to [low, high]; a constant column becomes their mean."""
-    w = W.partitionBy()
-    lo, hi = F.min(column).over(w), F.max(column).over(w)
+    lo, hi = df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
     return df.withColumn(column, F.when(lo == hi, F.lit((low + high) / 2)).otherwise(F.lit(low) + (F.col(column) - lo) * (high - low) / (hi - lo)))
 
 
 def renumber(df: DataFrame, column: str) -> DataFrame:
     """Dense numbers from 1 in the order of the old ones (P19): only the distinct values are ranked."""
-    ranks = df.select(column).distinct().withColumn("_rank", F.row_number().over(W.orderBy(column)))
+    ranks = ranked(df.select(column).distinct(), column)
     return df.join(ranks, column).withColumn(column, F.col("_rank").cast("long")).drop("_rank")
 
 
 def group_numbers(genes: DataFrame, key: str) -> DataFrame:
     """``genes`` with group_id 1.. by size descending, then by ``key`` (the canonical order of groups)."""
     sizes = genes.groupBy(key).agg(F.count("*").alias("_n"))
-    order = sizes.select(key, F.row_number().over(W.orderBy(F.col("_n").desc(), F.col(key))).cast("long").alias("_group"))
+    order = ranked(sizes, F.col("_n").desc(), key, name="_group").select(key, "_group")
     return genes.drop("group_id").join(order, key).withColumnRenamed("_group", "group_id") if key != "group_id" else genes.join(order, key).drop("group_id").withColumnRenamed("_group", "group_id")
 
 

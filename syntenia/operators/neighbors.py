@@ -56,6 +56,12 @@ def neighborhood(genes: DataFrame, group, vicinity: int = 4) -> DataFrame:
     return edges.select("from", "to", "n", (F.col("from") == group).alias("from_center"), (F.col("to") == group).alias("to_center"))
 
 
+def group_neighbors(genes: DataFrame) -> DataFrame:
+    """(group_id, neighbor): distinct groups next to a gene of each group, on either side."""
+    near = neighbors(genes, "group_id").join(genes.select("gene_id", "group_id"), "gene_id")
+    return near.select("group_id", F.explode(F.array("down", "up")).alias("neighbor")).filter("neighbor IS NOT NULL").distinct()
+
+
 def adjacent(genes: DataFrame) -> DataFrame:
     """(a, b, org_id): groups of every gene and the next one, smaller group first; one row per adjacency."""
     follow = genes.select("org_id", F.col("group_id").alias("g"), F.lead("group_id").over(along()).alias("h")).filter("h IS NOT NULL")

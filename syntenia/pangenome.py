@@ -20,6 +20,7 @@ from .operators import neighbors as N
 from .operators import splitting as S
 from .operators import tree as T
 from .operators.components import components
+from .plans.ranks import ranked
 from .plans.tables import materialize
 from .settings import DEFAULTS, change, resolve
 from .sources.fasta import LOCATION, add_location, read_fasta
@@ -48,7 +49,7 @@ def match_groups(new: DataFrame, old: DataFrame) -> DataFrame:
         done = overlap.select("new_id", "group_id").limit(0)
     rest = new.select(F.col("group_id").alias("new_id")).distinct().join(done, "new_id", "left_anti")
     top = old.agg(F.coalesce(F.max("group_id"), F.lit(0)).alias("top"))
-    fresh = rest.withColumn("_n", F.row_number().over(W.orderBy("new_id"))).crossJoin(top).select("new_id", (F.col("top") + F.col("_n")).alias("group_id"))
+    fresh = ranked(rest, "new_id", name="_n").crossJoin(F.broadcast(top)).select("new_id", (F.col("top") + F.col("_n")).alias("group_id"))
     return done.unionByName(fresh)
 
 
@@ -206,11 +207,11 @@ class Pangenome:
         present = genes.groupBy("org_id").agg(F.count("*").alias("n_genes"))
         organisms = (self.organisms if organisms is None else organisms).drop("n_genes").join(present, "org_id")
         org = organisms.select("org_id", F.row_number().over(W.orderBy("org_id")).alias("_o"))
-        ids = genes.select("gene_id", F.row_number().over(W.orderBy("gene_id")).cast("long").alias("_g"))
+        ids = ranked(genes.select("gene_id"), "gene_id", name="_g")
         genes = genes.join(org, "org_id").join(ids, "gene_id").withColumn("org_id", F.col("_o")).withColumn("gene_id", F.col("_g")).drop("_o", "_g")
         organisms, meta = organisms.join(org, "org_id").withColumn("org_id", F.col("_o")).drop("_o"), self.group_meta
         if self.has_groups:
-            groups = genes.select("group_id").distinct().select("group_id", F.row_number().over(W.orderBy("group_id")).cast("long").alias("_n"))
+            groups = ranked(genes.select("group_id").distinct(), "group_id", name="_n")
             genes = genes.join(groups, "group_id").withColumn("group_id", F.col("_n")).drop("_n")
             meta = None if meta is None else meta.join(groups, "group_id").withColumn("group_id", F.col("_n")).drop("_n")
         return self._with(genes_=genes, organisms=organisms, group_meta=meta)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import kmers as K
@@ -87,7 +86,7 @@ def _annot(s: SparkSession, d: str) -> DataFrame:
 
 
 def _collapse(s: SparkSession, d: str) -> DataFrame:
-    links = _t(s, d, "part").select(F.col("p_partkey").alias("group_id"), F.dense_rank().over(W.orderBy("p_brand")).cast("long").alias("paralogue"))
+    links = M.renumber(_t(s, d, "part").select(F.col("p_partkey").alias("group_id"), F.col("p_brand").alias("paralogue")), "paralogue")
     return M.group_info(S.collapse_paralogues(parts(s, d), links), N_ORGS, CORE)
 
 
@@ -118,6 +117,28 @@ def _match(s: SparkSession, d: str) -> DataFrame:
     return match_groups(new, old)
 
 
+def _renumber(s: SparkSession, d: str) -> DataFrame:
+    """Groups of the parts sold by nations of one region, numbered densely."""
+    return M.renumber(parts(s, d).filter("org_id % 5 = 2").select("gene_id", "group_id"), "group_id")
+
+
+def _changes(s: SparkSession, d: str) -> DataFrame:
+    """Genes that moved, came or went between two groupings of overlapping gene sets."""
+    from .pangenome import group_changes
+
+    old = parts(s, d).filter("org_id <> 3").select("gene_id", "group_id")
+    new = parts(s, d).filter("org_id <> 5").select("gene_id", (F.col("group_id") % 500).alias("group_id"))
+    return group_changes(new, old)
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    """A pangenome merged with itself: every id of the second copy lies after the first's."""
+    from .pangenome import Pangenome
+
+    one = Pangenome(parts(s, d), _t(s, d, "nation").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("org_name")))
+    return one.merge(one).genes_.groupBy("org_id").agg(F.count("*").alias("n_genes"), F.min("gene_id").alias("first_gene"), F.max("group_id").alias("last_group"))
+
+
 def _leaders(s: SparkSession, d: str) -> DataFrame:
     return C.leader_clusters(texts(s, d), 5, 0.9, "block")
 
@@ -162,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "neighbors": lambda s, d: N.neighbors(contigs(s, d)),
     "neighbors_strand": lambda s, d: N.neighbors(contigs(s, d), "group_id", stranded=True),
     "flank_string": lambda s, d: contigs(s, d).select("gene_id", N.flank_string("group_id", 3).alias("forward"), N.flank_string("group_id", 3, False).alias("backward"), N.flank_string("group_id", 1).alias("next")),
+    "group_neighbors": lambda s, d: N.group_neighbors(contigs(s, d)),
     "trails": lambda s, d: N.trails(contigs(s, d), 2).select("gene_id", F.array_join("trail", ";").alias("trail")),
     "trail_edges": lambda s, d: N.trail_edges(N.trails(contigs(s, d), 2)),
     "neighborhood": lambda s, d: N.neighborhood(contigs(s, d), "click_1", 2),
@@ -184,6 +206,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_annot": _annot,
     "components": _components,
     "match_groups": _match,
+    "group_changes": _changes,
+    "renumber": _renumber,
+    "merge_pangenomes": _merged,
     "leader_clusters": _leaders,
     "variable_regions": _variable,
     "org_tree": _tree,
@@ -275,6 +300,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT p_partkey AS gene_id, min(p_partkey) OVER (PARTITION BY p_brand, run) AS component FROM r""",
         "remove_genes": f"WITH g AS (SELECT gene_id, dense_rank() OVER (ORDER BY group_id) AS group_id FROM ({_PARTS}) WHERE org_id <> 3 AND group_id <> 7) SELECT group_id, count(*) AS n_genes, min(gene_id) AS first_gene FROM g GROUP BY 1",
         "subset_orgs": f"WITH g AS (SELECT group_id, dense_rank() OVER (ORDER BY org_id) AS org_id FROM ({_PARTS}) WHERE org_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) SELECT group_id, org_id, count(*) AS n FROM g GROUP BY ALL",
+        "renumber": f"SELECT gene_id, dense_rank() OVER (ORDER BY group_id) AS group_id FROM ({_PARTS}) WHERE org_id % 5 = 2",
+        "group_changes": f"""WITH g AS ({_PARTS}), o AS (SELECT gene_id, group_id AS old_group FROM g WHERE org_id <> 3), n AS (SELECT gene_id, group_id % 500 AS new_group FROM g WHERE org_id <> 5)
+          SELECT gene_id, old_group, new_group, CASE WHEN old_group IS NULL THEN 'added' WHEN new_group IS NULL THEN 'removed' ELSE 'moved' END AS change FROM o FULL JOIN n USING (gene_id) WHERE old_group IS DISTINCT FROM new_group""",
+        "merge_pangenomes": f"""WITH g AS ({_PARTS}), t AS (SELECT (SELECT max(n_nationkey) FROM nation) AS o, max(gene_id) AS i, max(group_id) AS p FROM g),
+          b AS (SELECT org_id, gene_id, group_id FROM g UNION ALL SELECT org_id + o, gene_id + i, group_id + p FROM g, t)
+          SELECT org_id, count(*) AS n_genes, min(gene_id) AS first_gene, max(group_id) AS last_group FROM b GROUP BY 1""",
+        "group_neighbors": f"WITH n AS (SELECT group_id, lag(group_id) OVER ({_WIN}) AS a, lead(group_id) OVER ({_WIN}) AS b FROM ({_CONTIGS})) SELECT group_id, a AS neighbor FROM n WHERE a IS NOT NULL UNION SELECT group_id, b FROM n WHERE b IS NOT NULL",
         "merge_info": "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ';') AS p_type, array_to_string(list_sort(list(DISTINCT p_size::VARCHAR)), ';') AS p_size FROM part GROUP BY 1",
         "largest_info": "SELECT p_brand, p_size, p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) = 1",
         "collapse_paralogues": f"WITH l AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) AS link FROM part), g AS (SELECT org_id, link AS group_id FROM ({_PARTS}) JOIN l ON group_id = p_partkey) {_INFO}",

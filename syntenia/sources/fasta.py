@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.ranks import ranked
+
 LOCATION = ("contig", "start", "end", "strand")
 
 
@@ -52,7 +54,7 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     if not genes.filter("width = 0").isEmpty():
         warnings.warn("genes of length 0 are dropped", stacklevel=2)
         genes = genes.filter("width > 0")
-        ranks = genes.select("gene_id", F.row_number().over(W.orderBy("gene_id")).cast("long").alias("_id"))
+        ranks = ranked(genes.select("gene_id"), "gene_id", name="_id")
         genes = genes.join(ranks, "gene_id").select(F.col("_id").alias("gene_id"), "org_id", "desc", "sequence", "width")
     organisms = files.join(genes.groupBy("org_id").agg(F.count("*").alias("n_genes")), "org_id", "left").select("org_id", "org_name", F.coalesce("n_genes", F.lit(0)).alias("n_genes"))
     return genes, organisms
