@@ -13,15 +13,14 @@ halves the range).  Probabilities interpolate the orders:
 before one, so what is not held goes to the lower order and probabilities add up to one but for
 the rounding of counts.  B(h) is held as the level of c(h) / B(h).
 
-Plan.  An n-gram is held if it makes up at least 1/2**SHARE of the N tokens, so there are at
-most 2**SHARE of each length, whatever the corpus: that bounds what is broadcast.  Orders
-are counted one after the other over the whole corpus; only n-grams whose parts are held
-can be (their counts are no smaller), so the last order's filter prunes the next, without loss.
-Map tasks send packed arrays of distinct hashes, dealt out by ranges; the tasks that add them
-up also make the filter's segments, so no n-gram reaches the driver, only the filter.  All words' exact counts stay
-in a table; frequent ones are broadcast in a sorted array, the rare ones' share of
-a text's base score comes from a join on their hashes (pre-summed by text), and as no longer
-n-gram can hold a rare word, the model's log-probability there is a sum that the same join completes.
+Plan.  Every n-gram that occurs is held, at every corpus size (``share`` asks for fewer: those that
+make up at least 1/2**share of the N tokens).  Nothing that grows with the corpus is broadcast or
+sent to the driver.  Map tasks send packed arrays of distinct hashes with their contexts, dealt out
+by ranges of the hash into buckets, whose number grows with N; the task that adds a bucket up makes
+its segment of the filter, and contexts' T and K are added up by bucket again.  Texts are scored in
+blocks of about BLOCK tokens: a block asks each bucket for its distinct n-grams, the bucket probes
+its segment and answers one byte of level for each (and words' exact counts), and the block, which
+knows its own hashes, puts the answers back in place by their order.
 
 Defined cases: null and empty texts are the end alone; with no training rows N and V are 0 and
 every token has the base probability of an unseen one; a null id is in the training part; equal rows
@@ -34,20 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import store
 from .ragged import chain, lowered, mix, word_runs
 
-ORDER, SHARE, STEP, D = 3, 24, 2**0.25, 0.75
-#: Parts of one in which shares of a type are counted.
-PARTS = 1 << 16
+ORDER, STEP, D = 3, 2**0.25, 0.75
 END = np.uint64(0xE7D5C3B1A5F70E4D)
 #: Bits of the filter for each entry; entries of a reduce task.
 ROOM, BUCKET = 16, 1 << 20
 HELD = 1 << 20
+#: Tokens of a block of texts that is scored at once.
+BLOCK = 1 << 20
 #: Keys whose entries are set at once.
 CHUNK = 1 << 18
 #: Texts lower-cased at once.
@@ -59,11 +59,6 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def bucket_column(key: str, buckets: int) -> Column:
-    """:func:`bucket_of` in the JVM."""
-    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(buckets).cast("long"), 32).cast("int")
-
-
 def level_of(values: np.ndarray, least: float) -> np.ndarray:
     c = np.maximum(np.asarray(values, float) / least, 1.0)
     return 1 + np.floor(np.log(c) / np.log(STEP) + 1e-9).astype(np.int64)
@@ -114,9 +109,9 @@ class LogBloom:
         at = self.begin[own] + ((place * self.size[own]) >> np.uint64(32))
         return self.words[at] & mask == mask
 
-    def values(self, keys: np.ndarray) -> np.ndarray:
-        """Value of each key: the middle of its level (the least itself on the first), 0 if it isn't held."""
-        out = np.zeros(len(keys))
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Level of each key, 0 if it isn't held."""
+        out = np.zeros(len(keys), np.int64)
         some = np.flatnonzero(self.has(keys))
         key = keys[some]
         lo, hi = np.ones(len(some), np.int64), np.full(len(some), self.top, np.int64)
@@ -124,21 +119,18 @@ class LogBloom:
             mid = (lo + hi + 1) >> 1
             yes = self.has(key, mid)
             lo, hi = np.where(yes, mid, lo), np.where(yes, hi, mid - 1)
-        low = self.least * STEP ** (lo - 1)
-        out[some] = np.where(lo == 1, low, low * STEP**0.5)
+        out[some] = lo
         return out
 
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, 0 if it isn't held."""
+        return values_of(self.levels(keys), self.least)
 
-def build(pairs: DataFrame, key: str, value: str, least: float, buckets: int) -> LogBloom:
-    """A filter of (key, value) rows; executors make the segments, only those reach the driver."""
-
-    def run(table: pa.Table) -> pa.Table:
-        top, words = segment(table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy(), least)
-        return pa.table({"bucket": table.column(0).slice(0, 1), "top": pa.array([top], pa.int32()), "words": pa.array([words.tobytes()], pa.binary())})
 
-    rows = pairs.select(bucket_column(key, buckets).alias("bucket"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
-    made = rows.groupBy("bucket").applyInArrow(run, "bucket int, top int, words binary")
-    return LogBloom(least, {r["bucket"]: (r["top"], np.frombuffer(r["words"], np.uint64)) for r in made.toLocalIterator()}, buckets)
+def values_of(levels: np.ndarray, least: float) -> np.ndarray:
+    """The middle of each level (the least itself on the first), 0 for level 0."""
+    low = least * STEP ** (levels.astype(np.int64) - 1.0)
+    return np.where(levels == 0, 0.0, np.where(levels == 1, low, low * STEP**0.5))
 
 
 class Tally:
@@ -208,196 +200,269 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _count_grams(n: int, order: int, shared: dict, buckets: int):
-    """Counts of n-grams whose two parts are held (kind 0) and of the contexts of held (n-1)-grams (kind 1), packed by bucket."""
+def all_grams(t: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 to ``order``: ends, hashes and contexts' hashes of the n-grams within texts."""
+    place, gram = places(first), t
+    for k in range(2, order + 1):
+        at = np.flatnonzero(place >= k - 1)
+        longer = np.zeros(len(t), np.uint64)
+        longer[at] = chain(gram[at - 1], t[at])
+        yield at, longer[at], gram[at - 1]
+        gram = longer
+
+
+PACKED = "bucket int, kind int, keys binary, contexts binary, counts binary"
+
+
+def _pack(kind: int, buckets: int, keys: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of :data:`PACKED` from ascending keys; no contexts for words."""
+    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+    own = np.flatnonzero(np.diff(cut)).tolist()
+    packed = [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary()) for x in (keys, contexts, n.astype("<u8"))]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), *packed], ["bucket", "kind", "keys", "contexts", "counts"])
+
 
+def _pack_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = [Tally(), Tally(), Tally()]
-        held = {k: b.value for k, b in shared.items()}
+        for batch in batches:
+            keys, n = add_up(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+            yield _pack(1, buckets, keys, keys[:0], n)
+
+    return run
+
+
+def with_contexts(keys: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`add_up` for keys that have a context each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    return keys[first], contexts[order[first]], np.add.reduceat(n[order], first) if len(keys) else n
+
 
-        def out(kind: int) -> pa.RecordBatch:
-            keys, count = tallies[kind].take()
-            cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-            own = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-            packed = [[x[cut[b] : cut[b + 1]].tobytes() for b in own] for x in (keys, count.astype(COUNT[kind]))]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], ["bucket", "kind", "keys", "counts"])
+def _count_grams(order: int, buckets: int):
+    """Counts of all n-grams of 2 to ``order`` tokens, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
+        held = {k: none for k in range(2, order + 1)}
+        raw: dict[int, list[tuple[np.ndarray, ...]]] = {k: [] for k in held}
+        size = dict.fromkeys(held, 0)
+
+        def settle(k: int) -> None:
+            held[k] = with_contexts(*(np.concatenate(x) for x in zip(held[k], *raw[k], strict=True)))
+            raw[k], size[k] = [], 0
 
         for batch in batches:
             for _, _, t, first in tokens(batch.column(0)):
-                at, place, gram = np.arange(len(t)), places(first), t
-                kept = held[1].has(t)
-                for k in range(2, n + 1):
-                    # grams of length k end at ``at``; ``kept`` says which of length k - 1 are held, by end
-                    both = np.flatnonzero((place[1:] >= k - 1) & kept[1:] & kept[:-1]) + 1
-                    longer = np.zeros(len(t), np.uint64)
-                    longer[both] = chain(gram[both - 1], t[both])
-                    if k == n:
-                        break
-                    hit = np.zeros(len(t), bool)
-                    hit[both] = held[k].has(longer[both])
-                    below, gram, kept = gram, longer, hit
-                if n > 2:
-                    end = np.flatnonzero(kept)
-                    # each occurrence is its count's part of one type
-                    parts = np.rint(PARTS / np.maximum(held[n - 1].values(gram[end]), 1.0)).astype(np.int64)
-                    if tallies[1].add(below[end - 1]) | tallies[2].add(below[end - 1], parts):
-                        yield out(1)
-                        yield out(2)
-                if n <= order and tallies[0].add(longer[both]):
-                    yield out(0)
-        for kind in range(3):
-            yield out(kind)
+                for k, (_, keys, contexts) in enumerate(all_grams(t, first, order), 2):
+                    raw[k].append((keys, contexts, np.ones(len(keys), np.int64)))
+                    size[k] += len(keys)
+                    if size[k] >= HELD:
+                        settle(k)
+                        if len(held[k][0]) >= HELD:
+                            yield _pack(k, buckets, *held[k])
+                            held[k] = none
+        for k in held:
+            settle(k)
+            yield _pack(k, buckets, *held[k])
 
     return run
 
 
-#: How counts of each kind are packed.
-COUNT = ("<u4", "<u8", "<u8")
+def unpack(parts: list[bytes | None], kind: type = np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in parts if x), kind)
+
+
+#: kind 0: a bucket's segment with the exact counts of its words; 1: contexts with K and T; 2: n-grams that may be contexts, with counts.
+MERGED = "kind int, bucket int, top int, words binary, keys binary, n binary, types binary"
 
 
-def _merge(least: float):
+def _merge(least: float, order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_pylist()
-        keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-        out = []
-        for k in range(3):
-            own = [i for i, x in enumerate(kind) if x == k]
-            key = np.frombuffer(b"".join(keys[i] for i in own), np.uint64)
-            n = np.frombuffer(b"".join(counts[i] for i in own), COUNT[k]).astype(np.int64)
-            key, n = add_up(key, n)
-            if k == 0:
-                key, n = key[n >= least], n[n >= least]
-            out.append((np.full(len(key), k, np.int32), key.view(np.int64), n))
-        return pa.table({name: pa.array(np.concatenate([o[c] for o in out])) for c, name in enumerate(("kind", "gram", "n"))})
+        kind, bucket = table.column("kind").to_numpy(), table.column("bucket")[0].as_py()
+        held, out, exact = [], [], None
+        for k in range(1, order + 1):
+            own = table.filter(pa.array(kind == k))
+            keys, contexts, n = (unpack(own.column(c).to_pylist(), d) for c, d in (("keys", np.uint64), ("contexts", np.uint64), ("counts", np.int64)))
+            keys, contexts, n = with_contexts(keys, contexts if k > 1 else keys, n)
+            if k == 1:
+                exact = keys.tobytes(), n.tobytes()
+            some = n >= least
+            keys, contexts, n = keys[some], contexts[some], n[some]
+            held.append((keys, n))
+            if k < order:
+                out.append((2, bucket, 0, None, keys.tobytes(), n.tobytes(), None))
+            if k > 1 and len(keys):
+                c, followed = add_up(contexts, n)
+                types = add_up(contexts, np.ones(len(contexts), np.int64))[1]
+                cut = np.searchsorted(bucket_of(c, buckets), np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    out.append((1, b, 0, None, *(x[cut[b] : cut[b + 1]].tobytes() for x in (c, followed, types))))
+        top, words = segment(*(np.concatenate(x) for x in zip(*held, strict=True)), least)
+        out.append((0, bucket, top, words.tobytes(), *exact, None))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int32()] * 3, *[pa.binary()] * 4), strict=True)], names=["kind", "bucket", "top", "words", "keys", "n", "types"])
 
     return run
 
 
-class Model:
-    """What the workers get, each array as a broadcast of its own: filters by order, and the exact counts of the words that are held."""
+#: One row a bucket: segment of counts, segment of c / B, and words with their exact counts.
+SEGMENTS = "bucket int, top int, words binary, back_top int, back binary, keys binary, n binary"
+
 
-    def __init__(self, n: int, v: int, order: int):
-        self.n, self.v, self.order = n, v, order
-        self.parts: dict[tuple[str, int], Broadcast] = {}
+def _finish(table: pa.Table) -> pa.Table:
+    kind = table.column("kind").to_numpy()
+    contexts, grams, own = (table.filter(pa.array(kind == k)) for k in (1, 2, 0))
+    keys, n = add_up(unpack(grams.column("keys").to_pylist()), unpack(grams.column("n").to_pylist(), np.int64))
+    c = unpack(contexts.column("keys").to_pylist())
+    followed, types = (add_up(c, unpack(contexts.column(x).to_pylist(), np.int64)) for x in ("n", "types"))
+    # B: the context's count, less its held continuations but for their discounts
+    left = n.astype(float)
+    at = np.searchsorted(keys, followed[0])
+    left[at] += D * types[1] - followed[1]
+    some = (left > 0) & (n > left)
+    top, back = segment(keys[some], n[some] / left[some], 1.0)
+    one = own.to_pylist()[0] if own.num_rows else {"top": 0, "words": np.zeros(1, np.uint64).tobytes(), "keys": b"", "n": b""}
+    row = (table.column("bucket")[0].as_py(), one["top"], one["words"], top, back.tobytes(), one["keys"], one["n"])
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "top", "words", "back_top", "back", "keys", "n"])
 
-    def held(self, k: int) -> LogBloom:
-        return self.parts["held", k].value
 
-    def back(self, k: int) -> LogBloom:
-        return self.parts["back", k].value
+class Model:
+    """Sizes of the training part, and the table of the filter's segments by bucket."""
 
-    def free(self) -> None:
-        for b in self.parts.values():
-            b.unpersist()
+    def __init__(self, n: int, v: int, order: int, least: float, buckets: int, segments: DataFrame):
+        self.n, self.v, self.order, self.least, self.buckets, self.segments = n, v, order, least, buckets, segments
 
     @property
     def total(self) -> float:
         return self.n + 0.5 * (self.v + 1)
 
-    def score(self, t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each text: base log10 and known tokens of held words, model's log10 without the rare words' last factor; and which tokens are rare."""
-        words, exact = self.parts["words", 1].value
-        u, inv = np.unique(t, return_inverse=True)
-        at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
-        common_u = words[at] == u if len(words) else np.zeros(len(u), bool)
-        base_u = np.where(common_u, np.log10((exact[at] + 0.5) / self.total) if len(words) else 0.0, 0.0)
-        count_u = np.zeros(len(u))
-        count_u[common_u] = self.held(1).values(u[common_u])
-        common, count = common_u[inv], count_u[inv]
-        p = np.where(common, (count + 0.5) / self.total, 1.0)
-        place, gram, own = places(first), t, common
-        left = np.zeros(len(t))  # c / B of the gram that ends here
-        if self.order > 1:
-            left_u = np.zeros(len(u))
-            left_u[common_u] = self.back(1).values(u[common_u])
-            left = left_u[inv]
-        for k in range(2, self.order + 1):
-            # contexts: grams of length k - 1 that are held, by their end
-            after = np.flatnonzero((place[1:] >= k - 1) & (count[:-1] > 0)) + 1
-            c = count[after - 1]
-            back = 1.0 / np.maximum(left[after - 1], 1.0)
-            longer, found = np.zeros(len(t), np.uint64), np.zeros(len(t))
-            longer[after] = chain(gram[after - 1], t[after])
-            may = after[own[after]]
-            found[may] = np.minimum(self.held(k).values(longer[may]), count[may - 1])
-            p[after] = np.minimum(np.maximum(found[after] - D, 0.0) / c + back * p[after], 1.0)
-            gram, count, own = longer, found, found > 0
-            if k < self.order:
-                left = np.zeros(len(t))
-                some = np.flatnonzero(own)
-                left[some] = self.back(k).values(longer[some])
-        begin = first[:-1]
-        p = np.maximum(p, 1e-30)  # a filter's false answer never makes a text impossible
-        return np.add.reduceat(base_u[inv], begin), np.add.reduceat(common.astype(np.int64), begin), np.add.reduceat(np.log10(p), begin), ~common
-
-
-def train(rows: DataFrame, *, text_col: str = "text", order: int = ORDER, share: int = SHARE) -> tuple[Model, DataFrame]:
-    """The model and the table of all words' exact counts (word, n), from every row."""
+
+def train(rows: DataFrame, *, text_col: str = "text", order: int = ORDER, share: int | None = None) -> Model:
+    """The model, from every row."""
     texts = rows.select(F.col(text_col).alias("text"))
     vocabulary = store.keep(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = n / 2**share
-
-    share_out = rows.sparkSession.sparkContext.broadcast
-    model = Model(int(n), int(v), order)
+    n, v = (int(x) for x in vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    least = 1.0 if share is None else max(1.0, n / 2**share)
     buckets = max(1, -(-n // BUCKET))
-    counts = {1: vocabulary.filter(F.col("n") >= least).select(F.col("word").alias("gram"), "n")}
-    found = counts[1].toArrow()
-    model.parts["words", 1] = share_out(add_up(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()))
-    del found
-    model.parts["held", 1] = share_out(build(counts[1], "gram", "n", max(least, 1.0), buckets))
-    for size in range(2, order + 2) if order > 1 else ():
-        filters = {k: model.parts["held", k] for k in range(1, min(size, order + 1))}
-        counted = texts.mapInArrow(_count_grams(size, order, filters, buckets), "bucket int, kind int, keys binary, counts binary")
-        merged = store.keep(counted.groupBy("bucket").applyInArrow(_merge(least), "kind int, gram long, n long"), f"grams{size}")
-        if size > 2:
-            # B: the context's count, less its held continuations but for their discounts
-            seen = merged.filter("kind > 0").groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(x) for k, x in ((1, "followed"), (2, "parts"))])
-            left = F.col("n") - F.coalesce("followed", F.lit(0)) + F.coalesce("parts", F.lit(0)) * F.lit(D / PARTS)
-            ratio = counts[size - 2].join(seen, "gram", "left").withColumn("left", left).filter("left > 0").select("gram", (F.col("n") / F.col("left")).alias("ratio"))
-            model.parts["back", size - 2] = share_out(build(ratio, "gram", "ratio", 1.0, buckets))
-        if size <= order:
-            counts[size] = merged.filter("kind = 0").select("gram", "n")
-            model.parts["held", size] = share_out(build(counts[size], "gram", "n", max(least, 1.0), buckets))
-    return model, vocabulary
-
-
-def _score(model: Model):
+    counted = vocabulary.mapInArrow(_pack_words(buckets), PACKED)
+    if order > 1:
+        counted = counted.unionByName(texts.mapInArrow(_count_grams(order, buckets), PACKED))
+    merged = store.keep(counted.groupBy("bucket").applyInArrow(_merge(least, order, buckets), MERGED), "merged")
+    return Model(n, v, order, least, buckets, store.keep(merged.groupBy("bucket").applyInArrow(_finish, SEGMENTS), "segments"))
+
+
+def _ask(order: int, buckets: int, kind: pa.DataType):
+    """Texts with their block, and what each block asks each bucket."""
+    names = ["block", "kind", "bucket", "id", "text", "keys"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        keys: dict[int, list[np.ndarray]] = {k: [] for k in range(1, order + 1)}
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for k, found in keys.items():
+                own = np.unique(np.concatenate([np.empty(0, np.uint64), *found]))
+                packed = _pack(k, buckets, own, own[:0], own[:0])
+                none = [pa.nulls(packed.num_rows, t) for t in (kind, pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * packed.num_rows, pa.int64()), packed.column(1), packed.column(0), *none, packed.column(2)], names)
+                found.clear()
+
         for batch in batches:
             for i, j, t, first in tokens(batch.column(1)):
-                base, known, part, is_rare = model.score(t, first)
-                at = np.flatnonzero(is_rare)
-                text = np.searchsorted(first, at, side="right") - 1
-                order = np.lexsort((t[at], text))
-                text, word = text[order], t[at[order]]
-                new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])))) if len(at) else at
-                times = np.diff(np.append(new, len(at)))
-                ends = np.searchsorted(text[new], np.arange(j - i + 1))
-                rare = pa.StructArray.from_arrays([pa.array(word[new].view(np.int64)), pa.array(times.astype(np.int64))], ["word", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(part), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rare)],
-                    ["id", "n_tokens", "known", "base", "part", "rare"],
-                )
+                one = j - i
+                yield pa.RecordBatch.from_arrays([pa.array([number] * one, pa.int64()), pa.array([0] * one, pa.int32()), pa.nulls(one, pa.int32()), batch.column(0).slice(i, one), batch.column(1).slice(i, one).cast(pa.string()), pa.nulls(one, pa.binary())], names)
+                keys[1].append(np.unique(t))
+                for k, (_, grams, _) in enumerate(all_grams(t, first, order), 2):
+                    keys[k].append(grams)
+                size += len(t)
+                if size >= BLOCK:
+                    yield from asked()
+                    number, size = number + 1, 0
+        yield from asked()
+
+    return run
+
+
+ANSWERS = "block long, kind int, bucket int, levels binary, back binary, exact binary"
+
+
+def _answer(least: float, order: int):
+    def run(asked: pa.Table, made: pa.Table) -> pa.Table:
+        out = []
+        if made.num_rows:
+            own = made.to_pylist()[0]
+            held, back = (LogBloom(x, {0: (own[t], np.frombuffer(own[w], np.uint64))}, 1) for x, t, w in ((least, "top", "words"), (1.0, "back_top", "back")))
+            words, exact = np.frombuffer(own["keys"], np.uint64), np.frombuffer(own["n"], np.int64)
+        for block, kind, bucket, packed in zip(*(asked.column(c).to_pylist() for c in ("block", "kind", "bucket", "keys")), strict=True):
+            keys = np.frombuffer(packed, np.uint64)
+            if made.num_rows:
+                n = np.zeros(len(keys), np.int64)
+                if kind == 1 and len(words):
+                    at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+                    n = np.where(words[at] == keys, exact[at], 0)
+                levels, left = held.levels(keys), back.levels(keys) if kind < order else np.zeros(0, np.int64)
+            else:
+                n = levels = left = np.zeros(len(keys), np.int64)
+            out.append((block, kind, bucket, levels.astype(np.uint8).tobytes(), left.astype(np.uint8).tobytes(), n.tobytes() if kind == 1 else None))
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "kind", "bucket", "levels", "back", "exact"])
+
+    return run
+
+
+def _score(order: int, least: float, total: float):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kind = answers.column("kind").to_numpy()
+        ids, column = texts.column("id").combine_chunks(), texts.column("text").combine_chunks()
+        runs = [(t, first) for _, _, t, first in tokens(column)]
+        told = {}
+        for k in range(1, order + 1):
+            own = answers.filter(pa.array(kind == k))
+            told[k] = [unpack(own.column(c).to_pylist(), d) for c, d in (("levels", np.uint8), ("back", np.uint8), ("exact", np.int64))]
+        grams = [[(None, t, None), *all_grams(t, first, order)] for t, first in runs]
+        keys = {k: np.unique(np.concatenate([np.empty(0, np.uint64), *(g[k - 1][1] for g in grams)])) for k in told}
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for (t, first), own in zip(runs, grams, strict=True):
+            at = np.searchsorted(keys[1], t)
+            level, back, exact = (x[at] if len(x) else np.zeros(len(t), np.int64) for x in told[1])
+            count = values_of(level, least)
+            base = np.log10((exact + 0.5) / total)
+            p = (np.where(level > 0, count, exact) + 0.5) / total
+            held, left = level > 0, values_of(back, 1.0)
+            for k in range(2, order + 1):
+                # contexts: grams of length k - 1 that are held, by their end
+                end, gram, _ = own[k - 1]
+                at = np.searchsorted(keys[k], gram)
+                level = np.zeros(len(t), np.uint8)
+                level[end] = told[k][0][at]
+                after = end[count[end - 1] > 0]
+                c = count[after - 1]
+                found = np.zeros(len(t))
+                may = after[held[after]]
+                found[may] = np.minimum(values_of(level[may], least), count[may - 1])
+                p[after] = np.minimum(np.maximum(found[after] - D, 0.0) / c + p[after] / np.maximum(left[after - 1], 1.0), 1.0)
+                if k < order:
+                    left = np.zeros(len(t))
+                    left[end] = values_of(told[k][1][at], 1.0)
+                count, held = found, found > 0
+            p = np.maximum(p, 1e-30)  # a filter's false answer never makes a text impossible
+            for x, y in zip(out, (np.diff(first), np.add.reduceat((exact > 0).astype(np.int64), first[:-1]), np.add.reduceat(base, first[:-1]), np.add.reduceat(np.log10(p), first[:-1])), strict=True):
+                x.append(y)
+        columns = [pa.array(np.concatenate([np.empty(0, d), *x]).astype(d)) for x, d in zip(out, (np.int64, np.int64, float, float), strict=True)]
+        return pa.Table.from_arrays([ids, *columns], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, *, train_rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: int = SHARE) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score, log10) for every row; trained on ``train_rows`` (default: all)."""
-    model, vocabulary = train(docs if train_rows is None else docs.filter(train_rows), text_col=text_col, order=order, share=share)
+def score(docs: DataFrame, *, train_rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: int | None = None) -> DataFrame:
+    """(id, n_tokens, n_known, train_tokens, base_score, score), the scores as log10, for every row; trained on ``train_rows`` (default: all)."""
+    model = train(docs if train_rows is None else docs.filter(train_rows), text_col=text_col, order=order, share=share)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {dict(rows.dtypes)['id']}, n_tokens long, known long, base double, part double, rare array<struct<word: long, n: long>>"
-    scored = store.keep(rows.mapInArrow(_score(model), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    model.free()
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
-    c = F.coalesce("n", F.lit(0))
-    tails = (
-        rare.join(vocabulary, "word", "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(model.total))).alias("tail"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"))
-    )
-    tail = F.coalesce("tail", F.lit(0.0))
-    return scored.join(tails, "row", "left").select(
-        "id", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + tail).alias("base_score"), (F.col("part") + tail).alias("score")
-    )
+    kind = dict(rows.dtypes)["id"]
+    asks = store.keep(rows.mapInArrow(_ask(order, model.buckets, to_arrow_type(rows.schema["id"].dataType)), f"block long, kind int, bucket int, id {kind}, text string, keys binary"), "asks")
+    asked = asks.filter("kind > 0").select("block", "kind", "bucket", "keys")
+    answers = asked.groupBy("bucket").cogroup(model.segments.groupBy("bucket")).applyInArrow(_answer(model.least, order), ANSWERS)
+    texts = asks.filter("kind = 0").select("block", "id", "text")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, model.least, model.total), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

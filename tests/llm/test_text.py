@@ -209,6 +209,58 @@ def test_lm_scores(spark):
     assert all(abs(x["base_score"] - x["n_tokens"] * math.log10(0.5 / 0.5)) < 1e-9 for x in bloom_lm.score(df.limit(3), train_rows=F.lit(False)).collect())
 
 
+def test_lm_holds_every_gram_at_every_size(spark, monkeypatch):
+    """Bigrams seen once are held whatever the corpus size, over many buckets and blocks; held to brute force."""
+    monkeypatch.setattr(bloom_lm, "BUCKET", 1 << 10)
+    monkeypatch.setattr(bloom_lm, "BLOCK", 1 << 9)
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randint(0, 60)}" for _ in range(40)) for _ in range(150)] + ["q1 q2 q3"]
+    df = docs(spark, texts)
+    model = bloom_lm.train(df)
+    assert model.least == 1 and model.buckets > 5
+    found = {x["id"]: x["score"] for x in bloom_lm.score(df, train_rows=F.lit(True)).collect()}
+    level = lambda c: bloom_lm.values_of(bloom_lm.level_of(np.array([c]), 1.0), 1.0)[0] if c else 0.0
+    own = [[*t.split(), "end"] for t in texts]
+    c = Counter(tuple(o[i : i + k]) for o in own for k in (1, 2, 3) for i in range(len(o) - k + 1))
+    follow = defaultdict(set)
+    for g in c:
+        follow[g[:-1]].add(g[-1])
+    n, v = sum(map(len, own)), sum(len(g) == 1 for g in c)
+    total, off = n + 0.5 * (v + 1), []
+    for k, o in enumerate(own):
+        s = 0.0
+        for i, w in enumerate(o):
+            p = (level(c[w,]) + 0.5) / total
+            count = None
+            for size in (2, 3):
+                if i >= size - 1:
+                    h = tuple(o[i - size + 1 : i])
+                    cont, hc = len(follow[h]), level(c[h])
+                    if size == 3:
+                        hc = min(hc, level(c[h[:1]]))
+                    ratio = c[h] / (0.75 * cont)
+                    back = level_ratio(ratio)
+                    count = min(level(c[*h, w]), hc)
+                    p = min(max(count - 0.75, 0) / hc + p / back, 1.0)
+            s += math.log10(p)
+        off.append(found[k] - s)
+    # the filter's false answers (about one in a hundred probes) only ever raise a count
+    assert abs(np.median(off)) < 0.5 and sum(abs(x) < 1e-6 for x in off) > 0, sorted(off)
+
+
+def level_ratio(x):
+    return max(1.0, bloom_lm.values_of(bloom_lm.level_of(np.array([x]), 1.0), 1.0)[0])
+
+
+def test_lm_drops_no_gram_of_a_large_corpus(spark):
+    """Beyond 2**25 tokens a trigram seen once still counts: its text scores far above its words' own shares."""
+    big = spark.range(70).select("id", F.expr("repeat('a ', 500000)").alias("text"))
+    rows = big.unionByName(spark.createDataFrame([(100, "q1 q2 q3"), (101, "q3 q1 q2")], "id long, text string"))
+    found = {x["id"]: x for x in bloom_lm.score(rows, train_rows=F.col("id") != 101, id_col="id").filter("id >= 100").collect()}
+    assert found[100]["train_tokens"] > 1 << 25 and found[100]["n_known"] == 4
+    assert found[100]["score"] > 0.6 * found[100]["base_score"] and found[100]["score"] > found[101]["score"] + 3
+
+
 def test_log_bloom():
     r = np.random.default_rng(5)
     keys, values = r.integers(0, 2**63, 20_000).astype(np.uint64), r.geometric(0.1, 20_000)
