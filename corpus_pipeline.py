@@ -15,8 +15,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every near-duplicate component."""
-    return simhash.drop_near(docs)
+    """The smallest id of every component of 0.8 or more in the similarity of 5-word shingles."""
+    return simhash.drop_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

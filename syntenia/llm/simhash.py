@@ -15,6 +15,12 @@ first search with array comparisons; a run of over LARGE fingerprints is split
 again by the halves of the other 32 bits.  Components come from alternating stars,
 and rows look up theirs by fingerprint.
 
+:func:`similar_duplicates` is the verified form: components of 0.8 or more in the Jaccard similarity of
+5-word shingle sets, without loss.  Links of 5-word fingerprints come first, confirmed on the sets.  What
+is out of their reach meets under a shingle: of a set of n, the first n - ceil(0.8 n) + 1 in any one order
+must hold a common one.  The order is frequent shingles last, so runs are short; a run is compared with its
+smallest member first and in full only across components that are still apart.
+
 Defined cases: null or empty text, or white space only, has fingerprint zero and
 links like any other; fewer than 3 words are one shingle; equal rows share their
 component; a null id counts only where a component has no other; empty tables give
@@ -34,11 +40,14 @@ from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
 from . import store
-from .ragged import lowered
+from .bloom_lm import Tally
+from .ragged import chain, lowered, word_runs
 
 SEED, SHINGLE, NEAR = 42, 3, 3
 #: Shingles hashed at once; fingerprints of a run compared without a further index.
 PART, LARGE = 1 << 16, 4096
+#: Words of a shingle and Jaccard similarity of :func:`similar_duplicates`; shingles that are known as frequent.
+WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
 
 
 def bit_counts(digests: bytes) -> np.ndarray:
@@ -181,3 +190,116 @@ def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the smallest id of each component only."""
     lost = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_lost"))
     return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+
+
+def _sets(width: int):
+    """Each text's distinct shingles, ascending, with a hash of them all and its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = lowered(batch.column(1))
+            for i, j, h, first in word_runs(texts):
+                found = []
+                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                    n = min(width, b - a)
+                    g = h[a : b - n + 1] if n else h[:0]
+                    for k in range(1, n):
+                        g = chain(g, h[a + k : b - n + 1 + k])
+                    found.append(np.unique(g).view(np.int64))
+                own = [int.from_bytes(xxhash.xxh64_digest(g.tobytes(), SEED), "big", signed=True) for g in found]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(own, pa.int64()), pa.array([fingerprint(t, width) for t in texts[i:j]], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))],
+                    ["id", "own", "fp", "shingles"],
+                )
+
+    return run
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles seen three times or more within a stretch; only an order depends on them, never a result."""
+    tally = Tally()
+
+    def out() -> pa.RecordBatch:
+        keys, n = tally.take()
+        return pa.RecordBatch.from_arrays([pa.array(keys[n > 2].view(np.int64)), pa.array(n[n > 2])], ["s", "n"])
+
+    for batch in batches:
+        if tally.add(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)):
+            yield out()
+    yield out()
+
+
+def _prefixes(frequent, similar: float):
+    """(s, own, n): the first shingles of each set, frequent ones last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rank = frequent.value
+        for batch in batches:
+            s, own, n = [np.empty(0, np.int64)], [], []
+            for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                g = g.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+                last = np.where(keys[at] == g, rank[at], 0) if len(keys) else np.zeros(len(g), np.int64)
+                first = g[np.lexsort((g, last))][: len(g) - int(np.ceil(similar * len(g) - 1e-9)) + 1]
+                s.append(first)
+                own += [k] * len(first)
+                n += [len(g)] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(own, pa.int64()), pa.array(n, pa.int32())], ["s", "own", "n"])
+
+    return run
+
+
+def similar_duplicates(docs: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: components of ``similar`` or more in the Jaccard similarity of shingle sets."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets = store.keep(rows.mapInArrow(_sets(width), f"id {dict(rows.dtypes)['id']}, own long, fp long, shingles array<long>"), "sets")
+    one = store.keep(sets.select("own", "fp", "shingles").dropDuplicates(["own"]), "distinct")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        a, b = (one.select(F.col("own").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("u", "v"))
+        both = pairs.join(a, "u").join(b, "v").withColumn("n", F.size(F.array_intersect("su", "sv")))
+        return both.filter(F.col("n") >= F.lit(similar) * (F.size("su") + F.size("sv") - F.col("n")) - 1e-9).select("u", "v")
+
+    def near_size(a: str, b: str):
+        return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
+
+    # sets of one fingerprint are linked to the first of them, fingerprints to each other
+    heads = one.groupBy("fp").agg(F.min("own").alias("head"))
+    same = one.join(heads, "fp").filter("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v"))
+    met = links(heads.select("fp")).join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    edges = store.keep(confirmed(same.unionByName(met).distinct()), "close")
+
+    often = one.select("shingles").mapInArrow(_tallies, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow().sort_by("s")
+    frequent = spark.sparkContext.broadcast((often.column(0).to_numpy(), often.column(1).to_numpy()))
+    prefixes = store.keep(one.select("own", "shingles").mapInArrow(_prefixes(frequent, similar), "s long, own long, n int"), "prefixes")
+    frequent.unpersist()
+    runs = prefixes.groupBy("s").agg(F.min(F.struct("own", "n")).alias("head"), F.count("*").alias("times")).filter("times > 1")
+    shared = store.keep(prefixes.join(runs, "s").select("s", "own", "n", F.col("head.own").alias("head"), F.col("head.n").alias("m")), "runs")
+
+    def now() -> DataFrame:
+        return store.keep(one.select("own").join(component_roots(edges), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
+
+    root = now()
+    star = shared.filter("own <> head").filter(near_size("n", "m")).select(F.col("own").alias("u"), F.col("head").alias("v")).distinct()
+    apart = star.join(root.toDF("u", "ru"), "u").join(root.toDF("v", "rv"), "v").filter("ru <> rv").select("u", "v")
+    edges = store.keep(edges.unionByName(confirmed(apart)), "close")
+    root = now()
+    a = shared.join(root, "own").select("s", F.col("own").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    # a run within one component has no pair left
+    open_runs = a.groupBy("s").agg(F.min("ru").alias("x"), F.max("ru").alias("y")).filter("x <> y").select("s")
+    a = store.keep(a.join(open_runs, "s", "left_semi"), "open")
+    b = a.toDF("s", "v", "nv", "rv")
+    rest = a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct()
+    edges = store.keep(edges.unionByName(confirmed(rest)), "close")
+    member = sets.select("id", "own").join(now(), "own")
+    least = member.groupBy("root").agg(F.min("id").alias("component_id"))
+    return member.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with the smallest id of each component of :func:`similar_duplicates` only."""
+    found = store.keep(similar_duplicates(docs, id_col=id_col, **how), "similar")
+    lost = found.filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_lost"))
+    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")

@@ -88,6 +88,29 @@ def test_near_duplicates(spark):
     assert {x["doc_id"] for x in simhash.drop_near(df).collect()} == set(want.values())
 
 
+def test_similar_duplicates(spark):
+    """The pipeline's stage finds every pair of 0.8 or more by brute force, most of them beyond 3 bits."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(r.choice([9, 40, 120]))] for _ in range(25)]
+    texts = ODD[:6] + ODD[8:] + [" ".join(w) for w in base]
+    for w in base:
+        for _ in range(4):
+            own = list(w)
+            for _ in range(r.randint(1, 3)):
+                own[r.randrange(len(own))] = f"new{r.randint(0, 9)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in map(words, texts)]
+    near = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = roots(range(len(texts)), near)
+    df = docs(spark, texts)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_duplicates(df).collect()} == want
+    assert {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()} == set(want.values())
+    assert simhash.drop_similar(df.limit(0)).count() == 0
+    assert {x["doc_id"] for x in simhash.drop_near(df).collect()} - set(want.values())  # three bits miss some
+
+
 @pytest.mark.parametrize("large", [4096, 20])
 def test_links_lose_nothing(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "LARGE", large)
