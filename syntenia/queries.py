@@ -140,7 +140,7 @@ def _merged(s: SparkSession, d: str) -> DataFrame:
 
 
 def _leaders(s: SparkSession, d: str) -> DataFrame:
-    return C.leader_clusters(texts(s, d), 5, 0.9, "block")
+    return C.leader_clusters(texts(s, d), 5, 0.9)
 
 
 def _variable(s: SparkSession, d: str) -> DataFrame:
@@ -196,6 +196,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "org_kmer_cosine": lambda s, d: K.org_kmer_similarity(texts(s, d), 4).withColumn("sim", _r(F.col("sim"))),
     "kmer_cosine_pairs": lambda s, d: K.cosine(K.kmers(texts(s, d), 5, ("gene_id", "block")), "gene_id", 0.9, "block").withColumn("sim", _r(F.col("sim"))),
     "rescaled_sim": lambda s, d: K.transform_sim(K.cosine(K.kmers(texts(s, d), 5, ("gene_id", "block")), "gene_id", 0.9, "block"), 0.9, True, F.sqrt).withColumn("sim", _r(F.col("sim"), 6)),
+    "kmer_cosine_all_pairs": lambda s, d: K.cosine_of_genes(texts(s, d), 5, 0.9).withColumn("sim", _r(F.col("sim"))),
+    "rescaled_sim_all_pairs": lambda s, d: K.transform_sim(K.cosine_of_genes(texts(s, d), 5, 0.9), 0.9, True, F.sqrt).withColumn("sim", _r(F.col("sim"), 6)),
     "length_band_pairs": _band_pairs,
     "width_components": _width_components,
     "remove_genes": _remove,
