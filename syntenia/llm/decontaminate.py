@@ -1,17 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: short n-gram seeds, then Smith-Waterman alignment.
 
-Every run of five words of a test item is a seed; a shorter run of three or four
-takes its place where that is rare in the corpus (at most RARE occurrences for each
-document).  A text with a seed of an item is a candidate at the seed's diagonal;
+Every run of three words of a test item is a seed, however frequent; a copy with at most a fifth
+of its words replaced or dropped has one intact, but of an item of five words only two words, which
+are its seeds then.  A text with a seed of an item is a candidate at the seed's diagonal;
 seeds on near diagonals share a window of the text, the item's length and a quarter
-more to either side.  Item and window are aligned word by word (Smith-Waterman:
+more to either side.  A window without 0.8 of the item's words, in any order, is left out.
+Item and window are aligned word by word (Smith-Waterman:
 match 2, mismatch and gap -1), and the similarity is the matched words over the
 item's words.  Pairs of 0.8 or more are contaminated, so copies with replaced,
 dropped or added words are found as well as whole ones.
 
 Plan.  The benchmark is a query set: it is broadcast in blocks of at most BLOCK_WORDS
-words, each block scanning the corpus twice (counts of its n-grams; seeds and
-alignment), with no shuffle of texts.  A worker looks hashes up in a bitmap, then in a
+words, each block scanning the corpus once, with no shuffle of texts.  A worker looks hashes up in a bitmap, then in a
 sorted array.  Only hits leave it.
 
 Defined cases: null and empty texts match nothing; items of no words are skipped,
@@ -33,8 +33,6 @@ from . import store
 from .ragged import chain, lowered, word_runs
 
 SHORT, LONG, SIMILAR = 3, 5, 0.8
-#: Occurrences for each document of the corpus up to which a short n-gram is rare.
-RARE = 0.01
 BLOCK_WORDS = 2_000_000
 MATCH, OTHER = 2, -1
 _SHIFT = np.int64(20)
@@ -118,42 +116,23 @@ class Items:
     def words(self, k: int) -> np.ndarray:
         return self.hashes[self.first[k] : self.first[k + 1]]
 
-    def short_grams(self) -> dict[int, np.ndarray]:
-        return {n: np.unique(grams(self.hashes, self.first, n)[0]) for n in range(SHORT, LONG)}
-
-    def seeds(self, rare: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each length: hash, item and place of the seeds; the shortest rare run at a place, five words else."""
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        by = {n: dict(zip(at.tolist(), g.tolist(), strict=True)) for n in range(1, LONG + 1) for g, at in [grams(self.hashes, self.first, n)]}
-        few = {n: set(v.tolist()) for n, v in rare.items()}
-        for k, size in enumerate(self.whole):
-            at0 = int(self.first[k])
-            for place in range(size):
-                for n in range(SHORT, LONG + 1):
-                    if size < LONG:
-                        n = size  # noqa: PLW2901  the whole item
-                        if place:
-                            break
-                    elif place + n > size or (n < LONG and by[n][at0 + place] not in few[n]):
-                        continue
-                    out.setdefault(n, []).append((by[n][at0 + place], k, place))
-                    break
-        return {n: tuple(np.array(x, t) for x, t in zip(zip(*sorted(rows), strict=True), (np.uint64, np.int64, np.int64), strict=True)) for n, rows in out.items()}
-
-
-def _count(tables: dict[int, np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = {n: Lookup(keys) for n, keys in tables.items()}
-        seen = {n: np.zeros(len(f.keys), np.int64) for n, f in find.items()}
-        for batch in batches:
-            for _, _, h, first in word_runs(lowered(batch.column(0))):
-                for n, f in find.items():
-                    np.add.at(seen[n], f.find(grams(h, first, n)[0])[1], 1)
-        for n, f in find.items():
-            some = np.flatnonzero(seen[n])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(f.keys[some].view(np.int64)), pa.array(seen[n][some])], ["size", "gram", "n"])
-
-    return run
+    def seeds(self, similar: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: hash, item and place of the seeds, by hash.
+
+        With k words lost, the others lie in k + 1 runs at most, so the longest has an equal share at least.
+        """
+        whole = np.array(self.whole)
+        lost = np.floor((1 - similar) * whole + 1e-9).astype(np.int64)
+        length = np.clip(-(-(whole - lost) // (lost + 1)), 1, SHORT)
+        length = np.where(whole < LONG, whole, length)
+        out = {}
+        for n in np.unique(length).tolist():
+            g, at = grams(self.hashes, self.first, n)
+            item = np.searchsorted(self.first, at, side="right") - 1
+            own = np.flatnonzero(length[item] == n)
+            own = own[np.argsort(g[own], kind="stable")]
+            out[n] = g[own], item[own], at[own] - self.first[item[own]]
+        return out
 
 
 def _scan(items: Items, seeds: dict, similar: float):
@@ -164,15 +143,16 @@ def _scan(items: Items, seeds: dict, similar: float):
             rows: list[tuple[int, int, float, int, int]] = []
             for i, _, h, first in word_runs(texts):
                 text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                hits: dict[tuple[int, int], set[int]] = {}
+                hits = [np.empty((3, 0), np.int64)]
                 for n, f in find.items():
                     g, at = grams(h, first, n)
-                    for place, key in zip(*(x.tolist() for x in f.find(g)), strict=True):
-                        a, b = np.searchsorted(seeds[n][0], f.keys[key], "left"), np.searchsorted(seeds[n][0], f.keys[key], "right")
-                        t = int(text_of[at[place]])
-                        for item, where in zip(seeds[n][1][a:b].tolist(), seeds[n][2][a:b].tolist(), strict=True):
-                            hits.setdefault((t, item), set()).add(int(at[place] - first[t]) - where)
-                rows += [(i + t, *found) for t, found in _verify(hits, items, h, first, similar)]
+                    place, key = f.find(g)
+                    begin, end = (np.searchsorted(seeds[n][0], f.keys[key], side) for side in ("left", "right"))
+                    times = end - begin
+                    own = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    at = np.repeat(at[place], times)
+                    hits.append(np.stack((text_of[at], seeds[n][1][own], at - first[text_of[at]] - seeds[n][2][own])))
+                rows += [(i + t, *found) for t, found in _verify(np.concatenate(hits, axis=1), items, h, first, similar)]
             if rows:
                 doc, item, sim, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -183,21 +163,22 @@ def _scan(items: Items, seeds: dict, similar: float):
     return run
 
 
-def _verify(hits: dict, items: Items, h: np.ndarray, first: np.ndarray, similar: float) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
-    """The best alignment of each candidate pair, where similar enough, with its first and last word."""
+def _verify(hits: np.ndarray, items: Items, h: np.ndarray, first: np.ndarray, similar: float) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
+    """The best alignment of each candidate pair (rows of ``hits``: text, item, diagonal), where similar enough, with its first and last word."""
+    if not hits.size:
+        return
+    t, item, d = hits[:, np.lexsort(hits[::-1])]
+    size = np.array(items.whole, np.int64)[item]
+    slack = size // 4 + 2
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (item[1:] != item[:-1]) | (d[1:] > d[:-1] + slack[1:])))
+    begin = np.flatnonzero(new)
+    lo = np.maximum(0, d[begin] - slack[begin])
+    hi = np.minimum(first[t[begin] + 1] - first[t[begin]], d[np.append(begin[1:], len(t)) - 1] + (size + slack)[begin])
     todo = []
-    for (t, item), diagonals in hits.items():
-        size = items.whole[item]
-        slack, end = size // 4 + 2, int(first[t + 1] - first[t])
-        lo = hi = None
-        for d in sorted(diagonals):
-            if hi is not None and d <= hi + slack:
-                hi = d
-                continue
-            if hi is not None:
-                todo.append((t, item, max(0, lo - slack), min(end, hi + size + slack)))
-            lo = hi = d
-        todo.append((t, item, max(0, lo - slack), min(end, hi + size + slack)))
+    for one in zip(t[begin].tolist(), item[begin].tolist(), lo.tolist(), hi.tolist(), strict=True):
+        words = items.words(one[1])
+        if np.isin(words, h[first[one[0]] + one[2] : first[one[0]] + one[3]]).sum() >= similar * len(words) - 1e-9:
+            todo.append(one)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     todo.sort(key=lambda x: (items.whole[x[1]], x[3] - x[2]))
     at = 0
@@ -226,20 +207,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMI
     """(doc_id, item_id, similarity, first_word, last_word): one row per contaminated document and item."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    total = docs.count()
     out = None
     held: list[tuple] = []
     size = 0
 
     def block(part: list[tuple]) -> DataFrame:
         items = Items([k for k, _ in part], [t for _, t in part])
-        tables = items.short_grams()
-        seen = rows.select("text").mapInArrow(_count(tables), "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-        often: dict[int, set[int]] = {n: set() for n in tables}
-        for r in seen.filter(F.col("n") > RARE * total).toLocalIterator():
-            often[r["size"]].add(r["gram"])
-        rare = {n: keys[~np.isin(keys.view(np.int64), np.fromiter(often[n], np.int64, len(often[n])))] for n, keys in tables.items()}
-        return rows.mapInArrow(_scan(items, items.seeds(rare), similar), f"id {kind}, item_id long, similarity double, first_word long, last_word long")
+        return rows.mapInArrow(_scan(items, items.seeds(similar), similar), f"id {kind}, item_id long, similarity double, first_word long, last_word long")
 
     for r in benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).alias("t")).filter("t IS NOT NULL").orderBy("k").toLocalIterator():
         text = r["t"].encode().lower()

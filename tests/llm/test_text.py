@@ -429,6 +429,21 @@ def test_contaminated(spark):
     assert decontaminate.drop_contaminated(df, bench).count() == len(rows) + len(ODD) - len(want)
 
 
+def test_frequent_short_seeds(spark):
+    """Edited copies are found where all three- and four-word runs of their item are frequent, and in small corpora."""
+    r = random.Random(12)
+    items = [[f"w{r.randint(0, 5000)}" for _ in range(n)] for n in (5, 15, 20, 40)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    pad = lambda: [f"p{r.randint(0, 300)}" for _ in range(30)]
+    rows, want = [], set()
+    for k, w in enumerate(items):
+        for at in (None, 4, 2):  # whole; every fifth word replaced, from the fifth or the third on
+            want.add((len(rows), k))
+            rows.append(" ".join([*pad(), *("new" if at is not None and i % 5 == at else x for i, x in enumerate(w)), *pad()]))
+    found = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert found == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
     from tokenizers import Tokenizer
