@@ -100,10 +100,10 @@ def _largest(s: SparkSession, d: str) -> DataFrame:
 
 
 def _components(s: SparkSession, d: str) -> DataFrame:
-    """Components of the graph of users who bought the same part of the dearest orders."""
+    """Components of the graph of customers who bought the same part."""
     from .operators.components import components
 
-    o = _t(s, d, "orders").filter("o_totalprice > 400000").select("o_orderkey", "o_custkey")
+    o = _t(s, d, "orders").select("o_orderkey", "o_custkey")
     line = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     edges = o.join(line, "o_orderkey").select(F.col("o_custkey").alias("u"), (-F.col("l_partkey")).alias("v")).distinct()
     return components(edges.select(F.col("u").alias("node")).distinct(), edges).groupBy("component").agg(F.count("*").alias("n"))

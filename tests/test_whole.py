@@ -26,3 +26,23 @@ def test_cosine_pairs_of_all_blocks(spark):
     assert scaled.keys() == want.keys() and all(abs(scaled[p] - math.sqrt(max((s - 0.9) / 0.1, 0))) < 1e-5 for p, s in want.items())
     leader = {r.gene_id: r.leader for r in Q.queries()["leader_clusters"](spark, DATA).collect()}
     assert any(block[g] != block[x] for g, x in leader.items()) and all(g == x or sims[min(g, x), max(g, x)] >= 0.9 for g, x in leader.items())
+
+
+def test_components_of_all_orders(spark, tmp_path):
+    orders = [(k, k % 7 + 100 * (k % 3), float(k * 1000)) for k in range(1, 40)]
+    lines = [(k, (k % 3) * 50 + j * (k % 7)) for k, _, _ in orders for j in (0, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    customer = {k: c for k, c, _ in orders}
+    for k, part in lines:
+        up[top(("c", customer[k]))] = top(("p", part))
+    sizes = Counter(top(("c", c)) for c in set(customer.values()))
+    assert len(sizes) > 1
+    assert sorted(r.n for r in Q.queries()["components"](spark, str(tmp_path)).collect()) == sorted(sizes.values())
