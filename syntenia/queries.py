@@ -192,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pc_vertices": lambda s, d: N.pc_vertices(contigs(s, d)).select("group_id", *[F.array_join(c, ";").alias(c) for c in ("organisms", "upstream", "downstream")]),
     "pc_degree": lambda s, d: N.degrees(N.pc_edges(contigs(s, d), slim=True)),
     "neighborhood_similarity": lambda s, d: S.neighborhood_similarity(contigs(s, d).withColumn("group_id", F.concat_ws("_", "group_id", (F.col("gene_id") % 20).cast("string"))), 2),
+    "neighborhood_similarity_all_pairs": lambda s, d: S.neighborhood_similarity(contigs(s, d), 2),
     "kmer_spectrum": lambda s, d: K.kmers(texts(s, d), 5),
     "org_kmer_cosine": lambda s, d: K.org_kmer_similarity(texts(s, d), 4).withColumn("sim", _r(F.col("sim"))),
     "kmer_cosine_pairs": lambda s, d: K.cosine(K.kmers(texts(s, d), 5, ("gene_id", "block")), "gene_id", 0.9, "block").withColumn("sim", _r(F.col("sim"))),

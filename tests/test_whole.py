@@ -46,3 +46,27 @@ def test_components_of_all_orders(spark, tmp_path):
     sizes = Counter(top(("c", c)) for c in set(customer.values()))
     assert len(sizes) > 1
     assert sorted(r.n for r in Q.queries()["components"](spark, str(tmp_path)).collect()) == sorted(sizes.values())
+
+
+def test_neighborhood_similarity_of_all_pairs(spark):
+    contigs, genes = {}, {r.gene_id: r for r in Q.contigs(spark, DATA).collect()}
+    for r in sorted(genes.values(), key=lambda r: (r.start, r.gene_id)):
+        contigs.setdefault((r.org_id, r.contig), []).append(r.gene_id)
+    flank = {}
+    for own in contigs.values():
+        for at, g in enumerate(own):
+            before, after = own[max(0, at - 2) : at][::-1], own[at + 1 : at + 3]
+            flank[g] = [genes[x].group_id for x in (before + after if genes[g].strand == 1 else after + before)]
+    want, members = {}, {}
+    for g, r in sorted(genes.items()):
+        members.setdefault(r.group_id, []).append(g)
+    for own in members.values():
+        for i in own:
+            for j in own:
+                if i < j and genes[i].org_id != genes[j].org_id:
+                    a, b = set(flank[i]), set(flank[j])
+                    n = sum(x == y for x, y in zip([x for x in flank[i] if x in b], [y for y in flank[j] if y in a], strict=False))
+                    if n:
+                        want[i, j] = n
+    found = {(r.i, r.j): r.n_sim for r in Q.queries()["neighborhood_similarity_all_pairs"](spark, DATA).collect()}
+    assert any(i % 20 != j % 20 for i, j in want) and found == want
