@@ -177,21 +177,24 @@ def merge_candidates(genes: DataFrame) -> DataFrame:
     return a.join(b, ["group_id", "side"]).filter("a < b").select("a", "b").distinct()
 
 
-def neighborhood_merge(genes: DataFrame, options: IdentityOptions = IdentityOptions(c=0.9, k=5), rounds: int = 50) -> DataFrame:
+def neighborhood_merge(genes: DataFrame, options: IdentityOptions = IdentityOptions(c=0.9, k=5)) -> DataFrame:
     """Merge groups that share a neighborhood and whose longest members are one identity cluster, until none is left."""
-    for _ in range(rounds):
+    turn = 0
+    while True:
         pairs = materialize(merge_candidates(genes), "merge")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("group_id")).distinct()
         reps = representatives(genes, "longest").join(wanted, "group_id", "left_semi").join(genes.select("gene_id", "sequence"), "gene_id")
         label = identity_clusters(reps, options).join(reps.select("gene_id", "group_id"), "gene_id").select("group_id", "leader")
         like = pairs.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b").filter("la = lb")
-        # one partner each: a pair stands if it is the first of both its groups
-        first = like.select("a", "b", F.row_number().over(W.partitionBy("a").orderBy("b")).alias("na"), F.row_number().over(W.partitionBy("b").orderBy("a")).alias("nb")).filter("na = 1 AND nb = 1")
-        chosen = materialize(first.join(first.select(F.col("b").alias("a")), "a", "left_anti").select(F.col("b").alias("group_id"), F.col("a").alias("_into")), "chosen")
+        # one partner each: a pair stands if it is the first of both its groups, in an order drawn anew in each round, so one at least does
+        drawn = materialize(like.select("a", "b", F.struct(F.xxhash64("a", "b", F.lit(turn)).alias("h"), "a", "b").alias("p")), "drawn")
+        first = drawn.select(F.explode(F.array("a", "b")).alias("g"), "p").groupBy("g").agg(F.min("p").alias("p"))
+        both = first.groupBy("p").agg(F.count("*").alias("n")).filter("n = 2")
+        chosen = materialize(both.select(F.col("p.b").alias("group_id"), F.col("p.a").alias("_into")), "chosen")
         if chosen.isEmpty():
-            break
+            return genes
         genes = materialize(genes.join(chosen, "group_id", "left").withColumn("group_id", F.coalesce("_into", "group_id")).drop("_into"), "merged")
-    return genes
+        turn += 1
 
 
 def paralogue_links(genes: DataFrame, k: int = 5, limit: float = 0.5, algorithm: str = "infomap", rescale: bool = True, seed: int = 0) -> DataFrame:

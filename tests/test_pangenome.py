@@ -100,6 +100,18 @@ def test_splits_refine(grouped):
     assert sum(map(len, groups)) == 17 and all(any(g <= w for w in want) for g in groups)
 
 
+def test_merge_leaves_no_like_group(spark):
+    """More than fifty groups beside one knot, all alike, merge until the knot has two neighbors and is none."""
+    from syntenia.operators.splitting import neighborhood_merge
+
+    r = random.Random(3)
+    one = "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(40))
+    rows = [(c * 2 + k, c, "c", k * 100, k * 100 + 40, 1, 0 if k == 0 else c + 1, one if k else one[::-1], 40) for c in range(60) for k in (0, 1)]
+    genes = spark.createDataFrame(rows, "gene_id long, org_id int, contig string, start int, end int, strand int, group_id long, sequence string, width int")
+    merged = neighborhood_merge(genes).select("gene_id", "group_id").collect()
+    assert len(merged) == 120 and {x.group_id for x in merged if x.gene_id % 2 == 0} == {0} and len({x.group_id for x in merged if x.gene_id % 2}) == 2
+
+
 def test_subset_and_removal(grouped):
     two = grouped.subset([3, 1])
     assert two.n_genes() == 12 and sorted(r["org_name"] for r in two.organisms.collect()) == ["org0", "org2"]
