@@ -211,6 +211,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_groups": _match,
     "group_changes": _changes,
     "renumber": _renumber,
+    "renumber_orders": lambda s, d: M.renumber(parts(s, d, "l_orderkey").select("gene_id", "group_id"), "group_id"),
     "merge_pangenomes": _merged,
     "leader_clusters": _leaders,
     "variable_regions": _variable,

@@ -70,3 +70,9 @@ def test_neighborhood_similarity_of_all_pairs(spark):
                         want[i, j] = n
     found = {(r.i, r.j): r.n_sim for r in Q.queries()["neighborhood_similarity_all_pairs"](spark, DATA).collect()}
     assert any(i % 20 != j % 20 for i, j in want) and found == want
+
+
+def test_renumber_all_orders(spark):
+    own = {r.gene_id: r.group_id for r in Q.parts(spark, DATA, "l_orderkey").collect()}
+    rank = {g: k for k, g in enumerate(sorted(set(own.values())), 1)}
+    assert {r.gene_id: r.group_id for r in Q.queries()["renumber_orders"](spark, DATA).collect()} == {g: rank[x] for g, x in own.items()}
