@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialize
+from ..plans.tables import discard, materialize
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def component_roots(edges: DataFrame) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     last = mark(now)
     while last[0]:
-        now = materialize(_small(_large(now)), "stars")
+        before, now = now, materialize(_small(_large(now)), "stars")
+        discard(before)
         this = mark(now)
         if this == last:
             break
