@@ -80,12 +80,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scope() -> Iterator[None]:
-    """Discards every table made inside that is still there."""
-    before = set(_live)
+def scope() -> Iterator[list[DataFrame]]:
+    """Discards every table made inside that is still there, but for those put into the list that it gives."""
+    before, spared = set(_live), []
     try:
-        yield
+        yield spared
     finally:
+        before.update(getattr(t, "_table_path", None) for t in spared)
         for path in [p for p in _live if p not in before]:
             remove(path)
 
