@@ -1,21 +1,25 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output, each on all that is left."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output, each on all that is left.
+
+Defined cases, in every stage: a null or empty text has no letter, so language ID drops it (fed to a later stage, it is
+like any other empty text for near-dedup, never contaminated, taken zero times by the mixture, and one end id as tokens);
+rows are told apart by themselves, not by their ids, so ids may be null or repeat; equal rows are near duplicates of each
+other; an empty table stays empty; further columns, whatever they are called, are passed on until the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from syntenia.llm import decontaminate, language_id, mixing, queries, simhash, store, wavelet
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a learned language; those without a letter, or like none of the languages, go."""
-    found = language_id.identify(docs).filter((F.col("lang_pred") == "und") | (F.col("score") <= 0)).select(F.col("id").alias("_lost"))
-    return docs.join(store.keep(found.distinct(), "rejected"), F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every component of 0.8 or more in the similarity of 5-word shingles."""
+    """One document of every component of 0.8 or more in the similarity of 5-word shingles: the smallest id's."""
     return simhash.drop_similar(docs)
 
 
@@ -48,7 +52,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = store.table(spark, sf_dir, "documents")
+    docs, held = store.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = store.keep(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with store.scope() as spared:
+            docs = store.keep(stage(spark, docs, sf_dir), name.split()[0].lower())
+            spared.append(docs)
+        if held is not None:
+            store.drop(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,25 +17,27 @@ sorted array.  Only hits leave it.
 Defined cases: null and empty texts match nothing; items of no words are skipped,
 items of fewer than five words are one seed as a whole (then the window must hold
 all of it); repeated items and documents are reported each; texts of any length are
-scanned whole; other columns are ignored.
+scanned whole, and aligned in a step for each of the item's words; other columns are
+ignored, and documents to be dropped are told by their own text, so their ids may be null or repeat.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import store
 from .ragged import chain, lowered, word_runs
 
 SHORT, LONG, SIMILAR = 3, 5, 0.8
 BLOCK_WORDS = 2_000_000
 MATCH, OTHER = 2, -1
-_SHIFT = np.int64(20)
+#: Places of the matched words in a cell, which holds the score above them.
+_SHIFT = np.int64(31)
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,24 +137,36 @@ class Items:
         return out
 
 
-def _scan(items: Items, seeds: dict, similar: float):
+class Scanner:
+    """Finds the items of one block in texts."""
+
+    def __init__(self, items: Items, similar: float):
+        self.items, self.similar, self.seeds = items, similar, items.seeds(similar)
+        self.find = {n: Lookup(s[0]) for n, s in self.seeds.items()}
+
+    def matches(self, texts: list[bytes]) -> list[tuple[int, int, float, int, int]]:
+        """(text, item, similarity, first word, last word) of each contaminated text and item."""
+        rows: list[tuple[int, int, float, int, int]] = []
+        for i, _, h, first in word_runs(texts):
+            text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            hits = [np.empty((3, 0), np.int64)]
+            for n, f in self.find.items():
+                g, at = grams(h, first, n)
+                place, key = f.find(g)
+                begin, end = (np.searchsorted(self.seeds[n][0], f.keys[key], side) for side in ("left", "right"))
+                times = end - begin
+                own = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
+                at = np.repeat(at[place], times)
+                hits.append(np.stack((text_of[at], self.seeds[n][1][own], at - first[text_of[at]] - self.seeds[n][2][own])))
+            rows += [(i + t, *found) for t, found in _verify(np.concatenate(hits, axis=1), self.items, h, first, self.similar)]
+        return rows
+
+
+def _scan(items: Items, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = {n: Lookup(s[0]) for n, s in seeds.items()}
+        scanner = Scanner(items, similar)
         for batch in batches:
-            texts = lowered(batch.column(1))
-            rows: list[tuple[int, int, float, int, int]] = []
-            for i, _, h, first in word_runs(texts):
-                text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                hits = [np.empty((3, 0), np.int64)]
-                for n, f in find.items():
-                    g, at = grams(h, first, n)
-                    place, key = f.find(g)
-                    begin, end = (np.searchsorted(seeds[n][0], f.keys[key], side) for side in ("left", "right"))
-                    times = end - begin
-                    own = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(times.sum())
-                    at = np.repeat(at[place], times)
-                    hits.append(np.stack((text_of[at], seeds[n][1][own], at - first[text_of[at]] - seeds[n][2][own])))
-                rows += [(i + t, *found) for t, found in _verify(np.concatenate(hits, axis=1), items, h, first, similar)]
+            rows = scanner.matches(lowered(batch.column(1)))
             if rows:
                 doc, item, sim, a, b = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -203,37 +217,50 @@ def _verify(hits: np.ndarray, items: Items, h: np.ndarray, first: np.ndarray, si
         yield t, (item, min(sim, 1.0), a, b)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, last_word): one row per contaminated document and item."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    out = None
-    held: list[tuple] = []
+def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_words: int) -> Iterator[Items]:
+    """The benchmark in blocks of about ``block_words`` words; items without a word are left out."""
+    ids: list = []
+    texts: list[bytes] = []
     size = 0
-
-    def block(part: list[tuple]) -> DataFrame:
-        items = Items([k for k, _ in part], [t for _, t in part])
-        return rows.mapInArrow(_scan(items, items.seeds(similar), similar), f"id {kind}, item_id long, similarity double, first_word long, last_word long")
-
-    for r in benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).alias("t")).filter("t IS NOT NULL").orderBy("k").toLocalIterator():
+    for r in benchmark.select(F.col(item_col).cast("long").alias("k"), F.col(item_text_col).alias("t")).filter("t IS NOT NULL").orderBy("k", "t").toLocalIterator():
         text = r["t"].encode().lower()
         n = len(text.split())
         if not n:
             continue
-        if held and size + n > block_words:
-            found = block(held)
-            out, held, size = (found if out is None else out.unionByName(found)), [], 0
-        held.append((r["k"], text))
+        if ids and size + n > block_words:
+            yield Items(ids, texts)
+            ids, texts, size = [], [], 0
+        ids.append(r["k"])
+        texts.append(text)
         size += n
-    if held:
-        found = block(held)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = rows.select("id", F.lit(0).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("last_word")).limit(0)
+    if ids:
+        yield Items(ids, texts)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, last_word): one row per contaminated document and item."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {dict(rows.dtypes)['id']}, item_id long, similarity double, first_word long, last_word long"
+    found = [rows.mapInArrow(_scan(items, similar), schema) for items in item_blocks(benchmark, item_col, item_text_col, block_words)]
+    out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("id", "doc_id")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without contaminated documents."""
-    lost = store.keep(contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("_lost")).distinct(), "contaminated")
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+def _clean(items: Items, similar: float):
+    """Which texts hold none of the items."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = Scanner(items, similar)
+        for column in columns:
+            clean = np.ones(len(column), bool)
+            clean[[t for t, *_ in scanner.matches(lowered(column))]] = False
+            yield pa.array(clean)
+
+    return F.arrow_udf(run, "boolean")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMILAR, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated."""
+    for items in item_blocks(benchmark, item_col, item_text_col, block_words):
+        docs = docs.filter(_clean(items, similar)(docs[text_col]))
+    return docs

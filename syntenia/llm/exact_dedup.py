@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Distinct repeated hashes (32 hex digits each) up to which their set is broadcast: at most some 200 MB of a map of small strings.
-BROADCAST_HASHES = 1_000_000
-
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
@@ -36,8 +33,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).alias("doc_id"), store.ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     hashed = store.keep(texts.select("doc_id", digest(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")), "hashed")
     repeated = store.keep(hashed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
-    if repeated.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
-        repeated = F.broadcast(repeated)
+    repeated = store.small(repeated)
     same_bytes = (
         texts.select("doc_id", "norm", digest(F.col("norm")).alias("h"))
         .join(repeated, "h", "left_semi")
@@ -55,6 +51,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_exact(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` does not keep."""
-    lost = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep).filter("NOT kept").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    """``docs`` with one row of each class of equal texts: that of the kept id, and of rows with that id (in any number, of any text) one."""
+    rows, key = store.numbered(docs, "numbered")
+    own, null = F.col(id_col), F.col(id_col).isNull()
+    # of equal ids the first row; a null id loses to any other
+    row = F.struct(null.alias("none"), own.alias("id"), F.col(key).alias("key")) if keep == "smallest" else F.struct((~null).alias("some"), own.alias("id"), (-F.col(key)).alias("key"))
+    found = exact_groups(rows.select(row.alias("row"), F.col(text_col).alias("text")), id_col="row", text_col="text", keep=keep).filter("NOT kept")
+    lost = store.keep(found.select(F.abs(F.col("doc_id")["key"]).alias("key")), "lost")
+    return store.without(rows, key, lost)

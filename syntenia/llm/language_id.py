@@ -19,14 +19,13 @@ alphabetically first language; null langs do not train; other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import store
+from .ragged import lone
 
 DIMENSIONS, CACHE, GAP = 1024, 20_000, 32
 #: Trigrams of one text that are bound at once.
@@ -40,7 +39,7 @@ class Profiler:
         self.d, self.cache = dimensions, cache
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.vectors = np.empty((cache, dimensions), np.float32)
+        self.vectors = np.empty((cache, dimensions), np.int8)
         self.is_letter = np.zeros(0x110000, bool)
         self.is_letter[[c for c in range(0x110000) if chr(c).isalpha()]] = True
 
@@ -80,14 +79,13 @@ class Profiler:
                 known.append(row)
                 weight.append(n)
             if known:
-                out += np.asarray(weight, np.float32) @ self.vectors[known]
+                out += np.asarray(weight, np.float32) @ self.vectors[known].astype(np.float32)
         return out
 
 
-@lru_cache(maxsize=2)
 def profiler_of(dimensions: int) -> Profiler:
-    """One profiler for each worker process, with the vectors it has bound."""
-    return Profiler(dimensions)
+    """One profiler for each worker process, with the vectors it has bound (20 MB at most)."""
+    return lone(("profiler", dimensions), lambda: Profiler(dimensions))
 
 
 def _partial(dimensions: int):
@@ -124,21 +122,27 @@ def prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "
     return langs, np.array([found[x] / np.linalg.norm(found[x]) for x in langs], np.float32).reshape(len(langs), dimensions)
 
 
+def told(profiler: Profiler, langs: list[str], unit: np.ndarray, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Each text's language and score."""
+    names, scores = [], []
+    for text in texts:
+        keys, n = profiler.trigrams(text)
+        name, score = "und", 0.0
+        if len(keys) and len(langs):
+            v = profiler.vector(keys, n)
+            cosine = unit @ v / max(float(np.linalg.norm(v)), 1e-30)
+            best = int(np.argmax(cosine))
+            name, score = langs[best], min(1.0, max(0.0, float(cosine[best])))
+        names.append(name)
+        scores.append(score)
+    return names, scores
+
+
 def _predict(langs: list[str], unit: np.ndarray, dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = profiler_of(dimensions)
         for batch in batches:
-            names, scores = [], []
-            for text in batch.column(1).to_pylist():
-                keys, n = profiler.trigrams(text)
-                name, score = "und", 0.0
-                if len(keys) and len(langs):
-                    v = profiler.vector(keys, n)
-                    cosine = unit @ v / max(float(np.linalg.norm(v)), 1e-30)
-                    best = int(np.argmax(cosine))
-                    name, score = langs[best], min(1.0, max(0.0, float(cosine[best])))
-                names.append(name)
-                scores.append(score)
+            names, scores = told(profiler, langs, unit, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     return run
@@ -150,3 +154,20 @@ def identify(docs: DataFrame, *, train: Column | None = None, id_col: str = "doc
     langs, unit = prototypes(learn, text_col=text_col, lang_col=lang_col, dimensions=dimensions)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(langs, unit, dimensions), f"id {dict(rows.dtypes)['id']}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
+    """``docs`` less the rows whose text has no letter, or no similarity to any language that ``docs`` has.
+
+    A row's own text decides, so ids may be null or repeat and other columns have any name; where nothing could be
+    learned every row goes, and an empty table stays empty.
+    """
+    langs, unit = prototypes(docs, text_col=text_col, lang_col=lang_col, dimensions=dimensions)
+
+    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        profiler = profiler_of(dimensions)
+        for column in columns:
+            names, scores = told(profiler, langs, unit, column.to_pylist())
+            yield pa.array([name != "und" and score > 0 for name, score in zip(names, scores, strict=True)], pa.bool_())
+
+    return docs.filter(F.arrow_udf(known, "boolean")(docs[text_col]))

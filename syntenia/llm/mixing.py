@@ -14,8 +14,9 @@ summed by (source, 1/4096 of the rank range), the range that holds the budget is
 split again by 4096, and only the rows of that last cell are ordered.
 
 Defined cases: null text has size 0 and takes nothing; sources order by code
-point, a null source last; rows with the same id (ties, repeats, null ids) get
-the same rank and decision; empty tables give empty results; sizes of 0 all over
+point, a null source last; rows of one source with the same id (ties, repeats, null ids;
+ids may be of any type that has an order) get the same rank and decision, taken together if that
+comes nearer; empty tables give empty results; sizes of 0 all over
 give targets of 0; other columns are ignored.
 """
 
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from . import store
 
 CELLS = 4096
+WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -57,34 +59,37 @@ def _uniform(doc_id: Column, seed: int) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def mixture(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies, source, pareto_rank.
-
-    ``weight_col`` makes inclusion within a source unequal: expected copies are
-    in proportion to it (stopped at ``cap``), their word-weighted mean being the
-    source's.  Null weights count as 0.
-    """
+def _sized(docs: DataFrame, *more: Column, seed: int, weight_col: str | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, u, boost) of each row, and more columns."""
     boost = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(store.WORD)), F.lit(0)).cast("long")
-    base = store.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), _uniform(F.col(id_col), seed).alias("u"), boost.alias("boost")), "sizes")
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("boost")).alias("boosted"))
-    plan = store.keep(
-        targets(sizes.select("source", "source_size"), weights, share, cap).alias("t").join(sizes.select(F.col("source").alias("s"), "boosted"), F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", F.when(F.col("boosted") > 0, F.col("target") / F.col("boosted")).otherwise(F.lit(0.0)).alias("rate")),
-        "targets",
-    )
-    p = F.col("expected") - F.col("whole")
-    ranked = (
-        base.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), _uniform(F.col(id_col), seed).alias("u"), boost.alias("boost"), *more)
+
+
+def _ranked(base: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
+    """``base`` with its source's plan, the document's whole copies, and its rank for one more."""
+    return (
+        base.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("expected", F.least(F.col("rate") * F.col("boost"), F.lit(float(cap))))
         .withColumn("whole", F.floor("expected"))
-        .withColumn("p", p)
-        .withColumn("odds", (F.col("u") * (1 - F.col("p"))))
-        .withColumn("against", (F.col("p") * (1 - F.col("u"))))
+        .withColumn("p", F.col("expected") - F.col("whole"))
+        .withColumn("odds", F.col("u") * (1 - F.col("p")))
+        .withColumn("against", F.col("p") * (1 - F.col("u")))
         .withColumn("rank", F.when(F.col("p") > 0, F.col("odds") / (F.col("odds") + F.col("against"))))
         .withColumn("cell1", F.floor(F.col("rank") * CELLS))
         .withColumn("cell2", F.floor(F.col("rank") * CELLS * CELLS))
-        .withColumn("tie", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+        .withColumn("place", F.struct("rank", F.col("doc_id").alias("tie")))
     )
+
+
+def _planned(base: DataFrame, weights: Sequence[float], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """By source: (source, source_size, target, rate), and (c, cut_cell, cut), the last place that enters.  Both have a row for each source."""
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("boost")).alias("boosted"))
+    rate = F.when(F.col("boosted") > 0, F.col("target") / F.col("boosted")).otherwise(F.lit(0.0))
+    targeted = targets(sizes.select("source", "source_size"), weights, share, cap)
+    joined = targeted.join(sizes.select(F.col("source").alias("s"), "boosted"), F.col("source").eqNullSafe(F.col("s")))
+    plan = store.keep(joined.select("source", "source_size", "target", rate.alias("rate")), "targets")
+    ranked = _ranked(base, plan, cap)
     # the budget left after whole copies, and where it runs out: first among 4096 cells, then among 4096 parts of one cell
     budget = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("budget")).withColumnRenamed("source", "b")
 
@@ -95,26 +100,47 @@ def mixture(docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: flo
         c0 = F.col("start") + F.sum("part").over(w) - F.col("part")
         return sums.withColumn("c0", c0).filter("c0 <= budget AND c0 + part > budget").select(F.col("source").alias("e"), F.col(cell).alias("e_cell"), F.col("c0").alias("e_c0"))
 
-    open_rows = ranked.filter("rank IS NOT NULL").select("source", "size", "rank", "tie", "cell1", "cell2").join(budget, F.col("source").eqNullSafe(F.col("b"))).drop("b")
+    open_rows = ranked.filter("rank IS NOT NULL").select("source", "size", "place", "cell1", "cell2").join(budget, F.col("source").eqNullSafe(F.col("b"))).drop("b")
     first = edge(open_rows, "cell1", F.lit(0))
     inside = open_rows.join(first, F.col("source").eqNullSafe(F.col("e")) & (F.col("cell1") == F.col("e_cell"))).drop("e", "e_cell").withColumnRenamed("e_c0", "before")
     second = edge(inside, "cell2", F.col("before"))
     cell = inside.join(second, F.col("source").eqNullSafe(F.col("e")) & (F.col("cell2") == F.col("e_cell")))
-    along = W.partitionBy("source").orderBy("rank", "tie").rowsBetween(W.unboundedPreceding, 0)
+    # rows of one place (equal ids) enter together
+    cell = cell.groupBy("source", "cell2", "place", "e_c0", "budget").agg(F.sum("size").alias("size"))
+    along = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
     fits = F.col("e_c0") + F.sum("size").over(along) - F.col("size") / 2 <= F.col("budget")
-    cut = store.keep(
-        cell.withColumn("fits", fits).groupBy(F.col("source").alias("c")).agg(F.first("cell2").alias("cut_cell"), F.max(F.when(F.col("fits"), F.struct("rank", "tie"))).alias("cut")),
-        "cuts",
-    )
-    enters = F.col("rank").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell2") < F.col("cut_cell")) | ((F.col("cell2") == F.col("cut_cell")) & F.coalesce(F.struct("rank", "tie") <= F.col("cut"), F.lit(False))))
-    copies = (F.col("whole") + enters.cast("long")).cast("long")
-    return ranked.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").select(
-        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"), "source", F.col("rank").alias("pareto_rank")
+    cut = cell.withColumn("fits", fits).groupBy(F.col("source").alias("c")).agg(F.first("cell2").alias("cut_cell"), F.max(F.when(F.col("fits"), F.col("place"))).alias("cut"))
+    return plan, store.keep(cut, "cuts")
+
+
+def _taken(ranked: DataFrame, cut: DataFrame) -> DataFrame:
+    """``ranked`` with copies."""
+    inside = (F.col("cell2") == F.col("cut_cell")) & F.coalesce(F.col("place") <= F.col("cut"), F.lit(False))
+    enters = F.col("rank").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell2") < F.col("cut_cell")) | inside)
+    return ranked.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("c")), "left").withColumn("copies", (F.col("whole") + enters.cast("long")).cast("long"))
+
+
+def mixture(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, source, pareto_rank.
+
+    ``weight_col`` makes inclusion within a source unequal: expected copies are
+    in proportion to it (stopped at ``cap``), their word-weighted mean being the
+    source's.  Null weights count as 0.
+    """
+    base = store.keep(_sized(docs, seed=seed, weight_col=weight_col, id_col=id_col, text_col=text_col, source_col=source_col), "sizes")
+    plan, cut = _planned(base, weights, share, cap)
+    return _taken(_ranked(base, plan, cap), cut).select(
+        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "source", F.col("rank").alias("pareto_rank")
     )
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each document repeated as often as :func:`mixture` says; documents of no words go."""
-    id_col = how.get("id_col", "doc_id")
-    plan = mixture(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("_m"), F.col("copies").cast("int").alias("_copies")).dropDuplicates(["_m"])
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_m"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+def mix(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row repeated as often as :func:`mixture` says; rows of no words go."""
+    names = dict(seed=seed, weight_col=weight_col, id_col=id_col, text_col=text_col, source_col=source_col)
+    base = store.keep(_sized(docs, **names), "sizes")
+    plan, cut = _planned(base, weights, share, cap)
+    store.drop(base)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    taken = _taken(_ranked(_sized(docs, whole, **names), plan, cap), cut).filter("size > 0 AND copies > 0")
+    many = taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return many.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ byte and no Python object per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,15 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, d
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _power: list[np.ndarray] = []
+_lone: dict[Hashable, object] = {}
+
+
+def lone(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept for the worker process's next tasks; another key's object goes first, so that a reused worker holds one."""
+    if key not in _lone:
+        _lone.clear()
+        _lone[key] = make()
+    return _lone[key]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,7 @@ empty results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -37,10 +38,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.components import component_roots
 from . import store
 from .bloom_lm import Tally
+from .packed import expand, gaps, squeeze
 from .ragged import chain, lowered, word_runs
 
 SEED, SHINGLE, NEAR = 42, 3, 3
@@ -48,6 +51,8 @@ SEED, SHINGLE, NEAR = 42, 3, 3
 PART, LARGE = 1 << 16, 4096
 #: Words of a shingle and Jaccard similarity of :func:`similar_duplicates`; shingles that are known as frequent.
 WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
+#: Copies that a task remembers, beyond which it repeats some; parts in which shingles are shuffled.
+SEEN, PASSES = 1 << 20, 4
 
 
 def bit_counts(digests: bytes) -> np.ndarray:
@@ -78,7 +83,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in lowered(batch.column(1))], pa.int64())], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t) for t in lowered(batch.column(2))], pa.int64())], ["key", "id", "fp"])
 
 
 def forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -174,132 +179,217 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.repartition("half", "key").sortWithinPartitions("half", "key").mapInArrow(_links, "u long, v long")
 
 
+def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables (key, id, fp) of every row of (key, id, text) and (fp, root) of every fingerprint."""
+    kind = dict(rows.dtypes)["id"]
+    fps = store.keep(rows.select("key", "id", "text").mapInArrow(_fingerprints, f"key long, id {kind}, fp long"), "fingerprints")
+    distinct = store.keep(fps.select("fp").distinct(), "distinct")
+    roots = component_roots(links(distinct))
+    classes = store.keep(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
+    store.drop(distinct)
+    return fps, classes
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    fps = store.keep(rows.mapInArrow(_fingerprints, f"id {dict(rows.dtypes)['id']}, fp long"), "fingerprints")
-    distinct = store.keep(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = component_roots(links(distinct))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = store.keep(member.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp", "left").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps, classes = _near_classes(docs.select(F.lit(0).cast("long").alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    least = fps.groupBy("fp").agg(F.min("id").alias("least")).join(classes, "fp")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = store.keep(classes.join(named, "root").select("fp", "component_id"), "named")
+    store.drop(classes)
+    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def kept_rows(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """``rows`` of :func:`store.numbered` with one row for each class of ``of`` (key, id, root): the smallest id's, of equal ids the first row's."""
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias("first"))
+    lost = store.keep(of.join(first, "root").filter("key <> first").select("key"), "lost")
+    return store.without(rows, key, lost)
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each component only."""
-    lost = near_duplicates(docs, id_col=id_col, text_col=text_col).filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+    """``docs`` with one row of each component only: the smallest id's; of rows with that id (in any number, of any text) one."""
+    rows, key = store.numbered(docs, "numbered")
+    digests, classes = _near_classes(rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return kept_rows(rows, key, digests.join(classes, "fp").select("key", "id", F.col("root")))
+
+
+def shingle_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """``(from, to, sets)`` for runs of texts: each text's distinct shingles, ascending."""
+    for i, j, h, first in word_runs(texts):
+        found = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            n = min(width, b - a)
+            g = h[a : b - n + 1] if n else h[:0]
+            for k in range(1, n):
+                g = chain(g, h[a + k : b - n + 1 + k])
+            found.append(np.unique(g))
+        yield i, j, found
+
 
+def _own(g: np.ndarray) -> int:
+    """A set's name."""
+    return int.from_bytes(xxhash.xxh64_digest(g.tobytes(), SEED), "big", signed=True)
 
-def _sets(width: int):
-    """Each text's distinct shingles, ascending, with a hash of them all and its fingerprint."""
+
+def _digests(width: int, id_type: pa.DataType):
+    """For each text its key, id, the name of its set and its fingerprint; and shingles (in place of the key) with their number
+    where seen three times or more within a stretch, on which only an order depends, never a result."""
+    names = ["key", "id", "own", "fp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def often() -> pa.RecordBatch:
+            keys, n = tally.take()
+            keys, n = keys[n > 2], n[n > 2]
+            none = pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(n), id_type), none, none, pa.array(n)], names)
+
         for batch in batches:
-            texts = lowered(batch.column(1))
-            for i, j, h, first in word_runs(texts):
-                found = []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    n = min(width, b - a)
-                    g = h[a : b - n + 1] if n else h[:0]
-                    for k in range(1, n):
-                        g = chain(g, h[a + k : b - n + 1 + k])
-                    found.append(np.unique(g).view(np.int64))
-                own = [int.from_bytes(xxhash.xxh64_digest(g.tobytes(), SEED), "big", signed=True) for g in found]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(own, pa.int64()), pa.array([fingerprint(t, width) for t in texts[i:j]], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))],
-                    ["id", "own", "fp", "shingles"],
-                )
+            texts = lowered(batch.column(2))
+            for i, j, found in shingle_sets(texts, width):
+                own, fps = [_own(g) for g in found], [fingerprint(t, width) for t in texts[i:j]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(own, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(j - i, pa.int64())], names)
+                for g in found:
+                    if tally.add(g):
+                        yield often()
+        yield often()
 
     return run
 
 
-def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles seen three times or more within a stretch; only an order depends on them, never a result."""
-    tally = Tally()
+def _prefixes(frequent, width: int, similar: float):
+    """(s, own, n): the first shingles of each set, frequent ones last; a copy that the task has seen is left out."""
 
-    def out() -> pa.RecordBatch:
-        keys, n = tally.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys[n > 2].view(np.int64)), pa.array(n[n > 2])], ["s", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rank = frequent.value
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, found in shingle_sets(lowered(batch.column(0)), width):
+                s, own, n = [np.empty(0, np.uint64)], [], []
+                for g in found:
+                    name = _own(g)
+                    if not len(g) or name in seen:
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(name)
+                    at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+                    last = np.where(keys[at] == g, rank[at], 0) if len(keys) else np.zeros(len(g), np.int64)
+                    s.append(g[np.lexsort((g, last))][: len(g) - int(np.ceil(similar * len(g) - 1e-9)) + 1])
+                    own.append(name)
+                    n.append(len(g))
+                times = [len(x) for x in s[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], ["s", "own", "n"])
 
-    for batch in batches:
-        if tally.add(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)):
-            yield out()
-    yield out()
+    return run
 
 
-def _prefixes(frequent, similar: float):
-    """(s, own, n): the first shingles of each set, frequent ones last."""
+def _packed_sets(width: int):
+    """(own, set): each set as ascending 48-bit numbers, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rank = frequent.value
         for batch in batches:
-            s, own, n = [np.empty(0, np.int64)], [], []
-            for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                g = g.values.to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
-                last = np.where(keys[at] == g, rank[at], 0) if len(keys) else np.zeros(len(g), np.int64)
-                first = g[np.lexsort((g, last))][: len(g) - int(np.ceil(similar * len(g) - 1e-9)) + 1]
-                s.append(first)
-                own += [k] * len(first)
-                n += [len(g)] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s)), pa.array(own, pa.int64()), pa.array(n, pa.int32())], ["s", "own", "n"])
+            for i, j, found in shingle_sets(lowered(batch.column(1)), width):
+                packed = [squeeze(gaps(np.unique(g >> np.uint64(16)))) for g in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["own", "shingles"])
 
     return run
 
 
-def similar_duplicates(docs: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row: components of ``similar`` or more in the Jaccard similarity of shingle sets."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = store.keep(rows.mapInArrow(_sets(width), f"id {dict(rows.dtypes)['id']}, own long, fp long, shingles array<long>"), "sets")
-    one = store.keep(sets.select("own", "fp", "shingles").dropDuplicates(["own"]), "distinct")
+def _alike(similar: float):
+    """(u, v) of the rows (u, v, su, sv) whose sets are similar enough."""
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (one.select(F.col("own").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("u", "v"))
-        both = pairs.join(a, "u").join(b, "v").withColumn("n", F.size(F.array_intersect("su", "sv")))
-        return both.filter(F.col("n") >= F.lit(similar) * (F.size("su") + F.size("sv") - F.col("n")) - 1e-9).select("u", "v")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for k, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                a, b = (np.cumsum(expand(x, np.uint64)[0], dtype=np.uint64) for x in (a, b))
+                both = np.intersect1d(a, b, assume_unique=True).size
+                if both >= similar * (len(a) + len(b) - both) - 1e-9:
+                    good.append(k)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
+
+    return run
+
+
+def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
+    """(key, id, root) for every row of the written table ``rows`` (key, id, text)."""
+    spark = rows.sparkSession
+    kind, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
+    found = store.keep(rows.select("key", "id", "text").mapInArrow(_digests(width, id_type), f"key long, id {kind}, own long, fp long, n long"), "digests")
+    digests = found.filter("n IS NULL").select("key", "id", "own", "fp")
+    reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("key", "fp")).alias("r")).select("own", "r.key", "r.fp"), "reps")
 
     def near_size(a: str, b: str):
         return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar enough; only texts that are in a pair are read again."""
+        pairs = store.keep(pairs, "pairs")
+        own = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).distinct()
+        wanted = store.keep(reps.join(own, "own", "left_semi").select("own", "key"), "wanted")
+        texts = rows.select("key", "text").join(store.small(wanted), "key").select("own", "text")
+        sets = store.keep(texts.mapInArrow(_packed_sets(width), "own long, shingles binary"), "sets")
+        a, b = (sets.toDF(x, f"s{x}") for x in ("u", "v"))
+        out = store.keep(pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_alike(similar), "u long, v long"), "close")
+        store.drop(pairs, wanted, sets)
+        return out
+
+    def now(edges: DataFrame) -> DataFrame:
+        return store.keep(reps.select("own").join(component_roots(edges), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
+
     # sets of one fingerprint are linked to the first of them, fingerprints to each other
-    heads = one.groupBy("fp").agg(F.min("own").alias("head"))
-    same = one.join(heads, "fp").filter("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v"))
+    heads = store.keep(reps.groupBy("fp").agg(F.min("own").alias("head")), "heads")
+    same = reps.join(heads, "fp").filter("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v"))
     met = links(heads.select("fp")).join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-    edges = store.keep(confirmed(same.unionByName(met).distinct()), "close")
+    near = confirmed(same.unionByName(met).distinct())
 
-    often = one.select("shingles").mapInArrow(_tallies, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow().sort_by("s")
-    frequent = spark.sparkContext.broadcast((often.column(0).to_numpy(), often.column(1).to_numpy()))
-    prefixes = store.keep(one.select("own", "shingles").mapInArrow(_prefixes(frequent, similar), "s long, own long, n int"), "prefixes")
+    often = found.filter("n IS NOT NULL").groupBy(F.col("key").alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    s, n = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
+    order = np.argsort(s)
+    frequent = spark.sparkContext.broadcast((s[order], n[order]))
+    prefixes = store.keep(rows.select("text").mapInArrow(_prefixes(frequent, width, similar), "s long, own long, n int"), "prefixes")
     frequent.unpersist()
-    runs = prefixes.groupBy("s").agg(F.min(F.struct("own", "n")).alias("head"), F.count("*").alias("times")).filter("times > 1")
-    shared = store.keep(prefixes.join(runs, "s").select("s", "own", "n", F.col("head.own").alias("head"), F.col("head.n").alias("m")), "runs")
-
-    def now() -> DataFrame:
-        return store.keep(one.select("own").join(component_roots(edges), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
-
-    root = now()
+    parts = []
+    for p in range(PASSES):  # by ranges of shingles one after the other, so that only a part of them is on the way at once
+        part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p)
+        runs = part.groupBy("s").agg(F.min(F.struct("own", "n")).alias("head"), F.max("own").alias("last")).filter("head.own < last")
+        parts.append(store.keep(part.join(runs, "s").select("s", "own", "n", F.col("head.own").alias("head"), F.col("head.n").alias("m")), "runs"))
+    store.drop(prefixes)
+    shared = reduce(DataFrame.unionByName, parts)
+
+    root = now(near)
     star = shared.filter("own <> head").filter(near_size("n", "m")).select(F.col("own").alias("u"), F.col("head").alias("v")).distinct()
     apart = star.join(root.toDF("u", "ru"), "u").join(root.toDF("v", "rv"), "v").filter("ru <> rv").select("u", "v")
-    edges = store.keep(edges.unionByName(confirmed(apart)), "close")
-    root = now()
+    close = confirmed(apart)
+    edges = near.unionByName(close)
+    old, root = root, now(edges)
     a = shared.join(root, "own").select("s", F.col("own").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
     # a run within one component has no pair left
     open_runs = a.groupBy("s").agg(F.min("ru").alias("x"), F.max("ru").alias("y")).filter("x <> y").select("s")
-    a = store.keep(a.join(open_runs, "s", "left_semi"), "open")
+    a = store.keep(a.join(open_runs, "s", "left_semi").dropDuplicates(["s", "u"]), "open")
+    store.drop(old, *parts)
     b = a.toDF("s", "v", "nv", "rv")
-    rest = a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct()
-    edges = store.keep(edges.unionByName(confirmed(rest)), "close")
-    member = sets.select("id", "own").join(now(), "own")
+    rest = confirmed(a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct())
+    last = now(edges.unionByName(rest))
+    out = store.keep(digests.join(last, "own").select("key", "id", "root"), "similar")
+    store.drop(a, heads, near, close, rest, root, last, reps, found)
+    return out
+
+
+def similar_duplicates(docs: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: components of ``similar`` or more in the Jaccard similarity of shingle sets."""
+    rows, key = store.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "numbered")
+    member = _similar_classes(rows.withColumnRenamed(key, "key"), width, similar)
+    store.drop(rows)
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     return member.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
 
 
-def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with the smallest id of each component of :func:`similar_duplicates` only."""
-    found = store.keep(similar_duplicates(docs, id_col=id_col, **how), "similar")
-    lost = found.filter("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_lost")), "left_anti")
+def drop_similar(docs: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of :func:`similar_duplicates` only: the smallest id's; of rows with that id one."""
+    rows, key = store.numbered(docs, "numbered")
+    member = _similar_classes(rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, similar)
+    return kept_rows(rows, key, member)

@@ -3,46 +3,50 @@
 Every table an operator keeps between two passes is written as Parquet below
 ``spark.checkpoint.dir`` (read from the session), which all executors of a
 cluster share.  A lost executor therefore costs the tasks it ran, never a table.
-Only when the setting is absent, as in tests, is a local folder used.
+:func:`drop` deletes a table once what was made of it has been written.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import discard as drop
+from ..plans.tables import materialize, new_path, scope, write  # noqa: F401
+
 #: What separates words: space and the five ASCII controls 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Keys up to which a set of them is broadcast: at most some 30 MB.
+BROADCAST_KEYS = 1_000_000
 
-_own: list[str] = []
 
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table (lineage is cut)."""
+    return materialize(df, label, compression="zstd")
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; ``spark.checkpoint.dir`` unless unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="syntenia-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
 
+def fresh(label: str = "key") -> str:
+    """A column name that no table has."""
+    return f"_{label}_{uuid.uuid4().hex}"
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/syntenia/{label}-{uuid.uuid4().hex}"
 
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``docs`` written once with a column (its name is fresh) that tells every row from every other, equal ones too."""
+    key = fresh()
+    return keep(docs.withColumn(key, F.monotonically_increasing_id()), label), key
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table (lineage is cut)."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of one long column, marked for broadcast if its checked size allows."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
+def without(rows: DataFrame, key: str, lost: DataFrame) -> DataFrame:
+    """``rows`` of :func:`numbered` less those whose key is in the one column of the written table ``lost``."""
+    return rows.join(small(lost.toDF(key)), key, "left_anti").drop(key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

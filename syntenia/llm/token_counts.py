@@ -22,16 +22,17 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ragged import lone
+
 SPACE = "▁"
-#: Distinct pre-tokens whose counts a worker remembers; then it forgets all.
-REMEMBERED = 1_000_000
+#: Distinct pre-tokens whose counts a worker remembers (at some 150 bytes each); then it forgets all.  Longer ones aren't remembered.
+REMEMBERED, LONGEST = 200_000, 32
 #: Symbols held in one ragged array.
 HELD = 1 << 20
 _NONE = np.int64(1) << 62
@@ -165,13 +166,16 @@ class PieceMerger:
                 known.update(zip(todo, self.merge(todo), strict=True))
                 todo, size = [], 0
         known.update(zip(todo, self.merge(todo), strict=True))
-        return [sum(map(known.__getitem__, part)) for part in parts]
+        out = [sum(map(known.__getitem__, part)) for part in parts]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        return out
 
 
-@lru_cache(maxsize=2)
 def merger_of(model_file: str) -> PieceMerger:
     """One merger for each worker process, with what it remembers."""
-    return PieceMerger(model_file)
+    return lone(("merger", model_file), lambda: PieceMerger(model_file))
 
 
 def _run(model_file: str, limit: int):

@@ -9,15 +9,17 @@ Forward-backward gives each word's marginal; a document's score is a logistic fu
 its expected toxic words and its surest word, and runs of words of marginal 0.5 or more are
 its spans, in bytes of the UTF-8 text.
 
-Plan.  The classifier is fitted on the driver on at most SAMPLE labelled documents and
-SAMPLE_BYTES of text, drawn by a hash of the id; weights (2**BITS floats) go to the
+Plan.  The classifier is fitted on the driver on at most ``sample`` labelled documents and
+``sample_bytes`` of text (parameters of :func:`train`), drawn by a hash of the id; a text that no
+longer fits is passed over and the draw goes on; weights (2**BITS floats) go to the
 workers; scoring is one scan.  The chain is solved exactly in blocks: 2x2 products
 of all blocks advance together, a carry goes from block to block, then all words follow.
 
 Defined cases: null and empty texts have no words and get the score of no toxic word;
 with no labelled row, or labels of one kind only, every score is the share of
 toxic labels (0 without labels); a document labelled twice counts as toxic if one label
-is; null labels are left out; other columns are ignored.
+is; null labels are left out; of rows with a labelled id and different texts one is
+drawn, always the same; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,7 +266,7 @@ def _score(model: Model, spans: bool):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, rows: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a bounded sample of the labelled ``rows`` (a condition on ``id``; default: all)."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IS NOT NULL")
     if rows is not None:
@@ -276,10 +278,12 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: Column | None = None, id_
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30)) + 1
     drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked.filter(draw)), "id")
     texts, toxic, held = [], [], 0
-    for r in drawn.dropDuplicates(["id"]).orderBy(F.xxhash64("id")).toLocalIterator():
-        held += len(text := (r["text"] or "").encode().lower())
-        if held > SAMPLE_BYTES and texts:
-            break
+    one = drawn.groupBy("id").agg(F.min_by(F.struct("text", "toxic"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("id", "r.*")
+    for r in one.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes).orderBy(F.xxhash64("id"), "id").toLocalIterator():
+        text = (r["text"] or "").encode().lower()
+        if held + len(text) > sample_bytes:
+            continue
+        held += len(text)
         texts.append(text)
         toxic.append(r["toxic"] > 0)
     return fit(texts, np.array(toxic, bool))

@@ -28,7 +28,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +37,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import store
+from .ragged import lone
 
 MAGIC = b"WMATRIX1"
 SHARD = 1 << 20
-#: Distinct words whose ids a worker remembers; then it forgets all.
-REMEMBERED = 1_000_000
-#: ASCII characters that are neither letter, digit nor white space.
+#: Distinct words whose ids a worker remembers (at some 200 bytes each); then it forgets all.  Longer words aren't remembered.
+REMEMBERED, LONGEST = 150_000, 32
+#: Words encoded before it looks whether there are too many.
+STRETCH = 1 << 16
 #: Letters of which neither normal form nor lower case ends in a combining mark, which would join what follows.
 LETTERS = re.compile("[À-ÖØ-öø-įıĲ-ɏ]").match
+#: ASCII characters that are neither letter, digit nor white space.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -237,21 +239,30 @@ class Encoder:
         return [w for w in need if w not in self.known]
 
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         # the vocabulary's text is lower case; texts with special strings or combining accents (U+0300 to U+037F) keep theirs for the library
         split = [(t if not self.lowers or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            self.learn(new)
-        return [b"".join(map(known.__getitem__, words)) + end for words in split]
+        known, out, at = self.known, [], 0
+        while at < len(split):
+            to, size = at, 0
+            while to < len(split) and (to == at or size < STRETCH):
+                size += len(split[to])
+                to += 1
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = set().union(*split[at:to]).difference(known)
+            if new:
+                self.learn(new)
+            out += [b"".join(map(known.__getitem__, words)) + end for words in split[at:to]]
+            for w in new:
+                if len(w) > LONGEST:
+                    del known[w]
+            at = to
+        return out
 
 
-@lru_cache(maxsize=2)
 def encoder_of(tokenizer_file: str) -> Encoder:
     """One encoder for each worker process, with what it remembers."""
-    return Encoder(tokenizer_file)
+    return lone(("encoder", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 def _write(tokenizer_file: str, end_id: int, shard: int):
