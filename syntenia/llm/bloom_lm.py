@@ -2,8 +2,7 @@
 
 Tokens are words and one end for each text.  A count c is held as its level
 1 + floor(log(c / least) / log STEP): the filter gets one entry (n-gram, j) for every j up to
-the level, and a lookup probes until an entry is missing (membership is monotone in j, so it
-halves the range).  Probabilities interpolate the orders:
+the level, and a lookup probes from the first entry on until one is missing.  Probabilities interpolate the orders:
 
     p1(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
     p_n(w|h)  = (max(c(hw) - D, 0) + B(h) p_(n-1)(w|h')) / c(h)
@@ -11,43 +10,47 @@ halves the range).  Probabilities interpolate the orders:
 
 (absolute discounting), where T(h) is the number of held n-grams hw and K(h) the occurrences of h
 before one, so what is not held goes to the lower order and probabilities add up to one but for
-the rounding of counts.  B(h) is held as the level of c(h) / B(h).
+the rounding of counts.  B(h) is held as the level of c(h) / B(h).  Levels that no whole count has get no entry.
 
 Plan.  Every n-gram that occurs is held, at every corpus size (``share`` asks for fewer: those that
 make up at least 1/2**share of the N tokens).  Nothing that grows with the corpus is broadcast or
-sent to the driver.  Map tasks send packed arrays of distinct hashes with their contexts, dealt out
-by ranges of the hash into buckets, whose number grows with N; the task that adds a bucket up makes
+sent to the driver.  An n-gram goes to a bucket, a range of its hash, whose number grows with the
+corpus, and is told from the others there by 32 more bits, which err less often than the filter does.  Map tasks
+send compressed arrays of distinct n-grams with their contexts; the task that adds a bucket up makes
 its segment of the filter, and contexts' T and K are added up by bucket again.  Texts are scored in
-blocks of about BLOCK tokens: a block asks each bucket for its distinct n-grams, the bucket probes
+blocks of about BLOCK tokens, written once: a block asks each bucket for its distinct n-grams, the bucket probes
 its segment and answers one byte of level for each (and words' exact counts), and the block, which
-knows its own hashes, puts the answers back in place by their order.
+knows its own hashes, puts the answers back in place by their order.  Buckets are asked in PASSES
+parts, one after the other, so that only a part of the questions is on the way at once.
 
 Defined cases: null and empty texts are the end alone; with no training rows N and V are 0 and
 every token has the base probability of an unseen one; a null id is in the training part; equal rows
-count each; other columns are ignored.  Words and n-grams are told apart by 64-bit hashes.
+count each; a text longer than a block is a block of its own; other columns are ignored.  Words' exact counts go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import store
+from .packed import expand, gaps, squeeze
 from .ragged import chain, lowered, mix, word_runs
 
 ORDER, STEP, D = 3, 2**0.25, 0.75
 END = np.uint64(0xE7D5C3B1A5F70E4D)
-#: Bits of the filter for each entry; entries of a reduce task.
+#: Bits of the filter for each entry; tokens of a bucket, taken as 4 bytes of text each.
 ROOM, BUCKET = 16, 1 << 20
 HELD = 1 << 20
-#: Tokens of a block of texts that is scored at once.
-BLOCK = 1 << 20
+#: Tokens of a block of texts that is scored at once, taken as 4 bytes each; parts in which buckets are asked.
+BLOCK, PASSES = 1 << 20, 2
 #: Keys whose entries are set at once.
 CHUNK = 1 << 18
 #: Texts lower-cased at once.
@@ -72,17 +75,29 @@ def entry(keys: np.ndarray, j: int | np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h >> np.uint64(32), mask
 
 
-def segment(keys: np.ndarray, values: np.ndarray, least: float) -> tuple[int, np.ndarray]:
-    """The highest level and the words of one segment of the filter."""
+#: Levels that a whole count can have, and for each level the number of those up to it.
+RUNGS = np.union1d(level_of(np.arange(1, 64), 1.0), np.arange(int(level_of(np.array([64]), 1.0)[0]), 256))
+RANK = np.searchsorted(RUNGS, np.arange(256), side="right")
+
+
+def segment(keys: np.ndarray, values: np.ndarray, least: float, whole: bool = False) -> tuple[int, np.ndarray]:
+    """The greatest number of entries of a key, and the words of one segment of the filter.  ``whole``: values are whole numbers, ``least`` is 1."""
+
+    def ranks(at: int) -> np.ndarray:
+        level = level_of(values[at : at + CHUNK], least)
+        return RANK[level] if whole else level
+
     top, entries = 0, 0
     for at in range(0, len(keys), CHUNK):
-        level = level_of(values[at : at + CHUNK], least)
-        top, entries = max(top, int(level.max())), entries + int(level.sum())
+        rank = ranks(at)
+        top, entries = max(top, int(rank.max())), entries + int(rank.sum())
     words = np.zeros(max(1, entries * ROOM // 64), np.uint64)
     for at in range(0, len(keys), CHUNK):
-        key, level = keys[at : at + CHUNK], level_of(values[at : at + CHUNK], least)
-        for j in range(1, int(level.max()) + 1):
-            place, mask = entry(key[level >= j], j)
+        key, rank = keys[at : at + CHUNK], ranks(at)
+        for j in range(1, int(rank.max()) + 1):
+            if j > 1:
+                key, rank = key[rank >= j], rank[rank >= j]
+            place, mask = entry(key, j)
             np.bitwise_or.at(words, (place * np.uint64(len(words))) >> np.uint64(32), mask)
     return top, words
 
@@ -90,8 +105,8 @@ def segment(keys: np.ndarray, values: np.ndarray, least: float) -> tuple[int, np
 class LogBloom:
     """Quantised values (``least`` or more) of 64-bit keys: one array of 64-bit words, in segments by ranges of the keys."""
 
-    def __init__(self, least: float, segments: dict[int, tuple[int, np.ndarray]], buckets: int):
-        self.least, self.buckets = float(least), buckets
+    def __init__(self, least: float, segments: dict[int, tuple[int, np.ndarray]], buckets: int, whole: bool = False):
+        self.least, self.buckets, self.whole = float(least), buckets, whole
         self.top = max((t for t, _ in segments.values()), default=0)
         self.size = np.ones(buckets, np.uint64)
         for b, (_, words) in segments.items():
@@ -111,16 +126,13 @@ class LogBloom:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each key, 0 if it isn't held."""
-        out = np.zeros(len(keys), np.int64)
-        some = np.flatnonzero(self.has(keys))
-        key = keys[some]
-        lo, hi = np.ones(len(some), np.int64), np.full(len(some), self.top, np.int64)
-        while (lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            yes = self.has(key, mid)
-            lo, hi = np.where(yes, mid, lo), np.where(yes, hi, mid - 1)
-        out[some] = lo
-        return out
+        rank, some = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for j in range(1, self.top + 1):  # from the first entry up, so that errors of many levels are rarer by a power
+            some = some[self.has(keys[some], j)]
+            if not len(some):
+                break
+            rank[some] = j
+        return np.append(0, RUNGS)[rank] if self.whole else rank
 
     def values(self, keys: np.ndarray) -> np.ndarray:
         """Value of each key, 0 if it isn't held."""
@@ -186,20 +198,6 @@ def places(first: np.ndarray) -> np.ndarray:
     return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
-
-    def out() -> pa.RecordBatch:
-        keys, n = tally.take()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    for batch in batches:
-        for _, _, t, _ in tokens(batch.column(0)):
-            if tally.add(t):
-                yield out()
-    yield out()
-
-
 def all_grams(t: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length from 2 to ``order``: ends, hashes and contexts' hashes of the n-grams within texts."""
     place, gram = places(first), t
@@ -211,42 +209,52 @@ def all_grams(t: np.ndarray, first: np.ndarray, order: int) -> Iterator[tuple[np
         gram = longer
 
 
-PACKED = "bucket int, kind int, keys binary, contexts binary, counts binary"
-
+def cells(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket, and 32 bits that tell apart what is in it."""
+    return (bucket_of(h, buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
-def _pack(kind: int, buckets: int, keys: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Rows of :data:`PACKED` from ascending keys; no contexts for words."""
-    cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    own = np.flatnonzero(np.diff(cut)).tolist()
-    packed = [pa.array([x[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary()) for x in (keys, contexts, n.astype("<u8"))]
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([kind] * len(own), pa.int32()), *packed], ["bucket", "kind", "keys", "contexts", "counts"])
 
-
-def _pack_words(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = add_up(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
-            yield _pack(1, buckets, keys, keys[:0], n)
-
-    return run
+def cut_up(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of an ascending array."""
+    if len(bucket):
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        yield from zip(bucket[edge[:-1]].tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)
 
 
 def with_contexts(keys: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`add_up` for keys that have a context each."""
+    if not len(keys):
+        return keys, contexts, n
     order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
-    return keys[first], contexts[order[first]], np.add.reduceat(n[order], first) if len(keys) else n
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], contexts[order[first]], np.add.reduceat(n[order], first)
+
 
+COUNTED = "bucket int, kind int, packed binary"
 
-def _count_grams(order: int, buckets: int):
-    """Counts of all n-grams of 2 to ``order`` tokens, packed by bucket."""
+
+def _counted(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "packed"])
+
+
+def _count(order: int, buckets: int):
+    """Counts of words (kind 1: hashes, counts) and n-grams of 2 to ``order`` tokens (kind: length; contexts' cells, low bits, counts), packed by bucket."""
+
+    def pack(k: int, keys: np.ndarray, contexts: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        if k == 1:
+            return _counted([(b, 1, squeeze(gaps(keys[i:j]), n[i:j])) for b, i, j in cut_up(bucket_of(keys, buckets))])
+        bucket = keys >> np.uint64(32)
+        by = np.lexsort((contexts, bucket))  # neighbouring contexts differ by little
+        bucket, keys, contexts, n = bucket[by], keys[by].astype(np.uint32), contexts[by], n[by]
+        return _counted([(b, k, squeeze(gaps(contexts[i:j]), keys[i:j], n[i:j])) for b, i, j in cut_up(bucket)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
         held = {k: none for k in range(2, order + 1)}
         raw: dict[int, list[tuple[np.ndarray, ...]]] = {k: [] for k in held}
         size = dict.fromkeys(held, 0)
+        words = Tally()
 
         def settle(k: int) -> None:
             held[k] = with_contexts(*(np.concatenate(x) for x in zip(held[k], *raw[k], strict=True)))
@@ -254,76 +262,93 @@ def _count_grams(order: int, buckets: int):
 
         for batch in batches:
             for _, _, t, first in tokens(batch.column(0)):
-                for k, (_, keys, contexts) in enumerate(all_grams(t, first, order), 2):
-                    raw[k].append((keys, contexts, np.ones(len(keys), np.int64)))
-                    size[k] += len(keys)
+                if words.add(t):
+                    keys, n = words.take()
+                    yield pack(1, keys, keys, n)
+                for k, (_, grams, contexts) in enumerate(all_grams(t, first, order), 2):
+                    raw[k].append((cells(grams, buckets), cells(contexts, buckets), np.ones(len(grams), np.int64)))
+                    size[k] += len(grams)
                     if size[k] >= HELD:
                         settle(k)
                         if len(held[k][0]) >= HELD:
-                            yield _pack(k, buckets, *held[k])
+                            yield pack(k, *held[k])
                             held[k] = none
+        keys, n = words.take()
+        yield pack(1, keys, keys, n)
         for k in held:
             settle(k)
-            yield _pack(k, buckets, *held[k])
+            yield pack(k, *held[k])
 
     return run
 
 
-def unpack(parts: list[bytes | None], kind: type = np.uint64) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in parts if x), kind)
+def unpack(parts: list[bytes], *types: type) -> list[np.ndarray]:
+    """The arrays of many packs, end to end; the first of each pack is of gaps."""
+    found = [expand(x, *types) for x in parts]
+    first = [np.cumsum(x[0], dtype=types[0]) for x in found]
+    return [np.concatenate([np.empty(0, types[0]), *first]), *(np.concatenate([np.empty(0, t), *(x[k] for x in found)]) for k, t in enumerate(types[1:], 1))]
+
+
+#: kind 0: a bucket's segment, its words with exact counts, and the number of its tokens and words; 1: contexts with K, T and own counts.
+MERGED = "kind int, bucket int, top int, bits binary, packed binary, tokens long, types long"
+_MERGED = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
 
-#: kind 0: a bucket's segment with the exact counts of its words; 1: contexts with K and T; 2: n-grams that may be contexts, with counts.
-MERGED = "kind int, bucket int, top int, words binary, keys binary, n binary, types binary"
+def _rows(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
 
 def _merge(least: float, order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind").to_numpy(), table.column("bucket")[0].as_py()
-        held, out, exact = [], [], None
-        for k in range(1, order + 1):
-            own = table.filter(pa.array(kind == k))
-            keys, contexts, n = (unpack(own.column(c).to_pylist(), d) for c, d in (("keys", np.uint64), ("contexts", np.uint64), ("counts", np.int64)))
-            keys, contexts, n = with_contexts(keys, contexts if k > 1 else keys, n)
-            if k == 1:
-                exact = keys.tobytes(), n.tobytes()
+        of = lambda k: table.filter(pa.array(kind == k)).column("packed").to_pylist()
+        words, exact = add_up(*unpack(of(1), np.uint64, np.int64))
+        some = exact >= least
+        held, out = [((words[some] & np.uint64(0xFFFFFFFF)), exact[some])], []
+        followed = [(np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)]
+        for k in range(2, order + 1):
+            contexts, keys, n = unpack(of(k), np.uint64, np.uint32, np.int64)
+            keys, contexts, n = with_contexts(keys, contexts, n)
             some = n >= least
-            keys, contexts, n = keys[some], contexts[some], n[some]
+            keys, contexts, n = keys[some].astype(np.uint64), contexts[some], n[some]
             held.append((keys, n))
-            if k < order:
-                out.append((2, bucket, 0, None, keys.tobytes(), n.tobytes(), None))
-            if k > 1 and len(keys):
-                c, followed = add_up(contexts, n)
-                types = add_up(contexts, np.ones(len(contexts), np.int64))[1]
-                cut = np.searchsorted(bucket_of(c, buckets), np.arange(buckets + 1))
-                for b in np.flatnonzero(np.diff(cut)).tolist():
-                    out.append((1, b, 0, None, *(x[cut[b] : cut[b + 1]].tobytes() for x in (c, followed, types))))
-        top, words = segment(*(np.concatenate(x) for x in zip(*held, strict=True)), least)
-        out.append((0, bucket, top, words.tobytes(), *exact, None))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int32()] * 3, *[pa.binary()] * 4), strict=True)], names=["kind", "bucket", "top", "words", "keys", "n", "types"])
+            followed.append((contexts, n, np.ones(len(n), np.int64), np.zeros(len(n), np.int64)))
+        if least > 1:  # else a context's own count is K
+            for keys, n in held[:-1]:
+                followed.append((keys | np.uint64(bucket << 32), *[np.zeros(len(n), np.int64)] * 2, n))
+        contexts, *sums = (np.concatenate(x) for x in zip(*followed, strict=True))
+        by = np.argsort(contexts)
+        first = np.flatnonzero(np.concatenate(([True], np.diff(contexts[by]) != 0))) if len(by) else by
+        sums = [np.add.reduceat(x[by], first) if len(by) else x for x in sums]
+        contexts = contexts[by][first]
+        for b, i, j in cut_up(contexts >> np.uint64(32)):
+            out.append((1, b, 0, None, squeeze(gaps(contexts[i:j].astype(np.uint32)), *(x[i:j] for x in sums)), None, None))
+        top, bits = segment(*(np.concatenate(x) for x in zip(*held, strict=True)), least, least == 1)
+        out.append((0, bucket, top, bits.tobytes(), squeeze(gaps(words), exact), int(exact.sum()), len(words)))
+        return _rows(out, _MERGED, MERGED)
 
     return run
 
 
-#: One row a bucket: segment of counts, segment of c / B, and words with their exact counts.
-SEGMENTS = "bucket int, top int, words binary, back_top int, back binary, keys binary, n binary"
+#: what 0: the segment of a bucket's counts, and words with their exact counts; 1: the segment of c / B.
+SEGMENTS = "bucket int, what int, top int, bits binary, packed binary"
+_SEGMENTS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
-def _finish(table: pa.Table) -> pa.Table:
-    kind = table.column("kind").to_numpy()
-    contexts, grams, own = (table.filter(pa.array(kind == k)) for k in (1, 2, 0))
-    keys, n = add_up(unpack(grams.column("keys").to_pylist()), unpack(grams.column("n").to_pylist(), np.int64))
-    c = unpack(contexts.column("keys").to_pylist())
-    followed, types = (add_up(c, unpack(contexts.column(x).to_pylist(), np.int64)) for x in ("n", "types"))
-    # B: the context's count, less its held continuations but for their discounts
-    left = n.astype(float)
-    at = np.searchsorted(keys, followed[0])
-    left[at] += D * types[1] - followed[1]
-    some = (left > 0) & (n > left)
-    top, back = segment(keys[some], n[some] / left[some], 1.0)
-    one = own.to_pylist()[0] if own.num_rows else {"top": 0, "words": np.zeros(1, np.uint64).tobytes(), "keys": b"", "n": b""}
-    row = (table.column("bucket")[0].as_py(), one["top"], one["words"], top, back.tobytes(), one["keys"], one["n"])
-    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "top", "words", "back_top", "back", "keys", "n"])
+def _finish(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        keys, followed, types, own = unpack(table.column("packed").to_pylist(), np.uint32, np.int64, np.int64, np.int64)
+        by = np.argsort(keys)
+        first = np.flatnonzero(np.concatenate(([True], np.diff(keys[by]) != 0)))
+        keys, (followed, types, own) = keys[by][first].astype(np.uint64), (np.add.reduceat(x[by], first) for x in (followed, types, own))
+        # B: the context's count, less its held continuations but for their discounts
+        n = own if least > 1 else followed
+        left = n - followed + D * types
+        some = (left > 0) & (n > left)
+        top, bits = segment(keys[some], n[some] / left[some], 1.0)
+        return _rows([(table.column("bucket")[0].as_py(), 1, top, bits.tobytes(), None)], _SEGMENTS, SEGMENTS)
+
+    return run
 
 
 class Model:
@@ -337,103 +362,145 @@ class Model:
         return self.n + 0.5 * (self.v + 1)
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(t) for _, _, t, _ in tokens(batch.column(0)))], pa.int64())], ["n"])
+
+
 def train(rows: DataFrame, *, text_col: str = "text", order: int = ORDER, share: int | None = None) -> Model:
     """The model, from every row."""
     texts = rows.select(F.col(text_col).alias("text"))
-    vocabulary = store.keep(texts.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
-    n, v = (int(x) for x in vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-    least = 1.0 if share is None else max(1.0, n / 2**share)
-    buckets = max(1, -(-n // BUCKET))
-    counted = vocabulary.mapInArrow(_pack_words(buckets), PACKED)
-    if order > 1:
-        counted = counted.unionByName(texts.mapInArrow(_count_grams(order, buckets), PACKED))
+    least = 1.0
+    if share is not None:
+        least = max(1.0, (texts.mapInArrow(_tokens, "n long").agg(F.sum("n")).first()[0] or 0) / 2**share)
+    about = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / 4 + F.count("*")).first()[0]
+    buckets = max(1, -(-int(about) // BUCKET))
+    counted = texts.mapInArrow(_count(order, buckets), COUNTED)
     merged = store.keep(counted.groupBy("bucket").applyInArrow(_merge(least, order, buckets), MERGED), "merged")
-    return Model(n, v, order, least, buckets, store.keep(merged.groupBy("bucket").applyInArrow(_finish, SEGMENTS), "segments"))
+    n, v = (int(x) for x in merged.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
+    back = merged.filter("kind = 1").select("bucket", "packed").groupBy("bucket").applyInArrow(_finish(least), SEGMENTS)
+    segments = store.keep(merged.filter("kind = 0").select("bucket", F.lit(0).alias("what"), "top", "bits", "packed").unionByName(back), "segments")
+    store.drop(merged)
+    return Model(n, v, order, least, buckets, segments)
 
 
-def _ask(order: int, buckets: int, kind: pa.DataType):
-    """Texts with their block, and what each block asks each bucket."""
-    names = ["block", "kind", "bucket", "id", "text", "keys"]
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, texts): ids and texts of about BLOCK tokens, as a compressed table."""
+    number, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+    def out() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            for x in held:
+                stream.write_batch(x)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+
+    for batch in batches:
+        at = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+            size += n // 4 + 1
+            if size >= BLOCK:
+                held.append(batch.slice(at, i + 1 - at))
+                yield out()
+                at, number, size, held = i + 1, number + 1, 0, []
+        if at < len(batch):
+            held.append(batch.slice(at))
+    if held:
+        yield out()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = TaskContext.get().partitionId() << 32, 0
-        keys: dict[int, list[np.ndarray]] = {k: [] for k in range(1, order + 1)}
 
-        def asked() -> Iterator[pa.RecordBatch]:
-            for k, found in keys.items():
-                own = np.unique(np.concatenate([np.empty(0, np.uint64), *found]))
-                packed = _pack(k, buckets, own, own[:0], own[:0])
-                none = [pa.nulls(packed.num_rows, t) for t in (kind, pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * packed.num_rows, pa.int64()), packed.column(1), packed.column(0), *none, packed.column(2)], names)
-                found.clear()
+def _texts(blob: bytes) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids of a block, and the runs of its tokens."""
+    table = pa.ipc.open_stream(blob).read_all().combine_chunks()
+    ids, column = (table.column(k).chunk(0) if table.num_rows else pa.array([], table.schema.field(k).type) for k in (0, 1))
+    return ids, [(t, first) for _, _, t, first in tokens(column)]
 
+
+def _ask(order: int, buckets: int, part: int):
+    """(block, bucket, keys): the block's distinct words, and low bits of its n-grams, in each bucket of the part."""
+    mine = lambda keys, bucket: np.unique(keys[bucket % np.uint64(PASSES) == part])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, t, first in tokens(batch.column(1)):
-                one = j - i
-                yield pa.RecordBatch.from_arrays([pa.array([number] * one, pa.int64()), pa.array([0] * one, pa.int32()), pa.nulls(one, pa.int32()), batch.column(0).slice(i, one), batch.column(1).slice(i, one).cast(pa.string()), pa.nulls(one, pa.binary())], names)
-                keys[1].append(np.unique(t))
-                for k, (_, grams, _) in enumerate(all_grams(t, first, order), 2):
-                    keys[k].append(grams)
-                size += len(t)
-                if size >= BLOCK:
-                    yield from asked()
-                    number, size = number + 1, 0
-        yield from asked()
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found: list[list[np.ndarray]] = [[] for _ in range(order)]
+                for t, first in _texts(blob.as_py())[1]:
+                    found[0].append(mine(t, bucket_of(t, buckets)))
+                    for k, (_, grams, _) in enumerate(all_grams(t, first, order), 1):
+                        keys = cells(grams, buckets)
+                        found[k].append(mine(keys, keys >> np.uint64(32)))
+                keys = [np.unique(np.concatenate([np.empty(0, np.uint64), *x])) for x in found]
+                own = [bucket_of(keys[0], buckets), *(x >> np.uint64(32) for x in keys[1:])]
+                asked = np.unique(np.concatenate(own))
+                cuts = [np.searchsorted(x, np.append(asked, np.uint64(buckets))) for x in own]
+                keys = [keys[0], *(x.astype(np.uint32) for x in keys[1:])]
+                packed = [squeeze(*(gaps(x[c[i] : c[i + 1]]) for x, c in zip(keys, cuts, strict=True))) for i in range(len(asked))]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(asked), pa.int64()), pa.array(asked.astype(np.int32)), pa.array(packed, pa.binary())], ["block", "bucket", "keys"])
 
     return run
 
 
-ANSWERS = "block long, kind int, bucket int, levels binary, back binary, exact binary"
+ANSWERS = "block long, bucket int, told binary"
 
 
 def _answer(least: float, order: int):
+    kinds = [np.uint64, *[np.uint32] * (order - 1)]
+
     def run(asked: pa.Table, made: pa.Table) -> pa.Table:
-        out = []
-        if made.num_rows:
-            own = made.to_pylist()[0]
-            held, back = (LogBloom(x, {0: (own[t], np.frombuffer(own[w], np.uint64))}, 1) for x, t, w in ((least, "top", "words"), (1.0, "back_top", "back")))
-            words, exact = np.frombuffer(own["keys"], np.uint64), np.frombuffer(own["n"], np.int64)
-        for block, kind, bucket, packed in zip(*(asked.column(c).to_pylist() for c in ("block", "kind", "bucket", "keys")), strict=True):
-            keys = np.frombuffer(packed, np.uint64)
-            if made.num_rows:
+        if not asked.num_rows:
+            return _rows([], [pa.int64(), pa.int32(), pa.binary()], ANSWERS)
+        # all blocks' questions are probed together, then dealt out again
+        found = [expand(x, *kinds) for x in asked.column("keys").to_pylist()]
+        told, ends = [], []
+        segments = {r["what"]: r for r in made.to_pylist()}
+        held, back = (LogBloom(x, {0: (r["top"], np.frombuffer(r["bits"], np.uint64))}, 1, whole) if (r := segments.get(w)) else None for w, x, whole in ((0, least, least == 1), (1, 1.0, False)))
+        for k in range(order):
+            keys = np.concatenate([np.cumsum(x[k], dtype=kinds[k]) for x in found])
+            ends.append(np.cumsum([0, *(len(x[k]) for x in found)]))
+            low = keys.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+            probe = lambda f: np.concatenate([np.empty(0, np.int64), *(f.levels(low[i : i + CHUNK]) for i in range(0, len(low), CHUNK))]).astype(np.uint8) if f else np.zeros(len(low), np.uint8)  # noqa: B023, E731
+            told.append(probe(held))
+            if k == 0:
                 n = np.zeros(len(keys), np.int64)
-                if kind == 1 and len(words):
+                words, exact = unpack([segments[0]["packed"]], np.uint64, np.int64) if 0 in segments else (keys[:0], n[:0])
+                if len(words):
                     at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
                     n = np.where(words[at] == keys, exact[at], 0)
-                levels, left = held.levels(keys), back.levels(keys) if kind < order else np.zeros(0, np.int64)
-            else:
-                n = levels = left = np.zeros(len(keys), np.int64)
-            out.append((block, kind, bucket, levels.astype(np.uint8).tobytes(), left.astype(np.uint8).tobytes(), n.tobytes() if kind == 1 else None))
-        columns = zip(*out, strict=True) if out else [[]] * 6
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["block", "kind", "bucket", "levels", "back", "exact"])
+                told.append(n)
+                ends.append(ends[-1])
+            if k < order - 1:
+                told.append(probe(back))
+                ends.append(ends[-1])
+        rows = zip(asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), strict=True)
+        return _rows([(block, bucket, squeeze(*(x[e[i] : e[i + 1]] for x, e in zip(told, ends, strict=True)))) for i, (block, bucket) in enumerate(rows)], [pa.int64(), pa.int32(), pa.binary()], ANSWERS)
 
     return run
 
 
-def _score(order: int, least: float, total: float):
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kind = answers.column("kind").to_numpy()
-        ids, column = texts.column("id").combine_chunks(), texts.column("text").combine_chunks()
-        runs = [(t, first) for _, _, t, first in tokens(column)]
-        told = {}
-        for k in range(1, order + 1):
-            own = answers.filter(pa.array(kind == k))
-            told[k] = [unpack(own.column(c).to_pylist(), d) for c, d in (("levels", np.uint8), ("back", np.uint8), ("exact", np.int64))]
-        grams = [[(None, t, None), *all_grams(t, first, order)] for t, first in runs]
-        keys = {k: np.unique(np.concatenate([np.empty(0, np.uint64), *(g[k - 1][1] for g in grams)])) for k in told}
+def _score(order: int, least: float, total: float, buckets: int):
+    #: Of words: level, exact count and back-off; of longer n-grams level and back-off; of the longest the level.
+    kinds = [np.uint8, np.int64, *[np.uint8] * (2 * order - 2)] if order > 1 else [np.uint8, np.int64]
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, runs = _texts(block.column("texts")[0].as_py())
+        found = [expand(x, *kinds) for x in answers.sort_by("bucket").column("told").to_pylist()]
+        flat = [np.concatenate([np.empty(0, t), *(x[k] for x in found)]) for k, t in enumerate(kinds)]
+        none = np.empty(0, np.uint8)
+        told = {1: (flat[0], flat[2] if order > 1 else none, flat[1]), **{k: (flat[2 * k - 1], flat[2 * k] if k < order else none) for k in range(2, order + 1)}}
+        grams = [[t, *(cells(g, buckets) for _, g, _ in all_grams(t, first, order))] for t, first in runs]
+        keys = {k: np.unique(np.concatenate([np.empty(0, np.uint64), *(g[k - 1] for g in grams)])) for k in told}
         out: list[list[np.ndarray]] = [[], [], [], []]
         for (t, first), own in zip(runs, grams, strict=True):
             at = np.searchsorted(keys[1], t)
-            level, back, exact = (x[at] if len(x) else np.zeros(len(t), np.int64) for x in told[1])
+            level, back, exact = (x[at] if len(x) else np.zeros(len(t), np.uint8) for x in told[1])
             count = values_of(level, least)
             base = np.log10((exact + 0.5) / total)
             p = (np.where(level > 0, count, exact) + 0.5) / total
-            held, left = level > 0, values_of(back, 1.0)
+            held, left, place = level > 0, values_of(back, 1.0), places(first)
             for k in range(2, order + 1):
                 # contexts: grams of length k - 1 that are held, by their end
-                end, gram, _ = own[k - 1]
-                at = np.searchsorted(keys[k], gram)
+                end = np.flatnonzero(place >= k - 1)
+                at = np.searchsorted(keys[k], own[k - 1])
                 level = np.zeros(len(t), np.uint8)
                 level[end] = told[k][0][at]
                 after = end[count[end - 1] > 0]
@@ -459,10 +526,13 @@ def score(docs: DataFrame, *, train_rows: Column | None = None, id_col: str = "d
     """(id, n_tokens, n_known, train_tokens, base_score, score), the scores as log10, for every row; trained on ``train_rows`` (default: all)."""
     model = train(docs if train_rows is None else docs.filter(train_rows), text_col=text_col, order=order, share=share)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
-    asks = store.keep(rows.mapInArrow(_ask(order, model.buckets, to_arrow_type(rows.schema["id"].dataType)), f"block long, kind int, bucket int, id {kind}, text string, keys binary"), "asks")
-    asked = asks.filter("kind > 0").select("block", "kind", "bucket", "keys")
-    answers = asked.groupBy("bucket").cogroup(model.segments.groupBy("bucket")).applyInArrow(_answer(model.least, order), ANSWERS)
-    texts = asks.filter("kind = 0").select("block", "id", "text")
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(order, model.least, model.total), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    blocks = store.keep(rows.mapInArrow(_block, "block long, texts binary"), "blocks")
+    answers = []
+    for part in range(PASSES):
+        asked = blocks.mapInArrow(_ask(order, model.buckets, part), "block long, bucket int, keys binary")
+        made = model.segments.filter(F.col("bucket") % PASSES == part)
+        answers.append(store.keep(asked.groupBy("bucket").cogroup(made.groupBy("bucket")).applyInArrow(_answer(model.least, order), ANSWERS), "answers"))
+    store.drop(model.segments)
+    told = reduce(DataFrame.unionByName, answers)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, model.least, model.total, model.buckets), f"id {dict(rows.dtypes)['id']}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
