@@ -2,13 +2,12 @@
 
 URLs that an allow rule decides train the accepted model, those of a block rule
 the rejected one.  Each is a variable-order Markov model over characters with
-begin and end marks: a context (up to ``order`` characters) is kept while it
-makes up 1/CONTEXTS of its class's positions, an n-gram while it makes up 1/GRAMS, and
-kept orders are interpolated by Witten-Bell.  Since log p(c | long) is the sum
+begin and end marks: every context of up to ``order`` characters and every n-gram that occurs is
+held, whatever the number of URLs, and orders are interpolated by Witten-Bell.  Since log p(c | long) is the sum
 over orders of log p_k - log p_(k-1), a URL's log-likelihood difference is a plain
-sum of one weight per n-gram occurrence, so scoring is one broadcast join and one
-sum.  The weights are at most (order + 1) * (GRAMS + CONTEXTS) * 2 rows by
-construction.  The difference over the length is held against a threshold
+sum of one weight per n-gram occurrence, so scoring is a join and one
+sum.  The FREQUENT n-grams that occur most often are joined by broadcast (some 30 MB at most), so no key of
+the shuffled join of the others is hot.  The difference over the length is held against a threshold
 calibrated on a fifth of the ruled URLs, which neither model has seen.
 
 Defined cases: a null URL, or one without "://", has empty host and path, fits
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import store
 
-CONTEXTS, GRAMS = 1 << 12, 1 << 16
+#: N-grams whose weights are broadcast.
+FREQUENT = 1 << 18
 #: Characters of a URL that are cut up at once.
 PART = 256
 #: (verdict, host with path prefix)
@@ -70,29 +70,28 @@ def _grams(urls: DataFrame, order: int, *by: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, order: int = 4) -> tuple[DataFrame, DataFrame]:
-    """From (url, accepted): weights (gram, weight), accepted minus rejected, and (start), the weight of every position."""
+    """From (url, accepted): weights (gram, weight, n), accepted minus rejected, with the occurrences, and (start), the weight of every position."""
     # an n-gram predicts its last character; the begin mark is never predicted
     counts = store.keep(_grams(labelled, order, "accepted").filter("at > 0").groupBy("accepted", "size", "gram").agg(F.count("*").alias("n")), "grams")
     totals = counts.filter("size = 1").groupBy("accepted").agg(F.sum("n").alias("positions"), F.count("*").alias("alphabet"))
     counts = counts.join(F.broadcast(totals), "accepted").withColumn("context", F.expr("substring(gram, 1, size - 1)"))
-    contexts = counts.filter("size > 1").groupBy("accepted", "context").agg(F.sum("n").alias("n_context"), F.sum(F.when(F.col("n") * GRAMS >= F.col("positions"), 1).otherwise(0)).alias("kinds"), F.first("positions").alias("positions"))
-    contexts = store.keep(contexts.filter(F.col("n_context") * CONTEXTS >= F.col("positions")).withColumn("kinds", F.col("kinds") + 1).drop("positions"), "contexts")
-    grams = store.keep(counts.filter(F.col("n") * GRAMS >= F.col("positions")), "kept")
+    contexts = store.keep(counts.filter("size > 1").groupBy("accepted", "context").agg(F.sum("n").alias("n_context"), (F.count("*") + 1).alias("kinds")), "contexts")
+    grams = counts
     floor = F.lit(1.0) / (F.col("positions") + F.col("alphabet") + 1)
     level = grams.filter("size = 1").select("accepted", "gram", ((F.col("n") + 1) * floor).alias("p"), F.log((F.col("n") + 1).cast("double")).alias("w"))
-    weights = [level.select("accepted", "gram", "w")]
+    weights = [grams.filter("size = 1").join(level, ["accepted", "gram"]).select("accepted", "gram", "w", "n")]
     for size in range(2, order + 2):
         lower = level.select("accepted", F.col("gram").alias("suffix"), F.col("p").alias("p_lower"))
         here = grams.filter(F.col("size") == size).join(contexts, ["accepted", "context"]).withColumn("suffix", F.expr("substring(gram, 2)")).join(lower, ["accepted", "suffix"])
         seen = (F.col("n") / F.col("p_lower") + F.col("kinds")) / F.col("kinds")
-        level = store.keep(here.select("accepted", "gram", ((F.col("n") + F.col("kinds") * F.col("p_lower")) / (F.col("n_context") + F.col("kinds"))).alias("p"), F.log(seen).alias("w")), f"order{size}")
-        weights.append(level.select("accepted", "gram", "w"))
-    weights.append(contexts.select("accepted", F.col("context").alias("gram"), F.log(F.col("kinds") / (F.col("n_context") + F.col("kinds"))).alias("w")))
+        level = store.keep(here.select("accepted", "gram", ((F.col("n") + F.col("kinds") * F.col("p_lower")) / (F.col("n_context") + F.col("kinds"))).alias("p"), F.log(seen).alias("w"), "n"), f"order{size}")
+        weights.append(level.select("accepted", "gram", "w", "n"))
+    weights.append(contexts.select("accepted", F.col("context").alias("gram"), F.log(F.col("kinds") / (F.col("n_context") + F.col("kinds"))).alias("w"), F.lit(0).cast("long").alias("n")))
     both = weights[0]
     for w in weights[1:]:
         both = both.unionByName(w)
     sign = F.when(F.col("accepted"), 1.0).otherwise(-1.0)
-    return store.keep(both.groupBy("gram").agg(F.sum(F.col("w") * sign).alias("weight")), "weights"), totals.select(F.sum(F.log(floor) * sign).alias("start"))
+    return store.keep(both.groupBy("gram").agg(F.sum(F.col("w") * sign).alias("weight"), F.sum("n").alias("n")), "weights"), totals.select(F.sum(F.log(floor) * sign).alias("start"))
 
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, order: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -103,7 +102,13 @@ def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, order:
     ruled = split.withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
     ruled = store.keep(ruled.withColumn("ruled", verdict_of[F.col("rule")]).withColumn("fold", store.fold(F.col("page_id"), 5)).withColumn("row", F.monotonically_increasing_id()), "urls")
     weights, start = train(ruled.filter("ruled IS NOT NULL AND fold <> 0").select(store.ascii_lower(F.col("url")).alias("url"), (F.col("ruled") == "allow").alias("accepted")), order)
-    sums = _grams(ruled.select("row", store.ascii_lower(F.col("url")).alias("url")), order, "row").join(F.broadcast(weights), "gram").groupBy("row").agg(F.sum("weight").alias("sum"))
+    often = store.keep(weights.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram", "weight"), "often")
+    rare = weights.join(F.broadcast(often.select("gram")), "gram", "left_anti").select("gram", F.col("weight").alias("rare"))
+    met = _grams(ruled.select("row", store.ascii_lower(F.col("url")).alias("url")), order, "row").join(F.broadcast(often), "gram", "left")
+    met = met.groupBy("row", F.when(F.col("weight").isNull(), F.col("gram")).alias("gram")).agg(F.sum("weight").alias("sum"), F.count("*").alias("times"))
+    met = store.keep(met, "met")
+    others = met.filter("gram IS NOT NULL").join(rare, "gram").select("row", (F.col("rare") * F.col("times")).alias("sum"))
+    sums = met.filter("gram IS NULL").select("row", "sum").unionByName(others).groupBy("row").agg(F.sum("sum").alias("sum"))
     length = F.length("url") + 1
     per_char = F.round(F.coalesce((F.coalesce(F.col("sum"), F.lit(0.0)) + length * F.col("start")) / length, F.lit(0.0)), 9)
     scored = store.keep(ruled.join(sums, "row", "left").join(F.broadcast(start)).select(*ruled.columns, per_char.alias("score")), "scores")
