@@ -19,7 +19,8 @@ and rows look up theirs by fingerprint.
 5-word shingle sets, without loss.  Links of 5-word fingerprints come first, confirmed on the sets.  What
 is out of their reach meets under a shingle: of a set of n, the first n - ceil(0.8 n) + 1 in any one order
 must hold a common one.  The order is frequent shingles last, so runs are short; a run is compared with its
-smallest member first and in full only across components that are still apart.
+smallest member first and in full only across components that are still apart.  A set's name is a 64-bit hash of it,
+and sets are compared by 48 bits of each shingle, read again from the texts of candidate pairs only.
 
 Defined cases: null or empty text, or white space only, has fingerprint zero and
 links like any other; fewer than 3 words are one shingle; equal rows share their
@@ -51,7 +52,7 @@ SEED, SHINGLE, NEAR = 42, 3, 3
 PART, LARGE = 1 << 16, 4096
 #: Words of a shingle and Jaccard similarity of :func:`similar_duplicates`; shingles that are known as frequent.
 WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
-#: Copies that a task remembers, beyond which it repeats some; parts in which shingles are shuffled.
+#: Copies that a task remembers, beyond which it repeats some; parts in which shingles and pairs are shuffled.
 SEEN, PASSES = 1 << 20, 4
 
 
@@ -325,7 +326,7 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     def near_size(a: str, b: str):
         return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> list[DataFrame]:
         """The pairs that are similar enough; only texts that are in a pair are read again."""
         pairs = store.keep(pairs, "pairs")
         own = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).distinct()
@@ -333,18 +334,26 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
         texts = rows.select("key", "text").join(store.small(wanted), "key").select("own", "text")
         sets = store.keep(texts.mapInArrow(_packed_sets(width), "own long, shingles binary"), "sets")
         a, b = (sets.toDF(x, f"s{x}") for x in ("u", "v"))
-        out = store.keep(pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(_alike(similar), "u long, v long"), "close")
+        out = []
+        for p in range(PASSES):  # a pair carries both its sets, so again a part at a time
+            met = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(PASSES)) == p).join(a, "u").join(b, "v").select("u", "v", "su", "sv")
+            out.append(store.keep(met.mapInArrow(_alike(similar), "u long, v long"), "close"))
         store.drop(pairs, wanted, sets)
         return out
 
-    def now(edges: DataFrame) -> DataFrame:
-        return store.keep(reps.select("own").join(component_roots(edges), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
+    def now(root: DataFrame | None, close: list[DataFrame]) -> DataFrame:
+        """(own, root) with more links."""
+        links = reduce(DataFrame.unionByName, close if root is None else [root.filter("own <> root").select(F.col("own").alias("u"), F.col("root").alias("v")), *close])
+        new = store.keep(reps.select("own").join(component_roots(links), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
+        store.drop(*close, *([root] if root is not None else []))
+        return new
 
     # sets of one fingerprint are linked to the first of them, fingerprints to each other
     heads = store.keep(reps.groupBy("fp").agg(F.min("own").alias("head")), "heads")
     same = reps.join(heads, "fp").filter("own <> head").select(F.col("own").alias("u"), F.col("head").alias("v"))
     met = links(heads.select("fp")).join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-    near = confirmed(same.unionByName(met).distinct())
+    root = now(None, confirmed(same.unionByName(met).distinct()))
+    store.drop(heads)
 
     often = found.filter("n IS NOT NULL").groupBy(F.col("key").alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     s, n = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
@@ -352,30 +361,22 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     frequent = spark.sparkContext.broadcast((s[order], n[order]))
     prefixes = store.keep(rows.select("text").mapInArrow(_prefixes(frequent, width, similar), "s long, own long, n int"), "prefixes")
     frequent.unpersist()
-    parts = []
-    for p in range(PASSES):  # by ranges of shingles one after the other, so that only a part of them is on the way at once
-        part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p)
-        runs = part.groupBy("s").agg(F.min(F.struct("own", "n")).alias("head"), F.max("own").alias("last")).filter("head.own < last")
-        parts.append(store.keep(part.join(runs, "s").select("s", "own", "n", F.col("head.own").alias("head"), F.col("head.n").alias("m")), "runs"))
-    store.drop(prefixes)
-    shared = reduce(DataFrame.unionByName, parts)
-
-    root = now(near)
-    star = shared.filter("own <> head").filter(near_size("n", "m")).select(F.col("own").alias("u"), F.col("head").alias("v")).distinct()
-    apart = star.join(root.toDF("u", "ru"), "u").join(root.toDF("v", "rv"), "v").filter("ru <> rv").select("u", "v")
-    close = confirmed(apart)
-    edges = near.unionByName(close)
-    old, root = root, now(edges)
-    a = shared.join(root, "own").select("s", F.col("own").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    # a run within one component has no pair left
-    open_runs = a.groupBy("s").agg(F.min("ru").alias("x"), F.max("ru").alias("y")).filter("x <> y").select("s")
-    a = store.keep(a.join(open_runs, "s", "left_semi").dropDuplicates(["s", "u"]), "open")
-    store.drop(old, *parts)
-    b = a.toDF("s", "v", "nv", "rv")
-    rest = confirmed(a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct())
-    last = now(edges.unionByName(rest))
-    out = store.keep(digests.join(last, "own").select("key", "id", "root"), "similar")
-    store.drop(a, heads, near, close, rest, root, last, reps, found)
+    for p in range(PASSES):  # by parts of the shingles: what one links needs no comparison in the next
+        part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p).join(root, "own")
+        # a run within one component has no pair left
+        runs = part.groupBy("s").agg(F.min(F.struct("own", "n", "root")).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        shared = store.keep(part.join(runs, "s").select("s", "own", "n", "root", F.col("head.own").alias("head"), F.col("head.n").alias("m"), F.col("head.root").alias("to")), "runs")
+        star = shared.filter("root <> to").filter(near_size("n", "m")).select(F.col("own").alias("u"), F.col("head").alias("v")).distinct()
+        root = now(root, confirmed(star))
+        a = shared.select("s", "own", "n").join(root, "own").select("s", F.col("own").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+        open_runs = a.groupBy("s").agg(F.min("ru").alias("x"), F.max("ru").alias("y")).filter("x <> y").select("s")
+        a = store.keep(a.join(open_runs, "s", "left_semi").dropDuplicates(["s", "u"]), "open")
+        store.drop(shared)
+        b = a.toDF("s", "v", "nv", "rv")
+        root = now(root, confirmed(a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct()))
+        store.drop(a)
+    out = store.keep(digests.join(root, "own").select("key", "id", "root"), "similar")
+    store.drop(prefixes, root, reps, found)
     return out
 
 
