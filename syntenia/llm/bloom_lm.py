@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .packed import expand, gaps, squeeze
-from .ragged import chain, lowered, mix, word_runs
+from .ragged import chain, distinct, lowered, mix, ranks, tidied, tidied_pair, tidy, word_runs
 
 ORDER, STEP, D = 3, 2**0.25, 0.75
 END = np.uint64(0xE7D5C3B1A5F70E4D)
@@ -268,7 +268,7 @@ def _count(order: int, buckets: int):
                 for k, (_, grams, contexts) in enumerate(all_grams(t, first, order), 2):
                     raw[k].append((cells(grams, buckets), cells(contexts, buckets), np.ones(len(grams), np.int64)))
                     size[k] += len(grams)
-                    if size[k] >= HELD:
+                    if size[k] >= HELD // 2:
                         settle(k)
                         if len(held[k][0]) >= HELD:
                             yield pack(k, *held[k])
@@ -375,10 +375,10 @@ def train(rows: DataFrame, *, text_col: str = "text", order: int = ORDER, share:
         least = max(1.0, (texts.mapInArrow(_tokens, "n long").agg(F.sum("n")).first()[0] or 0) / 2**share)
     about = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / 4 + F.count("*")).first()[0]
     buckets = max(1, -(-int(about) // BUCKET))
-    counted = texts.mapInArrow(_count(order, buckets), COUNTED)
-    merged = store.keep(counted.groupBy("bucket").applyInArrow(_merge(least, order, buckets), MERGED), "merged")
+    counted = texts.mapInArrow(tidy(_count(order, buckets)), COUNTED)
+    merged = store.keep(counted.groupBy("bucket").applyInArrow(tidied(_merge(least, order, buckets)), MERGED), "merged")
     n, v = (int(x) for x in merged.filter("kind = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first())
-    back = merged.filter("kind = 1").select("bucket", "packed").groupBy("bucket").applyInArrow(_finish(least), SEGMENTS)
+    back = merged.filter("kind = 1").select("bucket", "packed").groupBy("bucket").applyInArrow(tidied(_finish(least)), SEGMENTS)
     segments = store.keep(merged.filter("kind = 0").select("bucket", F.lit(0).alias("what"), "top", "bits", "packed").unionByName(back), "segments")
     store.drop(merged)
     return Model(n, v, order, least, buckets, segments)
@@ -418,7 +418,7 @@ def _texts(blob: bytes) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarray]]]:
 
 def _ask(order: int, buckets: int, part: int):
     """(block, bucket, keys): the block's distinct words, and low bits of its n-grams, in each bucket of the part."""
-    mine = lambda keys, bucket: np.unique(keys[bucket % np.uint64(PASSES) == part])
+    mine = lambda keys, bucket: keys[bucket % np.uint64(PASSES) == part]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,9 +429,10 @@ def _ask(order: int, buckets: int, part: int):
                     for k, (_, grams, _) in enumerate(all_grams(t, first, order), 1):
                         keys = cells(grams, buckets)
                         found[k].append(mine(keys, keys >> np.uint64(32)))
-                keys = [np.unique(np.concatenate([np.empty(0, np.uint64), *x])) for x in found]
+                keys = [distinct(np.concatenate([np.empty(0, np.uint64), *x])) for x in found]
+                del found
                 own = [bucket_of(keys[0], buckets), *(x >> np.uint64(32) for x in keys[1:])]
-                asked = np.unique(np.concatenate(own))
+                asked = distinct(np.concatenate(own))
                 cuts = [np.searchsorted(x, np.append(asked, np.uint64(buckets))) for x in own]
                 keys = [keys[0], *(x.astype(np.uint32) for x in keys[1:])]
                 packed = [squeeze(*(gaps(x[c[i] : c[i + 1]]) for x, c in zip(keys, cuts, strict=True))) for i in range(len(asked))]
@@ -487,11 +488,13 @@ def _score(order: int, least: float, total: float, buckets: int):
         flat = [np.concatenate([np.empty(0, t), *(x[k] for x in found)]) for k, t in enumerate(kinds)]
         none = np.empty(0, np.uint8)
         told = {1: (flat[0], flat[2] if order > 1 else none, flat[1]), **{k: (flat[2 * k - 1], flat[2 * k] if k < order else none) for k in range(2, order + 1)}}
+        # where each token's word and each n-gram's answer is: answers are in the order of the distinct ones
         grams = [[t, *(cells(g, buckets) for _, g, _ in all_grams(t, first, order))] for t, first in runs]
-        keys = {k: np.unique(np.concatenate([np.empty(0, np.uint64), *(g[k - 1] for g in grams)])) for k in told}
+        at_of = [np.split(ranks(np.concatenate([np.empty(0, np.uint64), *own])), np.cumsum([len(x) for x in own])[:-1]) for own in zip(*grams, strict=True)]
+        del grams
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for (t, first), own in zip(runs, grams, strict=True):
-            at = np.searchsorted(keys[1], t)
+        for (t, first), *own in zip(runs, *at_of, strict=True):
+            at = own[0]
             level, back, exact = (x[at] if len(x) else np.zeros(len(t), np.uint8) for x in told[1])
             count = values_of(level, least)
             base = np.log10((exact + 0.5) / total)
@@ -500,7 +503,7 @@ def _score(order: int, least: float, total: float, buckets: int):
             for k in range(2, order + 1):
                 # contexts: grams of length k - 1 that are held, by their end
                 end = np.flatnonzero(place >= k - 1)
-                at = np.searchsorted(keys[k], own[k - 1])
+                at = own[k - 1]
                 level = np.zeros(len(t), np.uint8)
                 level[end] = told[k][0][at]
                 after = end[count[end - 1] > 0]
@@ -526,13 +529,13 @@ def score(docs: DataFrame, *, train_rows: Column | None = None, id_col: str = "d
     """(id, n_tokens, n_known, train_tokens, base_score, score), the scores as log10, for every row; trained on ``train_rows`` (default: all)."""
     model = train(docs if train_rows is None else docs.filter(train_rows), text_col=text_col, order=order, share=share)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    blocks = store.keep(rows.mapInArrow(_block, "block long, texts binary"), "blocks")
+    blocks = store.keep(rows.mapInArrow(tidy(_block), "block long, texts binary"), "blocks")
     answers = []
     for part in range(PASSES):
-        asked = blocks.mapInArrow(_ask(order, model.buckets, part), "block long, bucket int, keys binary")
+        asked = blocks.mapInArrow(tidy(_ask(order, model.buckets, part)), "block long, bucket int, keys binary")
         made = model.segments.filter(F.col("bucket") % PASSES == part)
-        answers.append(store.keep(asked.groupBy("bucket").cogroup(made.groupBy("bucket")).applyInArrow(_answer(model.least, order), ANSWERS), "answers"))
+        answers.append(store.keep(asked.groupBy("bucket").cogroup(made.groupBy("bucket")).applyInArrow(tidied_pair(_answer(model.least, order)), ANSWERS), "answers"))
     store.drop(model.segments)
     told = reduce(DataFrame.unionByName, answers)
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(order, model.least, model.total, model.buckets), f"id {dict(rows.dtypes)['id']}, n_tokens long, n_known long, base_score double, score double")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(tidied_pair(_score(order, model.least, model.total, model.buckets)), f"id {dict(rows.dtypes)['id']}, n_tokens long, n_known long, base_score double, score double")
     return scored.select("id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

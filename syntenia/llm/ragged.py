@@ -8,7 +8,9 @@ byte and no Python object per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,60 @@ def lone(key: Hashable, make: Callable[[], object]) -> object:
     return _lone[key]
 
 
+def trim() -> None:
+    """Give the memory of freed arrays back to the system, as a reused worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over a task's batches that gives its memory back at the end."""
+
+    def out(batches):
+        yield from run(batches)
+        trim()
+
+    return out
+
+
+def tidied(f: Callable) -> Callable:
+    """The same for a function of a group."""
+
+    def out(group):
+        made = f(group)
+        trim()
+        return made
+
+    return out
+
+
+def tidied_pair(f: Callable) -> Callable:
+    """The same for a function of two groups."""
+
+    def out(left, right):
+        made = f(left, right)
+        trim()
+        return made
+
+    return out
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct numbers, ascending."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
+
+def ranks(a: np.ndarray) -> np.ndarray:
+    """Each number's place among the distinct ones."""
+    order = np.argsort(a)
+    s = a[order]
+    out = np.empty(len(a), np.int64)
+    out[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1]))) if len(a) else 0
+    return out
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's powers and their inverses modulo 2**64, for ``n`` places."""
     if not _power or len(_power[0]) < n:
