@@ -148,7 +148,8 @@ def values_of(levels: np.ndarray, least: float) -> np.ndarray:
 class Tally:
     """Counts of keys within a task; gives them out when there are many."""
 
-    def __init__(self):
+    def __init__(self, held: int = HELD):
+        self.held = held
         self.raw: list[np.ndarray] = []
         self.weights: list[np.ndarray] = []
         self.size, self.keys, self.n = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -159,9 +160,9 @@ class Tally:
         if weights is not None:
             self.weights.append(weights)
         self.size += len(keys)
-        if self.size >= HELD:
+        if self.size >= self.held:
             self.settle()
-        return len(self.keys) >= HELD
+        return len(self.keys) >= self.held
 
     def settle(self) -> None:
         raw = np.concatenate([self.keys[:0], *self.raw])

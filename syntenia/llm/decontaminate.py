@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import chain, lowered, word_runs
+from .ragged import chain, lowered, tidy, trim, word_runs
 
 SHORT, LONG, SIMILAR = 3, 5, 0.8
 BLOCK_WORDS = 2_000_000
@@ -241,7 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, similar: float = SIMI
     """(doc_id, item_id, similarity, first_word, last_word): one row per contaminated document and item."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, item_id long, similarity double, first_word long, last_word long"
-    found = [rows.mapInArrow(_scan(items, similar), schema) for items in item_blocks(benchmark, item_col, item_text_col, block_words)]
+    found = [rows.mapInArrow(tidy(_scan(items, similar)), schema) for items in item_blocks(benchmark, item_col, item_text_col, block_words)]
     out = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
     return out.withColumnRenamed("id", "doc_id")
 
@@ -253,8 +253,10 @@ def _clean(items: Items, similar: float):
         scanner = Scanner(items, similar)
         for column in columns:
             clean = np.ones(len(column), bool)
-            clean[[t for t, *_ in scanner.matches(lowered(column))]] = False
+            for at in range(0, len(column), 512):
+                clean[[at + t for t, *_ in scanner.matches(lowered(column.slice(at, 512)))]] = False
             yield pa.array(clean)
+        trim()
 
     return F.arrow_udf(run, "boolean")
 

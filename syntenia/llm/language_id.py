@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import lone
+from .ragged import lone, tidy, trim
 
 DIMENSIONS, CACHE, GAP = 1024, 20_000, 32
 #: Trigrams of one text that are bound at once.
@@ -113,7 +113,7 @@ def _partial(dimensions: int):
 def prototypes(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their unit prototypes, from all rows with a lang."""
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    parts = rows.mapInArrow(_partial(dimensions), "lang string, bundle array<long>")
+    parts = rows.mapInArrow(tidy(_partial(dimensions)), "lang string, bundle array<long>")
     summed = parts.select("lang", F.posexplode("bundle").alias("at", "v")).groupBy("lang", "at").agg(F.sum("v").alias("v"))
     found: dict[str, np.ndarray] = {}
     for r in summed.filter("v <> 0").toLocalIterator():
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, *, train: Column | None = None, id_col: str = "doc
     learn = docs if train is None else docs.filter(train)
     langs, unit = prototypes(learn, text_col=text_col, lang_col=lang_col, dimensions=dimensions)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(langs, unit, dimensions), f"id {dict(rows.dtypes)['id']}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predict(langs, unit, dimensions)), f"id {dict(rows.dtypes)['id']}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> DataFrame:
@@ -167,7 +167,11 @@ def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         profiler = profiler_of(dimensions)
         for column in columns:
-            names, scores = told(profiler, langs, unit, column.to_pylist())
-            yield pa.array([name != "und" and score > 0 for name, score in zip(names, scores, strict=True)], pa.bool_())
+            keep: list[bool] = []
+            for at in range(0, len(column), 512):
+                names, scores = told(profiler, langs, unit, column.slice(at, 512).to_pylist())
+                keep += [name != "und" and score > 0 for name, score in zip(names, scores, strict=True)]
+            yield pa.array(keep, pa.bool_())
+        trim()
 
     return docs.filter(F.arrow_udf(known, "boolean")(docs[text_col]))

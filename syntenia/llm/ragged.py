@@ -41,11 +41,18 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are held as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tidy(run: Callable) -> Callable:
-    """A function over a task's batches that gives its memory back at the end."""
+    """A function over a task's batches, taken in small ones, that gives its memory back at the end."""
 
     def out(batches):
-        yield from run(batches)
+        yield from run(small_batches(batches))
         trim()
 
     return out

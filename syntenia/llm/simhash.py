@@ -31,7 +31,6 @@ empty results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -45,15 +44,15 @@ from ..operators.components import component_roots
 from . import store
 from .bloom_lm import Tally
 from .packed import expand, gaps, squeeze
-from .ragged import chain, lowered, word_runs
+from .ragged import chain, distinct, lowered, tidy, word_runs
 
 SEED, SHINGLE, NEAR = 42, 3, 3
 #: Shingles hashed at once; fingerprints of a run compared without a further index.
 PART, LARGE = 1 << 16, 4096
 #: Words of a shingle and Jaccard similarity of :func:`similar_duplicates`; shingles that are known as frequent.
 WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
-#: Copies that a task remembers, beyond which it repeats some; parts in which shingles and pairs are shuffled.
-SEEN, PASSES = 1 << 20, 4
+#: Copies that a task remembers, beyond which it repeats some; distinct shingles of a stretch; parts in which shingles are shuffled.
+SEEN, STRETCH, PASSES = 1 << 18, 1 << 18, 4
 
 
 def bit_counts(digests: bytes) -> np.ndarray:
@@ -183,7 +182,7 @@ def links(distinct: DataFrame) -> DataFrame:
 def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written tables (key, id, fp) of every row of (key, id, text) and (fp, root) of every fingerprint."""
     kind = dict(rows.dtypes)["id"]
-    fps = store.keep(rows.select("key", "id", "text").mapInArrow(_fingerprints, f"key long, id {kind}, fp long"), "fingerprints")
+    fps = store.keep(rows.select("key", "id", "text").mapInArrow(tidy(_fingerprints), f"key long, id {kind}, fp long"), "fingerprints")
     distinct = store.keep(fps.select("fp").distinct(), "distinct")
     roots = component_roots(links(distinct))
     classes = store.keep(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
@@ -224,7 +223,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, int, lis
             g = h[a : b - n + 1] if n else h[:0]
             for k in range(1, n):
                 g = chain(g, h[a + k : b - n + 1 + k])
-            found.append(np.unique(g))
+            found.append(distinct(g))
         yield i, j, found
 
 
@@ -239,7 +238,7 @@ def _digests(width: int, id_type: pa.DataType):
     names = ["key", "id", "own", "fp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(STRETCH)
 
         def often() -> pa.RecordBatch:
             keys, n = tally.take()
@@ -292,7 +291,7 @@ def _packed_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, found in shingle_sets(lowered(batch.column(1)), width):
-                packed = [squeeze(gaps(np.unique(g >> np.uint64(16)))) for g in found]
+                packed = [squeeze(gaps(distinct(g >> np.uint64(16)))) for g in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["own", "shingles"])
 
     return run
@@ -319,33 +318,31 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     """(key, id, root) for every row of the written table ``rows`` (key, id, text)."""
     spark = rows.sparkSession
     kind, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
-    found = store.keep(rows.select("key", "id", "text").mapInArrow(_digests(width, id_type), f"key long, id {kind}, own long, fp long, n long"), "digests")
+    found = store.keep(rows.select("key", "id", "text").mapInArrow(tidy(_digests(width, id_type)), f"key long, id {kind}, own long, fp long, n long"), "digests")
     digests = found.filter("n IS NULL").select("key", "id", "own", "fp")
     reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("key", "fp")).alias("r")).select("own", "r.key", "r.fp"), "reps")
 
     def near_size(a: str, b: str):
         return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
 
-    def confirmed(pairs: DataFrame) -> list[DataFrame]:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar enough; only texts that are in a pair are read again."""
         pairs = store.keep(pairs, "pairs")
         own = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).distinct()
         wanted = store.keep(reps.join(own, "own", "left_semi").select("own", "key"), "wanted")
         texts = rows.select("key", "text").join(store.small(wanted), "key").select("own", "text")
-        sets = store.keep(texts.mapInArrow(_packed_sets(width), "own long, shingles binary"), "sets")
+        sets = store.keep(texts.mapInArrow(tidy(_packed_sets(width)), "own long, shingles binary"), "sets")
         a, b = (sets.toDF(x, f"s{x}") for x in ("u", "v"))
-        out = []
-        for p in range(PASSES):  # a pair carries both its sets, so again a part at a time
-            met = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(PASSES)) == p).join(a, "u").join(b, "v").select("u", "v", "su", "sv")
-            out.append(store.keep(met.mapInArrow(_alike(similar), "u long, v long"), "close"))
+        met = pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv")
+        out = store.keep(met.mapInArrow(tidy(_alike(similar)), "u long, v long"), "close")
         store.drop(pairs, wanted, sets)
         return out
 
-    def now(root: DataFrame | None, close: list[DataFrame]) -> DataFrame:
+    def now(root: DataFrame | None, close: DataFrame) -> DataFrame:
         """(own, root) with more links."""
-        links = reduce(DataFrame.unionByName, close if root is None else [root.filter("own <> root").select(F.col("own").alias("u"), F.col("root").alias("v")), *close])
+        links = close if root is None else close.unionByName(root.filter("own <> root").select(F.col("own").alias("u"), F.col("root").alias("v")))
         new = store.keep(reps.select("own").join(component_roots(links), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
-        store.drop(*close, *([root] if root is not None else []))
+        store.drop(close, *([root] if root is not None else []))
         return new
 
     # sets of one fingerprint are linked to the first of them, fingerprints to each other
@@ -359,7 +356,7 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     s, n = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(s)
     frequent = spark.sparkContext.broadcast((s[order], n[order]))
-    prefixes = store.keep(rows.select("text").mapInArrow(_prefixes(frequent, width, similar), "s long, own long, n int"), "prefixes")
+    prefixes = store.keep(rows.select("text").mapInArrow(tidy(_prefixes(frequent, width, similar)), "s long, own long, n int"), "prefixes")
     frequent.unpersist()
     for p in range(PASSES):  # by parts of the shingles: what one links needs no comparison in the next
         part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p).join(root, "own")

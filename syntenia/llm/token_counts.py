@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import lone
+from .ragged import lone, tidy
 
 SPACE = "▁"
 #: Distinct pre-tokens whose counts a worker remembers (at some 150 bytes each); then it forgets all.  Longer ones aren't remembered.
@@ -200,4 +200,4 @@ def _run(model_file: str, limit: int):
 def count_tokens(docs: DataFrame, model_file: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row.  ``model_file`` must be readable on every worker."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_run(model_file, limit), f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(_run(model_file, limit)), f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long, over_limit boolean")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import blocks, lowered, pieces, words
+from .ragged import blocks, lowered, pieces, tidy, words
 
 BITS, BLOCK = 18, 256
 SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
@@ -293,4 +293,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     """(id, score, spans) for every row; spans hold begin and end, in bytes of the UTF-8 text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, score double" + ", spans array<struct<begin: long, end: long>>" * spans
-    return rows.mapInArrow(_score(model, spans), schema)
+    return rows.mapInArrow(tidy(_score(model, spans)), schema)

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import store
-from .ragged import lone
+from .ragged import lone, tidy
 
 MAGIC = b"WMATRIX1"
 SHARD = 1 << 20
@@ -317,7 +317,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, path: str, *, end_id: int
     order = ["id", F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = f"part int, seq int, n_tokens long, doc_ids array<{kind}>, sizes array<long>, matrix binary"
-    dealt.mapInArrow(_write(tokenizer_file, end_id, shard), schema).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(tidy(_write(tokenizer_file, end_id, shard)), schema).write.option("compression", "zstd").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
