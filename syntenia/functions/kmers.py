@@ -74,10 +74,32 @@ def org_kmers(genes: DataFrame, k: int) -> DataFrame:
 
 
 def org_kmer_similarity(genes: DataFrame, k: int) -> DataFrame:
-    """(i, j, sim) of organisms, at least 0 (A15); the distance is sqrt(1 - sim)."""
+    """(i, j, sim) of organisms, at least 0 (A15); the distance is sqrt(1 - sim).  Pairs that share no k-mer, of similarity 0, are left out."""
     return cosine(org_kmers(genes, k), "org_id").withColumn("sim", F.greatest("sim", F.lit(0.0)))
 
 
+def org_kmer_distance(genes: DataFrame, organisms: DataFrame, k: int, method: str = "cosine", power: float = 2.0) -> DataFrame:
+    """(org_a, org_b, distance) of every pair of ``organisms`` (org_id) (A15): sqrt(1 - cosine), or a distance of the k-mer counts.
+
+    Organisms are few and all their pairs are the result, so they are paired by a cross join.
+    """
+    a, b = organisms.select(F.col("org_id").alias("org_a")), organisms.select(F.col("org_id").alias("org_b"))
+    pairs = a.crossJoin(b).filter("org_a < org_b")
+    counts = org_kmers(genes, k)
+    if method == "cosine":
+        sims = cosine(counts, "org_id").toDF("org_a", "org_b", "sim")
+        return pairs.join(sims, ["org_a", "org_b"], "left").select("org_a", "org_b", F.sqrt(F.greatest(F.lit(0.0), 1 - F.coalesce("sim", F.lit(0.0)))).alias("distance"))
+    x, y = (counts.select("kmer", F.col("org_id").alias(o), F.col("n").cast("double").alias(v)) for o, v in (("org_a", "x"), ("org_b", "y")))
+    # each organism's own sum counts where the other lacks the k-mer; shared k-mers correct it
+    one, both = {"euclidean": (lambda v: v * v, lambda x, y: (x - y) * (x - y)), "manhattan": (lambda v: v, lambda x, y: F.abs(x - y)), "minkowski": (lambda v: F.pow(v, F.lit(power)), lambda x, y: F.pow(F.abs(x - y), F.lit(power)))}[method]
+    own = counts.groupBy("org_id").agg(F.sum(one(F.col("n").cast("double"))).alias("own"))
+    fix = x.join(y, "kmer").filter("org_a < org_b").groupBy("org_a", "org_b").agg(F.sum(both(F.col("x"), F.col("y")) - one(F.col("x")) - one(F.col("y"))).alias("fix"))
+    sums = pairs.join(own.toDF("org_a", "p"), "org_a", "left").join(own.toDF("org_b", "q"), "org_b", "left").join(fix, ["org_a", "org_b"], "left")
+    total = F.coalesce("p", F.lit(0.0)) + F.coalesce("q", F.lit(0.0)) + F.coalesce("fix", F.lit(0.0))
+    root = {"euclidean": F.sqrt(total), "manhattan": total, "minkowski": F.pow(total, F.lit(1.0 / power))}[method]
+    return sums.select("org_a", "org_b", root.alias("distance"))
+
+
 def length_close(a: Column, b: Column, limit: float, strict_max: bool = False) -> Column:
     """Lengths differ by at most ``limit`` of the shorter (or absolutely, from 1 on); ``strict_max``: by less, of the longer."""
     diff = F.abs(a - b)

@@ -12,13 +12,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kmers import cosine, kmers
 from ..plans.ranks import ranked
-from ..plans.tables import materialize
-from .components import components
+from ..plans.tables import discard, materialize
+from .communities import fast_greedy, infomap, label_propagation, louvain, scan_of
+from .components import component_roots, components
 
 
 def manual_grouping(genes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -69,16 +71,37 @@ def _leaders(genes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["gene_id", "leader"])
 
 
+def first_of_equal(genes: DataFrame, text: Column, *by: str) -> DataFrame:
+    """(gene_id, rep): the smallest id of those with the same text (and ``by``).  A greedy scan treats equal genes alike, so one of them stands for all."""
+    own = genes.select("gene_id", *by, text.alias("_text"))
+    least = own.groupBy(*by, "_text").agg(F.min("gene_id").alias("rep"), F.count("*").alias("_n"))
+    same = [F.col("_text").eqNullSafe(F.col("_t")), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]
+    repeated = least.filter("_n > 1").select("rep", F.col("_text").alias("_t"), *[F.col(c).alias(f"_{c}") for c in by])
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return own.join(repeated, on, "left").select("gene_id", F.coalesce("rep", "gene_id").alias("rep"))
+
+
+def _for_all(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """(gene_id, leader) of every gene from those of the representatives."""
+    return reps.join(found.withColumnRenamed("gene_id", "rep"), "rep").select("gene_id", "leader")
+
+
 def leader_clusters(genes: DataFrame, k: int = 5, limit: float = 0.5, block: str | None = None) -> DataFrame:
     """(gene_id, leader) by cosine of k-mers >= limit (G9); ``block`` keeps to pairs of equal value of that column."""
     keys = ("gene_id",) if block is None else ("gene_id", block)
-    edges = cosine(kmers(genes, k, keys), "gene_id", limit, block)
-    return scan_components(genes.select("gene_id", "sequence"), edges.select("i", "j"), _leaders)
+    long = F.length("sequence") >= k  # shorter ones have no k-mer and lead themselves
+    reps = materialize(first_of_equal(genes.filter(long), F.col("sequence"), *keys[1:]), "equal")
+    one = genes.join(reps.filter("gene_id = rep").select("gene_id"), "gene_id", "left_semi")
+    edges = cosine(kmers(one, k, keys), "gene_id", limit, block)
+    found = _for_all(reps, scan_components(one.select("gene_id", "sequence"), edges.select("i", "j"), _leaders))
+    return found.unionByName(genes.filter(F.coalesce(~long, F.lit(True))).select("gene_id", F.col("gene_id").alias("leader")))
 
 
 def group_similarity(genes: DataFrame, k: int, limit: float) -> DataFrame:
     """(i, j, sim) of pairs in the same group with cosine > limit."""
-    return cosine(kmers(genes, k, ("gene_id", "group_id")), "gene_id", 0.0, "group_id").filter(F.col("sim") > limit)
+    return cosine(kmers(genes, k, ("gene_id", "group_id")), "gene_id", limit, "group_id").filter(F.col("sim") > limit)
 
 
 # -- identity clustering -------------------------------------------------------------------
@@ -86,7 +109,9 @@ def group_similarity(genes: DataFrame, k: int, limit: float) -> DataFrame:
 
 @dataclass(frozen=True)
 class IdentityOptions:
-    """Options of greedy identity clustering; c identity, k word length, s/S length cut (share, residues), g 1 best instead of first, aL/aS alignment coverage of the representative/shorter, match/mismatch/opening/extension scores."""
+    """Options of greedy identity clustering; c identity, k word length, s/S length cut (share, residues), g 1 best instead of first,
+    aL/aS alignment coverage of the representative/shorter, scores of residue pairs ("protein", "dna", or "plain": match, mismatch),
+    cost of a gap's first and of each further residue."""
 
     c: float = 0.9
     k: int = 5
@@ -95,13 +120,14 @@ class IdentityOptions:
     g: int = 0
     aL: float = 0.0
     aS: float = 0.0
+    scores: str = "protein"
     match: int = 5
     mismatch: int = -4
     opening: int = 11
     extension: int = 1
 
     def __post_init__(self):
-        if not (0 < self.c <= 1 and self.k >= 1 and 0 <= self.s <= 1 and self.S >= 0 and self.g in (0, 1)):
+        if not (0 < self.c <= 1 and self.k >= 1 and 0 <= self.s <= 1 and self.S >= 0 and self.g in (0, 1) and self.scores in ("protein", "dna", "plain")):
             raise ValueError(f"bad clustering options: {self}")
 
 
@@ -110,6 +136,60 @@ def normalize(sequence: str) -> str:
     return sequence.upper().rstrip("*")
 
 
+#: The BLOSUM62 scores of the 20 amino acids, each against itself and those before it.
+RESIDUES = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62 = """
+ 4
+-1  5
+-2  0  6
+-2 -2  1  6
+ 0 -3 -3 -3  9
+-1  1  0  0 -3  5
+-1  0  0  2 -4  2  5
+ 0 -2  0 -1 -3 -2 -2  6
+-2  0  1 -1 -3  0  0 -2  8
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+"""
+
+
+def _protein_scores() -> np.ndarray:
+    """Scores by code point up to 127: B as N, Z as E; any other character -1 with all."""
+    out = np.full((128, 128), -1, np.int64)
+    for a, row in zip(RESIDUES, BLOSUM62.split("\n")[1:], strict=False):
+        for b, v in zip(RESIDUES, row.split(), strict=False):
+            out[ord(a), ord(b)] = out[ord(b), ord(a)] = int(v)
+    for same, as_ in (("B", "N"), ("Z", "E")):
+        out[ord(same)], out[:, ord(same)] = out[ord(as_)], out[:, ord(as_)]
+        out[ord(same), ord(same)] = out[ord(as_), ord(as_)]
+    return out
+
+
+def _dna_scores() -> np.ndarray:
+    """2 for equal bases, 1 for T with U and for N with itself, else -2."""
+    out = np.full((128, 128), -2, np.int64)
+    for a, b, v in (*((x, x, 2) for x in "ACGTU"), ("T", "U", 1), ("N", "N", 1)):
+        out[ord(a), ord(b)] = out[ord(b), ord(a)] = v
+    return out
+
+
+_SCORES = {"protein": _protein_scores(), "dna": _dna_scores()}
+
+
+def dna_options(c: float = 0.95, **more) -> IdentityOptions:
+    """Options for nucleotides (G13): their own scores, gaps of 6 and 1, identity 0.95 unless given."""
+    return IdentityOptions(**{"c": c, "scores": "dna", "opening": 6, "extension": 1} | more)
+
+
 def identity(query: str, rep: str, o: IdentityOptions = IdentityOptions()) -> tuple[float, int]:
     """Identical residues of the best alignment with affine gaps over the query's length, and the aligned residues.
 
@@ -123,22 +203,26 @@ def identity(query: str, rep: str, o: IdentityOptions = IdentityOptions()) -> tu
     shift = np.int64(1) << np.int64(24)
     wide = len(b) + 1
     at = np.arange(wide, dtype=np.int64) * (o.extension * shift)
+    pair: dict[int, np.ndarray] = {}
+    for x in np.unique(a).tolist():
+        same = b == x
+        pair[x] = np.where(same, o.match, o.mismatch) if o.scores == "plain" else _SCORES[o.scores][min(x, 127), np.minimum(b, 127)]
+        pair[x] = pair[x] * shift + same
     h, down = np.zeros(wide, np.int64), np.full(wide, -(np.int64(1) << np.int64(60)))
     best = np.int64(0)
-    for x in a:
-        same = b == x
-        slant = np.empty(wide, np.int64)
-        slant[0] = 0
-        slant[1:] = h[:-1] + np.where(same, o.match * shift + 1, o.mismatch * shift)
-        down = np.maximum(h - o.opening * shift, down) - o.extension * shift
+    for x in a.tolist():
+        slant = np.zeros(wide, np.int64)
+        slant[1:] = h[:-1] + pair[x]
+        down = np.maximum(h - o.opening * shift, down - o.extension * shift)
         row = np.maximum(slant, down)
-        across = np.maximum.accumulate(row + at) - at - o.opening * shift
+        # a gap from any place before: its first residue costs the opening, each further one the extension
+        across = np.maximum.accumulate(row + at) - at - (o.opening - o.extension) * shift
         row[1:] = np.maximum(row[1:], across[:-1] - o.extension * shift)
         row[0] = 0
         h = row
         best = max(best, h[-1])
     best = max(best, h.max())
-    same = int(best & (shift - 1)) if best > 0 else 0
+    same = int(best & (shift - 1)) if best >= shift else 0
     return same / len(query), same
 
 
@@ -171,24 +255,48 @@ def _greedy(o: IdentityOptions):
 
 
 def identity_candidates(genes: DataFrame, o: IdentityOptions) -> DataFrame:
-    """Pairs sharing enough words: sum of the lesser counts >= L - k + 1 - (1 - c) L k (lossless), and at least one (G12a-c)."""
+    """Pairs sharing enough words: sum of the lesser counts >= L - k + 1 - (1 - c) L k (lossless), and at least one (G12a-c).
+
+    With the words of a gene in order, rare ones first, two such genes have a common one among the first of each:
+    all but as many as any partner of a fitting length must share.  Only pairs that meet there are counted in full.
+    """
     clean = genes.select("gene_id", F.regexp_replace(F.upper("sequence"), r"\*+$", "").alias("sequence"))
-    words = kmers(clean, o.k)
     size = clean.select("gene_id", F.length("sequence").alias("len"))
-    a, b = (words.join(size, "gene_id").select("kmer", F.col("gene_id").alias(x), F.col("n").alias(f"n{x}"), F.col("len").alias(f"l{x}")) for x in ("i", "j"))
+    words = materialize(kmers(clean, o.k).join(size, "gene_id"), "words")
+
+    def need(length: Column) -> Column:
+        """Words that the shorter of a pair, of this length, must share."""
+        return F.greatest(F.lit(1.0), length - (o.k - 1) - (1 - o.c) * length * o.k)
+
+    often = words.groupBy("kmer").agg(F.count("*").alias("often"))
+    # the least that any partner asks for: the gene's own need, or that of the shortest partner
+    shortest = F.greatest(F.lit(float(o.k)), F.col("len") * o.s, F.col("len") - o.S)
+    before = F.sum("n").over(W.partitionBy("gene_id").orderBy("often", "kmer").rowsBetween(W.unboundedPreceding, -1))
+    first = words.join(often, "kmer").withColumn("before", F.coalesce(before, F.lit(0)))
+    first = first.filter(F.col("before") <= F.col("len") - (o.k - 1) - F.least(need(F.col("len")), need(shortest)) + 1e-9)
     longer, shorter = F.greatest("li", "lj"), F.least("li", "lj")
     fits = longer <= (F.least(shorter / o.s, shorter + o.S) if o.s else shorter + o.S)
-    shared = a.join(b, "kmer").filter((F.col("i") < F.col("j")) & fits).groupBy("i", "j").agg(F.sum(F.least("ni", "nj")).alias("shared"), F.first(shorter).alias("short"))
-    need = F.greatest(F.lit(1.0), F.col("short") - (o.k - 1) - (1 - o.c) * F.col("short") * o.k)
-    return shared.filter(F.col("shared") >= need - 1e-9).select("i", "j")
+    a, b = (first.select("kmer", F.col("gene_id").alias(x), F.col("len").alias(f"l{x}")) for x in ("i", "j"))
+    met = a.join(b, "kmer").filter((F.col("i") < F.col("j")) & fits).select("i", "j", shorter.alias("short")).distinct()
+    wi, wj = (words.select(F.col("gene_id").alias(x), "kmer", F.col("n").alias(f"n{x}")) for x in ("i", "j"))
+    shared = met.join(wi, "i").join(wj, ["j", "kmer"]).groupBy("i", "j", "short").agg(F.sum(F.least("ni", "nj")).alias("shared"))
+    return shared.filter(F.col("shared") >= need(F.col("short")) - 1e-9).select("i", "j")
 
 
 def identity_clusters(genes: DataFrame, options: IdentityOptions = IdentityOptions()) -> DataFrame:
     """(gene_id, leader): longest first, each gene joins the first (or best) representative of identity >= c.
 
-    Genes shorter than the word length are alone (or lead themselves).
+    Genes shorter than the word length are alone (or lead themselves).  Equal sequences are compared once
+    (but where the best representative is asked for, as one made meanwhile may be better).
     """
-    return scan_components(genes.select("gene_id", "sequence"), identity_candidates(genes, options), _greedy(options))
+    if options.g:
+        return scan_components(genes.select("gene_id", "sequence"), identity_candidates(genes, options), _greedy(options))
+    clean = F.regexp_replace(F.upper("sequence"), r"\*+$", "")
+    long = F.coalesce(F.length(clean) >= options.k, F.lit(False))
+    reps = materialize(first_of_equal(genes.filter(long), clean), "equal")
+    one = genes.join(reps.filter("gene_id = rep").select("gene_id"), "gene_id", "left_semi").select("gene_id", "sequence")
+    found = _for_all(reps, scan_components(one, identity_candidates(one, options), _greedy(options)))
+    return found.unionByName(genes.filter(~long).select("gene_id", F.col("gene_id").alias("leader")))
 
 
 def word_size(limit: float) -> int:
@@ -202,14 +310,32 @@ def _lift(members: DataFrame, merged: DataFrame) -> DataFrame:
     return members.join(up, "leader", "left").select("gene_id", F.coalesce("_up", "leader").alias("leader"))
 
 
-def identity_grouping(genes: DataFrame, *, lower: float = 0.5, start: float = 0.9, by: float = 0.05, max_length_dif: float = 0.1, k: int = 5, iterate: bool = True) -> DataFrame:
-    """(gene_id, group_id): cluster at ``start``, then cluster the longest representatives at ever lower limits (G5, G6); ``iterate=False``: leader clustering of the representatives at ``lower``."""
+def _drawn(members: DataFrame, seed: int) -> DataFrame:
+    """(gene_id, leader) with another member of each cluster as its leader, drawn by a hash."""
+    one = members.groupBy("leader").agg(F.min(F.struct(F.xxhash64("gene_id", F.lit(seed)).alias("h"), "gene_id"))["gene_id"].alias("_one"))
+    return members.join(one, "leader").select("gene_id", F.col("_one").alias("leader"))
+
+
+def precluster(genes: DataFrame, *, max_length_dif: float = 0.1, k: int = 5, dna: bool = False) -> DataFrame:
+    """(gene_id, leader) at the default identity, 0.9 for proteins and 0.95 for nucleotides."""
+    cut = {"s": 1 - max_length_dif} if max_length_dif < 1 else {"S": int(max_length_dif)}
+    return identity_clusters(genes, dna_options(k=k, **cut) if dna else IdentityOptions(k=k, **cut))
+
+
+def identity_grouping(genes: DataFrame, *, lower: float = 0.5, start: float = 0.9, by: float = 0.05, max_length_dif: float = 0.1, k: int = 5, iterate: bool = True, rep: str = "longest", seed: int = 0) -> DataFrame:
+    """(gene_id, group_id): cluster at ``start``, then cluster representatives, the longest or ("random") drawn anew, at ever lower limits (G5, G6);
+    ``iterate=False``: leader clustering of the representatives at ``lower`` (G7)."""
+    if rep not in ("longest", "random"):
+        raise ValueError(f"unknown representatives {rep!r}")
     cut = {"s": 1 - max_length_dif} if max_length_dif < 1 else {"S": int(max_length_dif)}
     members = materialize(identity_clusters(genes, IdentityOptions(c=start, k=k, **cut)), "level")
-    level = start - by
+    level, turn = start - by, seed
     while iterate and level >= lower - 1e-9:
+        if rep == "random":
+            members, turn = materialize(_drawn(members, turn), "drawn"), turn + 1
         reps = genes.join(members.select(F.col("leader").alias("gene_id")).distinct(), "gene_id", "left_semi")
-        members = materialize(_lift(members, identity_clusters(reps, IdentityOptions(c=level, k=word_size(level), **cut))), "level")
+        old, members = members, materialize(_lift(members, identity_clusters(reps, IdentityOptions(c=level, k=word_size(level), **cut))), "level")
+        discard(old)
         level -= by
     if not iterate:
         reps = genes.join(members.select(F.col("leader").alias("gene_id")).distinct(), "gene_id", "left_semi")
@@ -220,99 +346,59 @@ def identity_grouping(genes: DataFrame, *, lower: float = 0.5, start: float = 0.
 # -- community detection -------------------------------------------------------------------
 
 
-def label_propagation(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, label): each node takes the label of greatest summed weight among its neighbors and itself, ties to the smallest."""
-    both = materialize(edges.select("i", "j", "sim").union(edges.select("j", "i", "sim")).toDF("node", "other", "sim"), "both")
-    labels = both.select("node").distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node", "label").agg(F.sum("sim").alias("sim"))
-        # a node's own label counts like its strongest edge, which keeps two-node groups from swapping labels
-        own = both.groupBy("node").agg(F.max("sim").alias("sim")).join(labels, "node").select("node", "label", "sim")
-        votes = votes.unionByName(own).groupBy("node", "label").agg(F.round(F.sum("sim"), 9).alias("sim"))
-        new = materialize(votes.groupBy("node").agg(F.min(F.struct((-F.col("sim")).alias("s"), "label"))["label"].alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            break
-    return labels
-
-
-def louvain(nodes: list[int], edges: list[tuple[int, int, float]]) -> dict[int, int]:
-    """Modularity by local moves and aggregation; nodes in order, ties to the smallest community."""
-    member = {n: n for n in nodes}
-    weight: dict[int, dict[int, float]] = {n: {} for n in nodes}
-    for i, j, w in edges:
-        weight[i][j] = weight[i].get(j, 0.0) + w
-        weight[j][i] = weight[j].get(i, 0.0) + w
-    loops = dict.fromkeys(nodes, 0.0)
-    while True:
-        degree = {n: sum(e.values()) + 2 * loops[n] for n, e in weight.items()}
-        total = sum(degree.values()) or 1.0
-        group, held = {n: n for n in weight}, dict(degree)
-        moved, moved_any = True, False
-        while moved:
-            moved = False
-            for n in sorted(weight):
-                old = group[n]
-                held[old] -= degree[n]
-                links: dict[int, float] = {old: 0.0}
-                for m, w in weight[n].items():
-                    links[group[m]] = links.get(group[m], 0.0) + w
-                gain = {c: w - held[c] * degree[n] / total for c, w in links.items()}
-                top = max(gain.values())
-                best = old if gain[old] >= top - 1e-12 else min(c for c, v in gain.items() if v >= top - 1e-12)
-                held[best] += degree[n]
-                if best != old:
-                    group[n], moved, moved_any = best, True, True
-        member = {n: group[c] for n, c in member.items()}
-        if not moved_any:
-            return member
-        new: dict[int, dict[int, float]] = {c: {} for c in set(group.values())}
-        new_loops = dict.fromkeys(new, 0.0)
-        for n, e in weight.items():
-            new_loops[group[n]] += loops[n]
-            for m, w in e.items():
-                if group[n] == group[m]:
-                    new_loops[group[n]] += w / 2
-                else:
-                    new[group[n]][group[m]] = new[group[n]].get(group[m], 0.0) + w
-        weight, loops = new, new_loops
-
-
-def _louvain_scan(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    found = louvain(sorted(int(g) for g in nodes["gene_id"]), sorted((int(i), int(j), float(s)) for i, j, s in zip(edges["i"], edges["j"], edges["sim"], strict=True)))
-    return pd.DataFrame(sorted(found.items()), columns=["gene_id", "leader"])
-
-
 def _label_prop(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     found = label_propagation(edges).select(F.col("node").alias("gene_id"), F.col("label").alias("leader"))
     return nodes.join(found, "gene_id", "left").select("gene_id", F.coalesce("leader", "gene_id").alias("leader"))
 
 
+def _scanned(find: Callable) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    def run(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        total = 2 * (edges.agg(F.sum("sim")).first()[0] or 0.0)
+        return scan_components(nodes, edges.select("i", "j", "sim"), scan_of(find, total))
+
+    return run
+
+
 #: Community algorithms by name (U4); a plug-in maps (nodes(gene_id), edges(i, j, sim)) to (gene_id, leader).
 ALGORITHMS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "label_prop": _label_prop,
-    "louvain": lambda nodes, edges: scan_components(nodes, edges, _louvain_scan),
+    "louvain": _scanned(louvain),
+    "fast_greedy": _scanned(fast_greedy),
+    "infomap": _scanned(infomap),
 }
-#: No exact distributed form: infomap and the spectral, betweenness and annealing methods couple all components.
-ALGORITHMS["infomap"] = ALGORITHMS["label_prop"]
-ALGORITHMS["fast_greedy"] = ALGORITHMS["louvain"]
 
 
 def graph_grouping(genes: DataFrame, edges: DataFrame, algorithm: str = "infomap") -> DataFrame:
-    """(gene_id, group_id) by community detection on (i, j, sim) (G3).  infomap is served by label propagation, fast_greedy by Louvain."""
+    """(gene_id, group_id) by community detection on (i, j, sim).
+
+    infomap minimises the two-level map equation with one component's exits at a time, as components are found
+    apart.  The spectral, betweenness, annealing and random-walk-distance methods and the exact optimum are refused.
+    """
     name = algorithm.removeprefix("cluster_")
     if name not in ALGORITHMS:
         raise ValueError(f"unsupported community algorithm {algorithm!r}; one of {sorted(ALGORITHMS)}")
     return number_groups(ALGORITHMS[name](genes.select("gene_id"), edges).withColumnRenamed("leader", "root"))
 
 
-def tree_grouping(genes: DataFrame, tree: list[tuple[int, int, int]], *, k: int = 5, lower: float = 0.5) -> DataFrame:
+def _joined_by(members: DataFrame, preclusters: DataFrame) -> DataFrame:
+    """Groups (node, leader) that are active and have members of one precluster become one."""
+    pre = preclusters.select("gene_id", F.col("leader").alias("_pre"))
+    seen = members.filter("now").join(pre, "gene_id").select("node", "leader", "_pre").distinct()
+    # a group's leader and a precluster's, as nodes of one graph; both name genes, so preclusters are negative
+    edges = seen.select("leader", (-F.col("_pre") - 1).alias("_p"), "node")
+    first = edges.groupBy("node", "_p").agg(F.min("leader").alias("_f"))
+    links = edges.join(first, ["node", "_p"]).filter("leader <> _f").select(F.col("leader").alias("u"), F.col("_f").alias("v"))
+    label = component_roots(links).select(F.col("node").alias("leader"), F.col("root").alias("_root"))
+    return members.join(label, "leader", "left").select("gene_id", "node", F.coalesce(F.when(F.col("now"), F.col("_root")), "leader").alias("leader"), "now")
+
+
+def tree_grouping(genes: DataFrame, tree: list[tuple[int, int, int]], *, k: int = 5, lower: float = 0.5, preclusters: DataFrame | None = None) -> DataFrame:
     """(gene_id, group_id) bottom-up along a tree of organisms.
 
     ``tree`` lists merges (left, right, parent), children before parents; leaves are org ids.
     All nodes of a level are one job: representatives (by a hash of id) of the children's
-    groups are leader-clustered with the node as block.
+    groups are leader-clustered with the node as block.  Children's groups that share a precluster
+    (gene_id, leader) are joined first, so that their representatives need no comparison.
     """
     spark = genes.sparkSession
     height: dict[int, int] = {}
@@ -323,6 +409,8 @@ def tree_grouping(genes: DataFrame, tree: list[tuple[int, int, int]], *, k: int
         moves = [(int(c), int(p)) for left, right, p in tree if height[p] == level for c in (left, right)]
         up = spark.createDataFrame(moves, "node long, parent long")
         members = materialize(members.join(F.broadcast(up), "node", "left").select("gene_id", F.coalesce("parent", "node").alias("node"), "leader", F.col("parent").isNotNull().alias("now")), "tree")
+        if preclusters is not None:
+            members = materialize(_joined_by(members, preclusters), "joined")
         reps = members.filter("now").groupBy("node", "leader").agg(F.min(F.struct(F.xxhash64("gene_id").alias("h"), "gene_id"))["gene_id"].alias("gene_id"))
         found = leader_clusters(reps.join(genes.select("gene_id", "sequence"), "gene_id"), k, lower, "node")
         new = reps.select("leader", F.col("gene_id").alias("rep")).join(found.select(F.col("gene_id").alias("rep"), F.col("leader").alias("_up")), "rep").select("leader", "_up")

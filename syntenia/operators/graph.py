@@ -22,7 +22,11 @@ def route(fathers: dict, node) -> list:
 
 
 def cycles_at(root, near: dict) -> list[tuple]:
-    """Cycles through ``root`` within its ball: two tree routes that part at the root and meet by an edge; those sharing two vertices are fused."""
+    """Cycles through ``root`` within its ball: two tree routes that part at the root and meet by an edge; those sharing two vertices are fused.
+
+    Every edge outside the breadth-first tree closes a cycle, also one between vertices that have children in the tree; a rule that
+    starts at the tree's leaves only would miss a triangle with a tail on each vertex.
+    """
     father, seen = {root: None}, deque([root])
     while seen:
         v = seen.popleft()

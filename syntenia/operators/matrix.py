@@ -42,9 +42,14 @@ def with_paralogues(genes: DataFrame) -> DataFrame:
     return pan_matrix(genes).groupBy("group_id").agg((F.max("n") > 1).alias("has_paralogues"))
 
 
-def paralogue_counts(genes: DataFrame) -> DataFrame:
-    """(org_id, n_gene_groups, n_paralogues) (A6): an organism's groups, and those with more than one of its genes."""
-    return pan_matrix(genes).groupBy("org_id").agg(F.count("*").alias("n_gene_groups"), F.sum((F.col("n") > 1).cast("long")).alias("n_paralogues"))
+def paralogue_counts(genes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(org_id, n_gene_groups, n_paralogues) (A6): an organism's groups, and those with more than one of its genes;
+    with ``links`` (group_id, paralogue) the linked groups that together have more than one."""
+    own = pan_matrix(genes)
+    if links is None:
+        return own.groupBy("org_id").agg(F.count("*").alias("n_gene_groups"), F.sum((F.col("n") > 1).cast("long")).alias("n_paralogues"))
+    linked = own.join(links.select("group_id", "paralogue"), "group_id").groupBy("org_id", "paralogue").agg(F.count("*").alias("groups"), F.sum("n").alias("n"))
+    return linked.groupBy("org_id").agg(F.sum("groups").alias("n_gene_groups"), F.sum((F.col("n") > 1).cast("long")).alias("n_paralogues"))
 
 
 def pan_counts(n: Column, orgs: Column | int, threshold: float) -> list[Column]:
@@ -90,7 +95,7 @@ def evolution_bootstrap(genes: DataFrame, n_orgs: int, orgs: DataFrame, threshol
     draws = (
         spark.range(1, n_orgs + 1).select(F.col("id").alias("n")).crossJoin(spark.range(1, times + 1).select(F.col("id").alias("rep")))
         .withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        .withColumn("at", F.pmod(F.xxhash64("n", "rep", "draw", F.lit(seed)), F.lit(n_orgs)).cast("int"))
+        .withColumn("at", (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("n").cast("string"), F.col("rep").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))), 1, 12), 16, 10).cast("long") % n_orgs).cast("int"))
     )
     drawn = draws.join(numbered, "at").groupBy("n", "rep", "org_id").agg(F.count("*").alias("columns"))
     seen = genes.select("group_id", "org_id").distinct().join(drawn, "org_id").groupBy("n", "rep", "group_id").agg(F.sum("columns").alias("present"))
@@ -156,10 +161,10 @@ def org_distance(genes: DataFrame, method: str = "euclidean", p: float = 2.0) ->
     return sides.join(shared, ["org_a", "org_b"], "left").select("org_a", "org_b", distance.alias("distance"))
 
 
-def org_stat(genes: DataFrame) -> DataFrame:
+def org_stat(genes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Per organism: n_genes, min_length, max_length, sd_length, n_gene_groups, n_paralogues."""
     lengths = genes.groupBy("org_id").agg(F.count("*").alias("n_genes"), F.min("width").alias("min_length"), F.max("width").alias("max_length"), F.stddev_samp("width").alias("sd_length"))
-    return lengths.join(paralogue_counts(genes), "org_id")
+    return lengths.join(paralogue_counts(genes, links), "org_id")
 
 
 def residue_frequency(genes: DataFrame) -> DataFrame:
@@ -215,3 +220,44 @@ def largest_info(groups: DataFrame, key: str, size: str, id_col: str) -> DataFra
     rest = [c for c in groups.columns if c not in (key, size, id_col)]
     best = F.min(F.struct((-F.col(size)).alias("_o"), F.col(id_col).alias(id_col), *[F.col(c).alias(c) for c in rest])).alias("_b")
     return groups.groupBy(key).agg(best).select(key, (-F.col("_b")["_o"]).alias(size), *[F.col("_b")[c].alias(c) for c in [id_col, *rest]])
+
+
+def stack(first: DataFrame, *others: DataFrame, fill: int | float | str | None = None) -> DataFrame:
+    """Rows of all tables over the union of their columns (A22); cells that a table lacks are ``fill``, nulls of its own stay."""
+    names = list(dict.fromkeys(c for t in (first, *others) for c in t.columns))
+    out = None
+    for t in (first, *others):
+        one = t.select(*[F.col(c) if c in t.columns else F.lit(fill).alias(c) for c in names])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def pair_to_index(row: Column | int, col: Column | int, n_rows: Column | int) -> Column | int:
+    """Place of (row, col), both from 1, in a matrix stored by columns (P20)."""
+    return n_rows * (col - 1) + row
+
+
+def resize(df: DataFrame, n: int, order: str, name: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """The first ``n`` rows by ``order``, or all and rows of nulls up to ``n``.
+
+    ``name``: a text column whose added values are ``names``, by default the row numbers, each made
+    unique by a suffix where it is taken.
+    """
+    have = df.count()
+    if n <= have:
+        return df.orderBy(order).limit(n)
+    spark = df.sparkSession
+    added = spark.range(have + 1, n + 1).select(F.col("id").alias("_n"))
+    if name is None:
+        return df.unionByName(added.select(), allowMissingColumns=True)
+    wanted = F.col("_n").cast("string") if names is None else F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("_n") - have).cast("int"))
+    wanted = added.select("_n", wanted.alias("_w")).withColumn("_k", F.row_number().over(W.partitionBy("_w").orderBy("_n")))
+    taken = df.select(F.col(name).alias("_w"), F.lit(1).alias("_t")).distinct()
+    fresh = wanted.join(taken, "_w", "left").withColumn("_k", F.col("_k") - 1 + F.coalesce("_t", F.lit(0)))
+    fresh = fresh.select(F.when(F.col("_k") == 0, F.col("_w")).otherwise(F.concat_ws(".", "_w", F.col("_k").cast("string"))).alias(name))
+    return df.unionByName(fresh, allowMissingColumns=True)
+
+
+def group_lists(genes: DataFrame) -> DataFrame:
+    """(group_id, genes): a grouping as sorted lists of gene ids."""
+    return genes.groupBy("group_id").agg(F.sort_array(F.collect_list("gene_id")).alias("genes"))

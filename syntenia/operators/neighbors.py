@@ -88,3 +88,24 @@ def pc_vertices(genes: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """(group_id, degree) over undirected (a, b); a self loop adds two."""
     return edges.select(F.explode(F.array("a", "b")).alias("group_id")).groupBy("group_id").agg(F.count("*").alias("degree"))
+
+
+def org_graphs(genes: DataFrame) -> DataFrame:
+    """(org_id, a, b, weight): each organism's own adjacency graph."""
+    return adjacent(genes).groupBy("org_id", "a", "b").agg(F.count("*").alias("weight"))
+
+
+def ego(edges: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """(root, at, hops): what is within ``radius`` steps of each root (group_id) along (a, b), by breadth first search."""
+    both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).toDF("at", "to").distinct()
+    ball = roots.select(F.col("group_id").alias("root"), F.col("group_id").alias("at"), F.lit(0).alias("hops"))
+    for k in range(1, radius + 1):
+        step = ball.filter(F.col("hops") == k - 1).join(both, "at").select("root", F.col("to").alias("at"), F.lit(k).alias("hops"))
+        ball = ball.unionByName(step).groupBy("root", "at").agg(F.min("hops").alias("hops"))
+    return ball
+
+
+def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges (a, b, ...) whose ends are both among ``vertices`` (group_id)."""
+    own = vertices.select("group_id").distinct()
+    return edges.join(own.toDF("a"), "a", "left_semi").join(own.toDF("b"), "b", "left_semi").select(*edges.columns)

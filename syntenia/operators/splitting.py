@@ -21,6 +21,24 @@ def pairs_in_group(genes: DataFrame, *columns: str) -> DataFrame:
     return a.join(b, "group_id").filter("i < j")
 
 
+def band_pairs(genes: DataFrame, limit: float, *columns: str) -> DataFrame:
+    """:func:`pairs_in_group` of genes whose ``width`` differs by at most ``limit`` of the shorter (or absolutely, from 1 on).
+
+    Widths are cut into bands so wide that close ones are in the same or the next, so only those meet and a
+    large group is many keys.
+    """
+    width = F.col("width").cast("double")
+    band = F.floor(width / limit) if limit >= 1 else F.floor(F.log(F.greatest(width, F.lit(1e-9))) / F.log(F.lit(1.0 + limit)) - 1e-9) if limit > 0 else F.xxhash64(width)
+    own = genes.select("group_id", "gene_id", "width", *columns, band.alias("_band"))
+    a = own.select("group_id", F.col("gene_id").alias("i"), "_band", *[F.col(c).alias(f"{c}_i") for c in ("width", *columns)])
+    reach = F.array("_band", F.col("_band") + 1) if limit > 0 else F.array("_band")
+    b = own.select("group_id", F.col("gene_id").alias("j"), F.explode(reach).alias("_band"), F.col("_band").alias("_own"), *[F.col(c).alias(f"{c}_j") for c in ("width", *columns)])
+    met = a.join(b, ["group_id", "_band"]).filter(length_close(F.col("width_i"), F.col("width_j"), limit) & ((F.col("_band") != F.col("_own")) | (F.col("i") < F.col("j"))))
+    swap = F.col("i") > F.col("j")
+    sides = [F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in ("width", *columns) for x, y in (("i", "j"), ("j", "i"))]
+    return met.select("group_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), *sides)
+
+
 def _split(genes: DataFrame, edges: DataFrame) -> DataFrame:
     """(gene_id, group_id): components of edges (i, j) inside groups."""
     label = components(genes.select(F.col("gene_id").alias("node")), edges.select(F.col("i").alias("u"), F.col("j").alias("v")))
@@ -42,9 +60,10 @@ def width_components(genes: DataFrame, limit: float = 0.1) -> DataFrame:
 
 def kmer_split(genes: DataFrame, k: int = 5, limit: float = 0.5, max_length_dif: float = 0.1) -> DataFrame:
     """(gene_id, group_id): components of pairs of a group with cosine >= limit and lengths close (strictly, of the longer)."""
-    near = pairs_in_group(genes, "width").filter(length_close(F.col("width_i"), F.col("width_j"), max_length_dif, strict_max=True)).select("i", "j")
-    sims = cosine(kmers(genes, k, ("gene_id", "group_id")), "gene_id", 0.0, "group_id").filter(F.col("sim") >= limit - 1e-12)
-    return _split(genes, sims.join(near, ["i", "j"], "left_semi"))
+    sims = cosine(kmers(genes, k, ("gene_id", "group_id")), "gene_id", limit, "group_id")
+    width = genes.select("gene_id", "width")
+    close = sims.join(width.toDF("i", "wi"), "i").join(width.toDF("j", "wj"), "j").filter(length_close(F.col("wi"), F.col("wj"), max_length_dif, strict_max=True))
+    return _split(genes, close)
 
 
 def neighborhood_similarity(genes: DataFrame, flank_size: int = 4, force_paralogues: bool = True, max_length_dif: float = 0.1) -> DataFrame:
@@ -117,7 +136,7 @@ def neighbor_split(genes: DataFrame, groups: DataFrame, *, flank_size: int, forc
 
 def neighborhood_similarity_of(f: DataFrame, force_paralogues: bool, max_length_dif: float) -> DataFrame:
     """X3 for genes that already have their ``flank``."""
-    pairs = pairs_in_group(f, "flank", "width", "org_id").filter(length_close(F.col("width_i"), F.col("width_j"), max_length_dif))
+    pairs = band_pairs(f, max_length_dif, "flank", "org_id")
     if force_paralogues:
         pairs = pairs.filter("org_id_i <> org_id_j")
     fi = F.filter("flank_i", lambda x: F.array_contains(F.col("flank_j"), x))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.kmers import cosine, kmers, org_kmer_similarity, transform_sim
+from .functions.kmers import cosine, kmers, org_kmer_distance, org_kmer_similarity, transform_sim
 from .operators import clustering as C
 from .operators import graph as G
 from .operators import matrix as M
@@ -60,6 +60,26 @@ def group_changes(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.filter(~F.col("old_group").eqNullSafe(F.col("new_group"))).withColumn("change", what)
 
 
+def report_changes(new: DataFrame, old: DataFrame, path: str | None = None, most: int = 50) -> DataFrame:
+    """(line): who moved where, and how many groups came or went (S13, M15); written as text if ``path`` is given.
+
+    Without a path more than ``most`` lines of moves are warned of, and are in the result all the same.
+    """
+    moved = group_changes(new, old).filter("change = 'moved'")
+    lists = moved.groupBy("old_group", "new_group").agg(F.sort_array(F.collect_list("gene_id")).alias("genes"))
+    ids = F.array_join(F.transform("genes", lambda g: g.cast("string")), ", ")
+    line = F.concat(F.lit("Gene "), ids, F.lit(" moved from group "), F.col("old_group").cast("string"), F.lit(" to "), F.col("new_group").cast("string"))
+    moves = lists.select(F.lit(0).alias("part"), F.col("old_group").alias("a"), F.col("new_group").alias("b"), line.alias("line"))
+    was, now = old.select("group_id").distinct(), new.select("group_id").distinct()
+    counts = [x.join(y, "group_id", "left_anti").agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(k).alias("part"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.concat(F.col("n").cast("string"), F.lit(text)).alias("line")) for k, x, y, text in ((1, now, was, " new groups added"), (2, was, now, " empty groups removed"))]
+    out = moves.unionByName(counts[0]).unionByName(counts[1]).orderBy("part", "a", "b").select("line")
+    if path is not None:
+        out.write.text(path)
+    elif moves.limit(most + 1).count() > most:
+        warnings.warn(f"more than {most} changes of gene groups; give a path to write them", stacklevel=2)
+    return out
+
+
 @dataclass(frozen=True)
 class Pangenome:
     """genes(gene_id, org_id[, group_id][, desc, sequence, width][, contig, start, end, strand]), organisms(org_id, org_name, ...), group metadata."""
@@ -125,11 +145,19 @@ class Pangenome:
     def n_groups(self) -> int:
         return self._need("group_id").select("group_id").distinct().count()
 
-    def genes(self, split: str | None = None, subset: list | None = None) -> DataFrame:
-        """Sequences, or arrays of them by organism, group or paralogue (P2, P3); ``subset`` of genes or of the split's keys."""
+    def genes(self, split: str | None = None, subset: list | DataFrame | None = None) -> DataFrame:
+        """Sequences, or arrays of them by organism, group or paralogue (P2, P3); ``subset`` of genes or of the split's keys, a list or a table of one column."""
         g = self._need("sequence")
+
+        def chosen(rows: DataFrame, key: str) -> DataFrame:
+            if subset is None:
+                return rows
+            if isinstance(subset, DataFrame):
+                return rows.join(subset.toDF(key), key, "left_semi")
+            return rows.filter(F.col(key).isin(list(subset)))
+
         if split is None:
-            return g if subset is None else g.filter(F.col("gene_id").isin(list(subset)))
+            return chosen(g, "gene_id")
         if split in ("paralogue", "paralog"):
             if not self.has_paralogue_links:
                 raise ValueError("paralogues are not linked")
@@ -140,9 +168,7 @@ class Pangenome:
             key = "org_id"
         else:
             raise ValueError(f"unknown split {split!r}")
-        if subset is not None:
-            g = g.filter(F.col(key).isin(list(subset)))
-        return g.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gene_id", "sequence"))).alias("genes"))
+        return chosen(g, key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("gene_id", "sequence"))).alias("genes"))
 
     def gene_names(self) -> DataFrame:
         return self._need("desc").select("gene_id", F.col("desc").alias("name"))
@@ -164,8 +190,27 @@ class Pangenome:
     def group_info(self) -> DataFrame:
         """Counts, class, name and all metadata of each group."""
         info = M.group_info(self._need("group_id"), self.n_organisms(), self.default("core_threshold"))
-        info = info.withColumn("group_name", F.concat(F.lit(self.default("group_prefix")), F.col("group_id").cast("string")))
-        return info if self.group_meta is None else info.join(self.group_meta, "group_id", "left")
+        name = F.concat(F.lit(self.default("group_prefix")), F.col("group_id").cast("string"))
+        if self.group_meta is None:
+            return info.withColumn("group_name", name)
+        info = info.join(self.group_meta, "group_id", "left")
+        return info.withColumn("group_name", F.coalesce("group_name", name) if "group_name" in info.columns else name)
+
+    def all_groups(self) -> DataFrame:
+        """:meth:`group_info` with a row of zeros for every id up to the greatest that no gene has."""
+        info = self.group_info()
+        top = info.agg(F.coalesce(F.max("group_id"), F.lit(0))).first()[0]
+        ids = self.genes_.sparkSession.range(1, top + 1).withColumnRenamed("id", "group_id")
+        return ids.join(info, "group_id", "left").fillna(0, ["n_org", "n_genes"])
+
+    def next_group(self) -> int:
+        """The id that the next new group gets."""
+        return self._need("group_id").agg(F.coalesce(F.max("group_id"), F.lit(0))).first()[0] + 1
+
+    def with_group_names(self, names: dict[int, str]) -> Pangenome:
+        """Groups renamed (P6); other groups keep theirs."""
+        given = self.genes_.sparkSession.createDataFrame([(int(k), v) for k, v in names.items()], "group_id long, group_name string")
+        return self.add_group_info(given)
 
     def summary(self) -> dict[str, Any]:
         """Counts, and percent of groups by class."""
@@ -319,16 +364,17 @@ class Pangenome:
         edges = self.kmer_similarity() if similarity is None else similarity
         return self.with_groups(C.graph_grouping(self.genes_, edges, self.get(algorithm=algorithm)["algorithm"]))
 
-    def tree_grouping(self, tree: list[tuple[int, int, int]] | None = None, kmer_size: int | None = None, lower_limit: float | None = None) -> Pangenome:
-        """Bottom-up along a tree of organisms (G8); by default Ward's on k-mer distances."""
+    def tree_grouping(self, tree: list[tuple[int, int, int]] | None = None, kmer_size: int | None = None, lower_limit: float | None = None, precluster: bool = True) -> Pangenome:
+        """Bottom-up along a tree of organisms (G8); by default Ward's on distances of k-mer counts.  ``precluster``: join near-identical genes first."""
         p = self.get(kmer_size=kmer_size, lower_limit=lower_limit)
         g = self._need("sequence")
         if tree is None:
-            rows = self.tree("kmer").collect()
+            rows = self.tree("kmer", kmer_size=p["kmer_size"]).collect()
             names = [r["org_id"] for r in self.organisms.select("org_id").orderBy("org_id").collect()]
             node = lambda v: names[v] if v < len(names) else 10**9 + v
             tree = [(node(r["left"]), node(r["right"]), 10**9 + len(names) + r["step"] - 1) for r in rows]
-        return self.with_groups(C.tree_grouping(g, tree, k=p["kmer_size"], lower=p["lower_limit"]))
+        near = materialize(C.precluster(g, max_length_dif=self.default("max_length_dif"), k=p["kmer_size"], dna=not self.translated), "preclusters") if precluster else None
+        return self.with_groups(C.tree_grouping(g, tree, k=p["kmer_size"], lower=p["lower_limit"], preclusters=near))
 
     def kmer_split(self, kmer_size: int | None = None, lower_limit: float | None = None, max_length_dif: float | None = None) -> Pangenome:
         p = self.get(kmer_size=kmer_size, lower_limit=lower_limit, max_length_dif=max_length_dif)
@@ -382,7 +428,8 @@ class Pangenome:
     # -- analytics ---------------------------------------------------------------------------
 
     def org_stat(self, frequency: bool = False) -> DataFrame:
-        stat = M.org_stat(self._need("sequence", "group_id"))
+        links = self.group_meta.select("group_id", "paralogue") if self.has_paralogue_links else None
+        stat = M.org_stat(self._need("sequence", "group_id"), links)
         if not frequency:
             return stat
         letters = M.residue_frequency(self.genes_)
@@ -408,6 +455,40 @@ class Pangenome:
         g = self._need("group_id", *LOCATION)
         return G.variable_regions(g.withColumn("group_id", F.col("group_id").cast("string")), self.get(flank_size=flank_size)["flank_size"])
 
+    def plot_similarity(self, kind: str = "pangenome", ordering: str | list[int] = "auto", kmer_size: int | None = None) -> DataFrame:
+        """(org1, org2, similarity, place1, place2) of all ordered pairs, ready to plot (T5).
+
+        The order of organisms is that of the leaves of a Ward tree of sqrt(1 - similarity) ("auto"), of their ids ("none"), or given.
+        """
+        ids = self.organisms.select("org_id")
+        a, b = ids.toDF("org_a"), ids.toDF("org_b")
+        sims = self.similarity(kind, kmer_size).toDF("org_a", "org_b", "sim")
+        pairs = a.crossJoin(b).filter("org_a < org_b").join(sims, ["org_a", "org_b"], "left").select("org_a", "org_b", F.coalesce("sim", F.lit(0.0)).alias("similarity"))
+        names = [r["org_id"] for r in ids.orderBy("org_id").collect()]
+        if ordering == "auto":
+            far = pairs.select("org_a", "org_b", F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("similarity"))).alias("distance"))
+            merges = [(r["left"], r["right"], r["height"], r["size"]) for r in T.org_tree(ids.sparkSession, far, "ward.D2", ids).orderBy("step").collect()]
+            order = [names[k] for k in T.leaf_order(merges, len(names))]
+        else:
+            order = names if ordering == "none" else list(ordering)
+        place = ids.sparkSession.createDataFrame([(int(o), k + 1) for k, o in enumerate(order)], "org_id int, place int")
+        every = pairs.union(pairs.select("org_b", "org_a", "similarity")).union(ids.select("org_id", F.col("org_id"), F.lit(1.0)))
+        return every.toDF("org1", "org2", "similarity").join(F.broadcast(place.toDF("org1", "place1")), "org1").join(F.broadcast(place.toDF("org2", "place2")), "org2")
+
+    def plot_tree(self, kind: str = "pangenome", dist: str = "euclidean", clust: str = "ward.D2", info: str | None = None, circular: bool = False, kmer_size: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Segments (x, y, xend, yend) of the organisms' dendrogram, and its leaves (x, org_id, org_name, and the ``info`` column) (T6); ``circular`` turns heights inward."""
+        spark = self.genes_.sparkSession
+        if info is not None and info not in self.organisms.columns:
+            raise ValueError(f"organisms have no {info!r}")
+        rows = self.tree(kind, dist, clust, kmer_size).orderBy("step").collect()
+        names = [r["org_id"] for r in self.organisms.select("org_id").orderBy("org_id").collect()]
+        merges = [(r["left"], r["right"], r["height"], r["size"]) for r in rows]
+        order, segments = T.leaf_order(merges, len(names)), T.segments(merges, len(names))
+        turn = -1.0 if circular else 1.0
+        lines = spark.createDataFrame([(x, turn * y, u, turn * v) for x, y, u, v in segments], "x double, y double, xend double, yend double")
+        leaves = spark.createDataFrame([(int(names[leaf]), float(k + 1)) for k, leaf in enumerate(order)], "org_id int, x double")
+        return lines, leaves.join(self.organisms.select("org_id", "org_name", *([info] if info else [])), "org_id")
+
     def similarity(self, kind: str = "pangenome", kmer_size: int | None = None) -> DataFrame:
         """(i, j, sim) of organisms (T5)."""
         if kind == "kmer":
@@ -415,12 +496,13 @@ class Pangenome:
         return M.org_similarity(self._need("group_id")).toDF("i", "j", "sim")
 
     def tree(self, kind: str = "pangenome", dist: str = "euclidean", clust: str = "ward.D2", kmer_size: int | None = None) -> DataFrame:
-        """Merge table of the organisms."""
+        """Merge table of the organisms (T1) from distances of gene groups, or of k-mers (also "cosine")."""
+        ids = self.organisms.select("org_id")
         if kind == "kmer":
-            distance = self.similarity("kmer", kmer_size).select(F.col("i").alias("org_a"), F.col("j").alias("org_b"), F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sim"))).alias("distance"))
+            distance = org_kmer_distance(self._need("sequence"), ids, self.get(kmer_size=kmer_size)["kmer_size"], dist)
         else:
             distance = M.org_distance(self._need("group_id"), dist)
-        return T.org_tree(self.genes_.sparkSession, distance, clust)
+        return T.org_tree(self.genes_.sparkSession, distance, clust, ids)
 
     def plot_stat(self, sort: bool = True) -> DataFrame:
         """Genes of each organism by class of their groups, ready to plot."""

@@ -19,6 +19,7 @@ from .operators import matrix as M
 from .operators import neighbors as N
 from .operators import splitting as S
 from .operators import tree as T
+from .pangenome import Pangenome, group_changes, match_groups, report_changes
 
 N_ORGS, CORE = 25, 0.8
 
@@ -65,6 +66,30 @@ def _width_components(s: SparkSession, d: str) -> DataFrame:
     return S.width_components(g, 0.001)
 
 
+def pangenome(s: SparkSession, d: str) -> Pangenome:
+    """The events as an object of seven organisms; groups by type and value band, names that repeat."""
+    group = F.ascii("event_type").cast("long") * 100 + F.floor(F.col("value") / 20).cast("long")
+    genes = _t(s, d, "events").select(F.col("event_id").alias("gene_id"), (F.col("user_id") % 7).alias("org_id"), group.alias("group_id"), F.concat(F.lit("gene_"), (F.col("event_id") % 100).cast("string")).alias("desc"))
+    return Pangenome(genes, _t(s, d, "nation").filter("n_nationkey < 7").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("org_name")))
+
+
+def _by_group(pg: Pangenome) -> DataFrame:
+    """Groups, organisms and genes after a change of the object, by their new numbers."""
+    return pg.genes_.groupBy("group_id").agg(F.count("*").alias("n_genes"), F.min("org_id").alias("first_org"), F.max("org_id").alias("last_org"), F.min("gene_id").alias("first_gene"))
+
+
+def said(s: SparkSession, d: str) -> DataFrame:
+    """genes with sequence, of conversations' turns."""
+    return _t(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("gene_id"), F.col("role").alias("group_id"), F.col("text").alias("sequence"), F.length("text").cast("long").alias("width"))
+
+
+def _kmer_split(s: SparkSession, d: str) -> DataFrame:
+    """Genes and the smallest gene of their new group."""
+    g = said(s, d)
+    found = S.kmer_split(g, 5, 0.8, 0.2)
+    return found.join(found.groupBy("group_id").agg(F.min("gene_id").alias("first_gene")), "group_id").select("gene_id", "first_gene")
+
+
 def _remove(s: SparkSession, d: str) -> DataFrame:
     """Genes without those of one organism and one group; groups renumbered densely."""
     g = parts(s, d).filter("org_id <> 3 AND group_id <> 7")
@@ -110,22 +135,18 @@ def _components(s: SparkSession, d: str) -> DataFrame:
 
 
 def _match(s: SparkSession, d: str) -> DataFrame:
-    from .pangenome import match_groups
-
     old = parts(s, d).select("gene_id", "group_id")
     new = parts(s, d).select("gene_id", (F.col("group_id") % 500).alias("group_id"))
     return match_groups(new, old)
 
 
 def _renumber(s: SparkSession, d: str) -> DataFrame:
-    """Groups of the parts sold by nations of one region, numbered densely."""
-    return M.renumber(parts(s, d).filter("org_id % 5 = 2").select("gene_id", "group_id"), "group_id")
+    """Orders' keys, which have gaps, numbered densely."""
+    return M.renumber(parts(s, d, "l_orderkey").select("gene_id", "group_id"), "group_id")
 
 
 def _changes(s: SparkSession, d: str) -> DataFrame:
     """Genes that moved, came or went between two groupings of overlapping gene sets."""
-    from .pangenome import group_changes
-
     old = parts(s, d).filter("org_id <> 3").select("gene_id", "group_id")
     new = parts(s, d).filter("org_id <> 5").select("gene_id", (F.col("group_id") % 500).alias("group_id"))
     return group_changes(new, old)
@@ -133,8 +154,6 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
     """A pangenome merged with itself: every id of the second copy lies after the first's."""
-    from .pangenome import Pangenome
-
     one = Pangenome(parts(s, d), _t(s, d, "nation").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("org_name")))
     return one.merge(one).genes_.groupBy("org_id").agg(F.count("*").alias("n_genes"), F.min("gene_id").alias("first_gene"), F.max("group_id").alias("last_group"))
 
@@ -191,14 +210,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pc_edges_weighted": lambda s, d: N.pc_edges(contigs(s, d)),
     "pc_vertices": lambda s, d: N.pc_vertices(contigs(s, d)).select("group_id", *[F.array_join(c, ";").alias(c) for c in ("organisms", "upstream", "downstream")]),
     "pc_degree": lambda s, d: N.degrees(N.pc_edges(contigs(s, d), slim=True)),
-    "neighborhood_similarity": lambda s, d: S.neighborhood_similarity(contigs(s, d).withColumn("group_id", F.concat_ws("_", "group_id", (F.col("gene_id") % 20).cast("string"))), 2),
-    "neighborhood_similarity_all_pairs": lambda s, d: S.neighborhood_similarity(contigs(s, d), 2),
+    "neighborhood_similarity": lambda s, d: S.neighborhood_similarity(contigs(s, d), 2),
     "kmer_spectrum": lambda s, d: K.kmers(texts(s, d), 5),
     "org_kmer_cosine": lambda s, d: K.org_kmer_similarity(texts(s, d), 4).withColumn("sim", _r(F.col("sim"))),
-    "kmer_cosine_pairs": lambda s, d: K.cosine(K.kmers(texts(s, d), 5, ("gene_id", "block")), "gene_id", 0.9, "block").withColumn("sim", _r(F.col("sim"))),
-    "rescaled_sim": lambda s, d: K.transform_sim(K.cosine(K.kmers(texts(s, d), 5, ("gene_id", "block")), "gene_id", 0.9, "block"), 0.9, True, F.sqrt).withColumn("sim", _r(F.col("sim"), 6)),
-    "kmer_cosine_all_pairs": lambda s, d: K.cosine_of_genes(texts(s, d), 5, 0.9).withColumn("sim", _r(F.col("sim"))),
-    "rescaled_sim_all_pairs": lambda s, d: K.transform_sim(K.cosine_of_genes(texts(s, d), 5, 0.9), 0.9, True, F.sqrt).withColumn("sim", _r(F.col("sim"), 6)),
+    "kmer_cosine_pairs": lambda s, d: K.cosine_of_genes(texts(s, d), 5, 0.9).withColumn("sim", _r(F.col("sim"))),
+    "rescaled_sim": lambda s, d: K.transform_sim(K.cosine_of_genes(texts(s, d), 5, 0.9), 0.9, True, lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))).withColumn("sim", _r(F.col("sim"), 6)),
+    "kmer_split": _kmer_split,
+    "identity_clusters": lambda s, d: C.identity_clusters(said(s, d), C.IdentityOptions(c=0.9, s=0.8)),
+    "remove_organisms": lambda s, d: _by_group(pangenome(s, d).remove_genes(organisms=[3, 4])),
+    "remove_groups": lambda s, d: _by_group(pangenome(s, d).remove_genes(groups=[10100, 9901, 9901])),
+    "remove_names": lambda s, d: _by_group(pangenome(s, d).remove_genes(names=["gene_9", "gene_17"])),
+    "remove_names_of_organisms": lambda s, d: _by_group(pangenome(s, d).remove_genes(names=["gene_9", "gene_17", "gene_18"], organisms=["NATION_1", "NATION_2", "NATION_3"])),
+    "remove_places": lambda s, d: _by_group(pangenome(s, d).remove_genes(groups=[10100, 9901], ind=[1, 3])),
+    "subset_object": lambda s, d: _by_group(pangenome(s, d).subset([5, 1, 2])),
+    "linked_paralogues": lambda s, d: M.paralogue_counts(parts(s, d), M.renumber(_t(s, d, "part").select(F.col("p_partkey").alias("group_id"), F.col("p_brand").alias("paralogue")), "paralogue")),
+    "org_graphs": lambda s, d: N.org_graphs(contigs(s, d)),
+    "ego_graph": lambda s, d: N.ego(N.pc_edges(contigs(s, d), slim=True), contigs(s, d).select("group_id").distinct(), 2),
+    "report_changes": lambda s, d: report_changes(pangenome(s, d).genes_.select("gene_id", (F.col("group_id") % 1000).alias("group_id")), pangenome(s, d).genes_.select("gene_id", "group_id")),
     "length_band_pairs": _band_pairs,
     "width_components": _width_components,
     "remove_genes": _remove,
@@ -211,7 +239,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_groups": _match,
     "group_changes": _changes,
     "renumber": _renumber,
-    "renumber_orders": lambda s, d: M.renumber(parts(s, d, "l_orderkey").select("gene_id", "group_id"), "group_id"),
     "merge_pangenomes": _merged,
     "leader_clusters": _leaders,
     "variable_regions": _variable,
@@ -247,6 +274,17 @@ _EXPR = {
 _KMERS = "SELECT {key}, substr(sequence, i, {k}) AS kmer, count(*) AS n FROM (SELECT {key}, sequence, unnest(range(1, length(sequence) - {k} + 2)) AS i FROM g WHERE length(sequence) >= {k}) GROUP BY ALL"
 _COSINE = """WITH g AS ({g}), k AS ({kmers}), w AS (SELECT {key} AS id, {block} AS block, kmer, n / sqrt(sum(n * n) OVER (PARTITION BY {key})::DOUBLE) AS w FROM k)
 SELECT a.id AS i, b.id AS j, {sim} AS sim FROM w a JOIN w b ON a.kmer = b.kmer AND a.block = b.block AND a.id < b.id GROUP BY 1, 2 {having}"""
+_OBJECT = "SELECT event_id AS gene_id, user_id % 7 AS org_id, ascii(event_type) * 100 + floor(value / 20)::BIGINT AS group_id FROM events"
+_SAID = "SELECT conv_id * 100 + turn AS gene_id, role AS group_id, text AS sequence, length(text) AS width FROM conversations"
+
+
+def _changed(keep: str) -> str:
+    """Groups after a change of the object that keeps the genes of a condition: every number dense anew."""
+    return f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY gene_id) AS place FROM ({_OBJECT})), g AS (SELECT * FROM p WHERE {keep}),
+      n AS (SELECT dense_rank() OVER (ORDER BY org_id) AS org_id, dense_rank() OVER (ORDER BY group_id) AS group_id, dense_rank() OVER (ORDER BY gene_id) AS gene_id FROM g)
+      SELECT group_id, count(*) AS n_genes, min(org_id) AS first_org, max(org_id) AS last_org, min(gene_id) AS first_gene FROM n GROUP BY 1"""
+
+
 _COUNTS = "count(CASE WHEN n = 1 THEN 1 END) AS singleton, count(CASE WHEN n > 1 AND n / {k} < 0.8 THEN 1 END) AS accessory, count(CASE WHEN n / {k} >= 0.8 THEN 1 END) AS core, count(*) AS total"
 
 
@@ -254,7 +292,7 @@ def oracle_sql() -> dict[str, str]:
     pairs = f"WITH g AS ({_CONTIGS}), p AS (SELECT org_id, group_id AS x, lead(group_id) OVER ({_WIN}) AS y FROM g), e AS (SELECT least(x, y) AS a, greatest(x, y) AS b, org_id FROM p WHERE y IS NOT NULL)"
     lags = lambda f: ", ".join(f"coalesce({f}(group_id, {k}) OVER ({_WIN}), 'NA')" for k in (1, 2, 3))
     stat = "SELECT {k}, count(*) AS n_genes, min(width) AS min_length, max(width) AS max_length, round(stddev_samp(width), 6) AS sd_length FROM g GROUP BY 1"
-    flank = f"""g AS (SELECT gene_id, org_id, contig, ts, strand, group_id || '_' || gene_id % 20 AS group_id FROM ({_CONTIGS})),
+    flank = f"""g AS ({_CONTIGS}),
     v AS (SELECT gene_id, org_id, group_id, strand, coalesce(list(group_id) OVER ({_WIN} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), []) AS b, coalesce(list(group_id) OVER ({_WIN} ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), []) AS a FROM g),
     f AS (SELECT gene_id, org_id, group_id, CASE WHEN strand = -1 THEN a || list_reverse(b) ELSE list_reverse(b) || a END AS flank FROM v),
     p AS (SELECT x.group_id, x.gene_id AS i, y.gene_id AS j, list_filter(x.flank, lambda e: list_contains(y.flank, e)) AS fi, list_filter(y.flank, lambda e: list_contains(x.flank, e)) AS fj
@@ -296,15 +334,42 @@ def oracle_sql() -> dict[str, str]:
         "neighborhood_similarity": f"WITH {flank}, q AS (SELECT group_id, i, j, len(list_filter(list_zip(fi, fj), lambda e: coalesce(e[1] = e[2], false)))::INT AS n_sim FROM p) SELECT * FROM q WHERE n_sim > 0",
         "kmer_spectrum": f"WITH g AS ({_TEXTS}) {_KMERS.format(key='gene_id', k=5)}",
         "org_kmer_cosine": _COSINE.format(g=_TEXTS, kmers=_KMERS.format(key="org_id", k=4), key="org_id", block="0", sim="round(greatest(sum(a.w * b.w), 0), 9)", having=""),
-        "kmer_cosine_pairs": _COSINE.format(g=_TEXTS, kmers=_KMERS.format(key="gene_id, block", k=5), key="gene_id", block="block", sim="round(sum(a.w * b.w), 9)", having="HAVING sum(a.w * b.w) >= 0.9 - 1e-12"),
-        "rescaled_sim": _COSINE.format(g=_TEXTS, kmers=_KMERS.format(key="gene_id, block", k=5), key="gene_id", block="block", sim="round(sqrt((sum(a.w * b.w) - 0.9) / (1.0 - 0.9)), 6)", having="HAVING sum(a.w * b.w) >= 0.9"),
+        "kmer_cosine_pairs": _COSINE.format(g=_TEXTS, kmers=_KMERS.format(key="gene_id", k=5), key="gene_id", block="0", sim="round(sum(a.w * b.w), 9)", having="HAVING sum(a.w * b.w) >= 0.9 - 1e-12"),
+        "rescaled_sim": _COSINE.format(g=_TEXTS, kmers=_KMERS.format(key="gene_id", k=5), key="gene_id", block="0", sim="round(sqrt(greatest((sum(a.w * b.w) - 0.9) / (1.0 - 0.9), 0)), 6)", having="HAVING sum(a.w * b.w) >= 0.9 - 1e-12"),
         "length_band_pairs": "SELECT x.p_brand AS group_id, x.p_partkey AS i, y.p_partkey AS j FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE abs(x.p_retailprice - y.p_retailprice) / least(x.p_retailprice, y.p_retailprice) <= 0.001",
         "width_components": """WITH o AS (SELECT p_partkey, p_brand, p_retailprice AS v, lag(p_retailprice) OVER w AS b FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)),
           r AS (SELECT *, sum(CASE WHEN b IS NOT NULL AND (v - b) / b <= 0.001 THEN 0 ELSE 1 END) OVER (PARTITION BY p_brand ORDER BY v, p_partkey) AS run FROM o)
           SELECT p_partkey AS gene_id, min(p_partkey) OVER (PARTITION BY p_brand, run) AS component FROM r""",
         "remove_genes": f"WITH g AS (SELECT gene_id, dense_rank() OVER (ORDER BY group_id) AS group_id FROM ({_PARTS}) WHERE org_id <> 3 AND group_id <> 7) SELECT group_id, count(*) AS n_genes, min(gene_id) AS first_gene FROM g GROUP BY 1",
         "subset_orgs": f"WITH g AS (SELECT group_id, dense_rank() OVER (ORDER BY org_id) AS org_id FROM ({_PARTS}) WHERE org_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) SELECT group_id, org_id, count(*) AS n FROM g GROUP BY ALL",
-        "renumber": f"SELECT gene_id, dense_rank() OVER (ORDER BY group_id) AS group_id FROM ({_PARTS}) WHERE org_id % 5 = 2",
+        "renumber": f"SELECT gene_id, dense_rank() OVER (ORDER BY group_id) AS group_id FROM ({_BY_ORDER})",
+        "remove_organisms": _changed("org_id NOT IN (3, 4)"),
+        "remove_groups": _changed("group_id NOT IN (10100, 9901)"),
+        "remove_names": _changed("gene_id % 100 NOT IN (9, 17)"),
+        "remove_names_of_organisms": _changed("NOT ((gene_id % 100 = 9 AND org_id = 1) OR (gene_id % 100 = 17 AND org_id = 2) OR (gene_id % 100 = 18 AND org_id = 3))"),
+        "remove_places": _changed("NOT ((group_id = 10100 AND place = 1) OR (group_id = 9901 AND place = 3))"),
+        "subset_object": _changed("org_id IN (1, 2, 5)"),
+        "linked_paralogues": f"""WITH l AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) AS link FROM part), m AS (SELECT org_id, link, count(*) AS n, count(DISTINCT group_id) AS k FROM ({_PARTS}) JOIN l ON group_id = p_partkey GROUP BY 1, 2)
+          SELECT org_id, sum(k)::BIGINT AS n_gene_groups, count(CASE WHEN n > 1 THEN 1 END) AS n_paralogues FROM m GROUP BY 1""",
+        "org_graphs": f"{pairs} SELECT org_id, a, b, count(*) AS weight FROM e GROUP BY ALL",
+        "ego_graph": f"""{pairs}, u AS (SELECT DISTINCT a, b FROM e WHERE a <> b UNION SELECT DISTINCT b, a FROM e WHERE a <> b), r AS (SELECT DISTINCT group_id FROM ({_CONTIGS})),
+          h AS (SELECT group_id AS root, group_id AS "at", 0 AS hops FROM r UNION ALL SELECT group_id, b, 1 FROM r JOIN u ON a = group_id UNION ALL SELECT group_id, y.b, 2 FROM r JOIN u x ON x.a = group_id JOIN u y ON y.a = x.b)
+          SELECT root, "at", min(hops) AS hops FROM h GROUP BY 1, 2""",
+        "report_changes": f"""WITH g AS ({_OBJECT}), m AS (SELECT group_id AS o, group_id % 1000 AS n, string_agg(gene_id::VARCHAR, ', ' ORDER BY gene_id) AS genes FROM g WHERE group_id <> group_id % 1000 GROUP BY 1, 2),
+          a AS (SELECT count(*) AS k FROM (SELECT group_id % 1000 FROM g EXCEPT SELECT group_id FROM g)), b AS (SELECT count(*) AS k FROM (SELECT group_id FROM g EXCEPT SELECT group_id % 1000 FROM g))
+          SELECT 'Gene ' || genes || ' moved from group ' || o || ' to ' || n AS line FROM m UNION ALL SELECT k || ' new groups added' FROM a WHERE k > 0 UNION ALL SELECT k || ' empty groups removed' FROM b WHERE k > 0""",
+        "kmer_split": f"""WITH RECURSIVE g AS ({_SAID}), k AS ({_KMERS.format(key="gene_id, group_id, width", k=5)}),
+          w AS (SELECT gene_id, group_id, width, kmer, n / sqrt(sum(n * n) OVER (PARTITION BY gene_id)::DOUBLE) AS w FROM k),
+          e AS (SELECT a.gene_id AS i, b.gene_id AS j FROM w a JOIN w b ON a.kmer = b.kmer AND a.group_id = b.group_id AND a.gene_id < b.gene_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8 - 1e-12 AND abs(any_value(a.width) - any_value(b.width)) / greatest(any_value(a.width), any_value(b.width)) < 0.2),
+          u AS (SELECT i, j FROM e UNION SELECT j, i FROM e),
+          r AS (SELECT gene_id, gene_id AS reach FROM g UNION SELECT r.gene_id, u.j FROM r JOIN u ON r.reach = u.i)
+          SELECT gene_id, min(reach) AS first_gene FROM r GROUP BY 1""",
+        "components": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, -l_partkey AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+          l AS (SELECT DISTINCT u AS node, u AS label, 0 AS step FROM b UNION ALL SELECT b.v, min(l.label), any_value(l.step) + 1 FROM l JOIN (SELECT u, v FROM b UNION SELECT u, u FROM b) b ON b.u = l.node WHERE l.step < 16 GROUP BY b.v)
+          SELECT label AS component, count(*) AS n FROM (SELECT node, min(label) AS label FROM l GROUP BY 1) WHERE node >= 0 GROUP BY 1""",
+        "evolution_bootstrap": f"""WITH g AS ({_PARTS}), x AS (SELECT n, rep, draw, (('0x' || substr(md5(n || ':' || rep || ':' || draw || ':1'), 1, 12))::BIGINT % 25) AS org_id FROM range(1, 26) a(n), range(1, 11) b(rep), range(1, 26) c(draw) WHERE draw <= n),
+          d AS (SELECT DISTINCT org_id, group_id FROM g), s AS (SELECT n, rep, group_id, count(*) AS present FROM x JOIN d USING (org_id) GROUP BY ALL)
+          SELECT n, rep, count(CASE WHEN present = 1 THEN 1 END) AS singleton, count(CASE WHEN present > 1 AND present / n::DOUBLE < 0.8 THEN 1 END) AS accessory, count(CASE WHEN present / n::DOUBLE >= 0.8 THEN 1 END) AS core, count(*) AS total FROM s GROUP BY ALL""",
         "group_changes": f"""WITH g AS ({_PARTS}), o AS (SELECT gene_id, group_id AS old_group FROM g WHERE org_id <> 3), n AS (SELECT gene_id, group_id % 500 AS new_group FROM g WHERE org_id <> 5)
           SELECT gene_id, old_group, new_group, CASE WHEN old_group IS NULL THEN 'added' WHEN new_group IS NULL THEN 'removed' ELSE 'moved' END AS change FROM o FULL JOIN n USING (gene_id) WHERE old_group IS DISTINCT FROM new_group""",
         "merge_pangenomes": f"""WITH g AS ({_PARTS}), t AS (SELECT (SELECT max(n_nationkey) FROM nation) AS o, max(gene_id) AS i, max(group_id) AS p FROM g),

@@ -31,9 +31,13 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
     names = [organism_name(p) for p in paths]
     if len(set(names)) != len(names):
         raise ValueError("organism names (file names) must differ")
-    records = spark.read.option("lineSep", ">").text(paths).select(
+    # a record begins with ">" at the start of a line, and a header may hold one further on
+    raw = spark.read.option("lineSep", "\n>").text(paths).select(
         F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), r"\.[^.]*$", "").alias("org_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value"
-    ).filter(F.trim("value") != "")
+    )
+    first = F.row_number().over(W.partitionBy("org_name").orderBy("block", "n")) == 1
+    # a file's first piece still has its ">", or is what stands before the first record
+    records = raw.withColumn("first", first).filter((~F.col("first") & (F.trim("value") != "")) | F.col("value").startswith(">")).withColumn("value", F.when(F.col("first"), F.substring("value", 2, 2**31 - 1)).otherwise(F.col("value")))
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     parsed = records.select("org_name", "block", "n", F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1)).alias("desc"), body.alias("sequence"))
     files = spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "org_id int, org_name string")

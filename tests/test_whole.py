@@ -20,9 +20,9 @@ def test_cosine_pairs_of_all_blocks(spark):
     block, sims = all_cosines(spark)
     want = {p: s for p, s in sims.items() if s >= 0.9}
     assert any(block[i] != block[j] for i, j in want)
-    found = {(r.i, r.j): r.sim for r in Q.queries()["kmer_cosine_all_pairs"](spark, DATA).collect()}
+    found = {(r.i, r.j): r.sim for r in Q.queries()["kmer_cosine_pairs"](spark, DATA).collect()}
     assert found.keys() == want.keys() and all(abs(found[p] - s) < 1e-8 for p, s in want.items())
-    scaled = {(r.i, r.j): r.sim for r in Q.queries()["rescaled_sim_all_pairs"](spark, DATA).collect()}
+    scaled = {(r.i, r.j): r.sim for r in Q.queries()["rescaled_sim"](spark, DATA).collect()}
     assert scaled.keys() == want.keys() and all(abs(scaled[p] - math.sqrt(max((s - 0.9) / 0.1, 0))) < 1e-5 for p, s in want.items())
     leader = {r.gene_id: r.leader for r in Q.queries()["leader_clusters"](spark, DATA).collect()}
     assert any(block[g] != block[x] for g, x in leader.items()) and all(g == x or sims[min(g, x), max(g, x)] >= 0.9 for g, x in leader.items())
@@ -68,11 +68,11 @@ def test_neighborhood_similarity_of_all_pairs(spark):
                     n = sum(x == y for x, y in zip([x for x in flank[i] if x in b], [y for y in flank[j] if y in a], strict=False))
                     if n:
                         want[i, j] = n
-    found = {(r.i, r.j): r.n_sim for r in Q.queries()["neighborhood_similarity_all_pairs"](spark, DATA).collect()}
+    found = {(r.i, r.j): r.n_sim for r in Q.queries()["neighborhood_similarity"](spark, DATA).collect()}
     assert any(i % 20 != j % 20 for i, j in want) and found == want
 
 
 def test_renumber_all_orders(spark):
     own = {r.gene_id: r.group_id for r in Q.parts(spark, DATA, "l_orderkey").collect()}
     rank = {g: k for k, g in enumerate(sorted(set(own.values())), 1)}
-    assert {r.gene_id: r.group_id for r in Q.queries()["renumber_orders"](spark, DATA).collect()} == {g: rank[x] for g, x in own.items()}
+    assert {r.gene_id: r.group_id for r in Q.queries()["renumber"](spark, DATA).collect()} == {g: rank[x] for g, x in own.items()}
