@@ -272,8 +272,11 @@ def _count(order: int, buckets: int):
                     if size[k] >= HELD // 2:
                         settle(k)
                         if len(held[k][0]) >= HELD:
-                            yield pack(k, *held[k])
-                            held[k] = none
+                            # what has occurred again is likely to once more, and stays unless it is too much itself
+                            again = held[k][2] > 1
+                            again &= again.sum() <= HELD // 2
+                            yield pack(k, *(x[~again] for x in held[k]))
+                            held[k] = tuple(x[again] for x in held[k])
         keys, n = words.take()
         yield pack(1, keys, keys, n)
         for k in held:

@@ -51,11 +51,15 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_exact(docs: DataFrame, *, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of equal texts: that of the kept id, and of rows with that id (in any number, of any text) one."""
-    rows, key = store.numbered(docs, "numbered")
-    own, null = F.col(id_col), F.col(id_col).isNull()
-    # of equal ids the first row; a null id loses to any other
-    row = F.struct(null.alias("none"), own.alias("id"), F.col(key).alias("key")) if keep == "smallest" else F.struct((~null).alias("some"), own.alias("id"), (-F.col(key)).alias("key"))
-    found = exact_groups(rows.select(row.alias("row"), F.col(text_col).alias("text")), id_col="row", text_col="text", keep=keep).filter("NOT kept")
-    lost = store.keep(found.select(F.abs(F.col("doc_id")["key"]).alias("key")), "lost")
-    return store.without(rows, key, lost)
+    """``docs`` with one row of each class of equal texts: that of the kept id; of several rows with that id one."""
+    null = F.col(id_col).isNull()
+    keys = store.row_keys(F.col(id_col), F.col(text_col))
+    # a null id loses to any other
+    row = F.struct((null if keep == "smallest" else ~null).alias("none"), F.col(id_col).alias("id"), *keys)
+    rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    found = exact_groups(rows, id_col="row", text_col="text", keep=keep).filter("group_size > 1").select("doc_id.k", "doc_id.l", "kept")
+    found = store.keep(found, "rows")
+    lost = store.keep(found.filter("NOT kept").select("k", "l").distinct(), "lost")
+    repeated = store.keep(found.filter("kept").groupBy("k", "l").agg(F.count("*").alias("n")).filter("n > 1").select("k", "l"), "repeated")
+    store.drop(found)
+    return store.kept_rows(docs, keys, lost, repeated)

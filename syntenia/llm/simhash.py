@@ -18,8 +18,8 @@ and rows look up theirs by fingerprint.
 :func:`similar_duplicates` is the verified form: components of 0.8 or more in the Jaccard similarity of
 5-word shingle sets, without loss.  Links of 5-word fingerprints come first, confirmed on the sets.  What
 is out of their reach meets under a shingle: of a set of n, the first n - ceil(0.8 n) + 1 in any one order
-must hold a common one.  The order is frequent shingles last, so runs are short; a run is compared with its
-smallest member first and in full only across components that are still apart.  A set's name is a 64-bit hash of it,
+must hold a common one.  The order is frequent shingles last, so runs are short; a set is first compared with one
+member of its runs, and all of a run only across components that are still apart.  A set's name is a 64-bit hash of it,
 and sets are compared by 48 bits of each shingle, read again from the texts of candidate pairs only.
 
 Defined cases: null or empty text, or white space only, has fingerprint zero and
@@ -31,6 +31,7 @@ empty results; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -52,7 +53,7 @@ PART, LARGE = 1 << 16, 4096
 #: Words of a shingle and Jaccard similarity of :func:`similar_duplicates`; shingles that are known as frequent.
 WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
 #: Copies that a task remembers, beyond which it repeats some; distinct shingles of a stretch; parts in which shingles are shuffled.
-SEEN, STRETCH, PASSES = 1 << 18, 1 << 18, 4
+SEEN, STRETCH, PASSES = 1 << 18, 1 << 18, 2
 
 
 def bit_counts(digests: bytes) -> np.ndarray:
@@ -83,7 +84,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t) for t in lowered(batch.column(2))], pa.int64())], ["key", "id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([fingerprint(t) for t in lowered(batch.column(3))], pa.int64())], ["k", "l", "id", "fp"])
 
 
 def forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -179,10 +180,15 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.repartition("half", "key").sortWithinPartitions("half", "key").mapInArrow(_links, "u long, v long")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, l, id, text) of every row."""
+    return docs.select(*store.row_keys(F.col(id_col), F.col(text_col)), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
 def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written tables (key, id, fp) of every row of (key, id, text) and (fp, root) of every fingerprint."""
+    """Written tables (k, l, id, fp) of every row of (k, l, id, text) and (fp, root) of every fingerprint."""
     kind = dict(rows.dtypes)["id"]
-    fps = store.keep(rows.select("key", "id", "text").mapInArrow(tidy(_fingerprints), f"key long, id {kind}, fp long"), "fingerprints")
+    fps = store.keep(rows.mapInArrow(tidy(_fingerprints), f"k long, l long, id {kind}, fp long"), "fingerprints")
     distinct = store.keep(fps.select("fp").distinct(), "distinct")
     roots = component_roots(links(distinct))
     classes = store.keep(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
@@ -192,7 +198,7 @@ def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
-    fps, classes = _near_classes(docs.select(F.lit(0).cast("long").alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    fps, classes = _near_classes(docs.select(*[F.lit(0).cast("long").alias(c) for c in ("k", "l")], F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     least = fps.groupBy("fp").agg(F.min("id").alias("least")).join(classes, "fp")
     named = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = store.keep(classes.join(named, "root").select("fp", "component_id"), "named")
@@ -200,18 +206,20 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept_rows(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
-    """``rows`` of :func:`store.numbered` with one row for each class of ``of`` (key, id, root): the smallest id's, of equal ids the first row's."""
-    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias("first"))
-    lost = store.keep(of.join(first, "root").filter("key <> first").select("key"), "lost")
-    return store.without(rows, key, lost)
+def _one_of_each(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each class of ``of`` (k, l, id, root): the smallest id's."""
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "l")).alias("first"))
+    lost = store.keep(of.join(first, "root").filter("k <> first.k OR l <> first.l").select("k", "l").distinct(), "lost")
+    repeated = of.groupBy("k", "l").agg(F.count("*").alias("n")).filter("n > 1").select("k", "l")
+    return store.kept_rows(docs, store.row_keys(F.col(id_col), F.col(text_col)), lost, store.keep(repeated, "repeated"))
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component only: the smallest id's; of rows with that id (in any number, of any text) one."""
-    rows, key = store.numbered(docs, "numbered")
-    digests, classes = _near_classes(rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return kept_rows(rows, key, digests.join(classes, "fp").select("key", "id", F.col("root")))
+    digests, classes = _near_classes(_rows(docs, id_col, text_col))
+    member = store.keep(digests.join(classes, "fp").select("k", "l", "id", "root"), "near")
+    store.drop(digests, classes)
+    return _one_of_each(docs, member, id_col, text_col)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -233,9 +241,9 @@ def _own(g: np.ndarray) -> int:
 
 
 def _digests(width: int, id_type: pa.DataType):
-    """For each text its key, id, the name of its set and its fingerprint; and shingles (in place of the key) with their number
+    """For each text its keys, id, the name of its set and its fingerprint; and shingles (in place of k) with their number
     where seen three times or more within a stretch, on which only an order depends, never a result."""
-    names = ["key", "id", "own", "fp", "n"]
+    names = ["k", "l", "id", "own", "fp", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(STRETCH)
@@ -244,13 +252,13 @@ def _digests(width: int, id_type: pa.DataType):
             keys, n = tally.take()
             keys, n = keys[n > 2], n[n > 2]
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(len(n), id_type), none, none, pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), none, pa.nulls(len(n), id_type), none, none, pa.array(n)], names)
 
         for batch in batches:
-            texts = lowered(batch.column(2))
+            texts = lowered(batch.column(3))
             for i, j, found in shingle_sets(texts, width):
                 own, fps = [_own(g) for g in found], [fingerprint(t, width) for t in texts[i:j]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(own, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(j - i, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(own, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(j - i, pa.int64())], names)
                 for g in found:
                     if tally.add(g):
                         yield often()
@@ -315,12 +323,12 @@ def _alike(similar: float):
 
 
 def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
-    """(key, id, root) for every row of the written table ``rows`` (key, id, text)."""
+    """(k, l, id, root) for every row of ``rows`` (k, l, id, text), which must be the same whenever read."""
     spark = rows.sparkSession
     kind, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
-    found = store.keep(rows.select("key", "id", "text").mapInArrow(tidy(_digests(width, id_type)), f"key long, id {kind}, own long, fp long, n long"), "digests")
-    digests = found.filter("n IS NULL").select("key", "id", "own", "fp")
-    reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("key", "fp")).alias("r")).select("own", "r.key", "r.fp"), "reps")
+    found = store.keep(rows.mapInArrow(tidy(_digests(width, id_type)), f"k long, l long, id {kind}, own long, fp long, n long"), "digests")
+    digests = found.filter("n IS NULL").select("k", "l", "id", "own", "fp")
+    reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("k", "l", "fp")).alias("r")).select("own", "r.k", "r.l", "r.fp"), "reps")
 
     def near_size(a: str, b: str):
         return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
@@ -329,9 +337,9 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
         """The pairs that are similar enough; only texts that are in a pair are read again."""
         pairs = store.keep(pairs, "pairs")
         own = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).distinct()
-        wanted = store.keep(reps.join(own, "own", "left_semi").select("own", "key"), "wanted")
-        texts = rows.select("key", "text").join(store.small(wanted), "key").select("own", "text")
-        sets = store.keep(texts.mapInArrow(tidy(_packed_sets(width)), "own long, shingles binary"), "sets")
+        wanted = store.keep(reps.join(own, "own", "left_semi").select("own", "k", "l"), "wanted")
+        texts = rows.select("k", "l", "text").join(store.small(wanted), ["k", "l"]).select("own", "text")
+        sets = store.keep(texts.mapInArrow(tidy(_packed_sets(width)), "own long, shingles binary").dropDuplicates(["own"]), "sets")
         a, b = (sets.toDF(x, f"s{x}") for x in ("u", "v"))
         met = pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv")
         out = store.keep(met.mapInArrow(tidy(_alike(similar)), "u long, v long"), "close")
@@ -352,42 +360,44 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     root = now(None, confirmed(same.unionByName(met).distinct()))
     store.drop(heads)
 
-    often = found.filter("n IS NOT NULL").groupBy(F.col("key").alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    often = found.filter("n IS NOT NULL").groupBy(F.col("k").alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     s, n = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(s)
     frequent = spark.sparkContext.broadcast((s[order], n[order]))
     prefixes = store.keep(rows.select("text").mapInArrow(tidy(_prefixes(frequent, width, similar)), "s long, own long, n int"), "prefixes")
     frequent.unpersist()
-    for p in range(PASSES):  # by parts of the shingles: what one links needs no comparison in the next
+
+    def open_runs(p: int) -> DataFrame:
+        """(s, own, n, root, head): runs of a part of the shingles that reach over several components, each with a member drawn anew for each part."""
         part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p).join(root, "own")
-        # a run within one component has no pair left
-        runs = part.groupBy("s").agg(F.min(F.struct("own", "n", "root")).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-        shared = store.keep(part.join(runs, "s").select("s", "own", "n", "root", F.col("head.own").alias("head"), F.col("head.n").alias("m"), F.col("head.root").alias("to")), "runs")
-        star = shared.filter("root <> to").filter(near_size("n", "m")).select(F.col("own").alias("u"), F.col("head").alias("v")).distinct()
-        root = now(root, confirmed(star))
-        a = shared.select("s", "own", "n").join(root, "own").select("s", F.col("own").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        open_runs = a.groupBy("s").agg(F.min("ru").alias("x"), F.max("ru").alias("y")).filter("x <> y").select("s")
-        a = store.keep(a.join(open_runs, "s", "left_semi").dropDuplicates(["s", "u"]), "open")
-        store.drop(shared)
-        b = a.toDF("s", "v", "nv", "rv")
-        root = now(root, confirmed(a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct()))
-        store.drop(a)
-    out = store.keep(digests.join(root, "own").select("key", "id", "root"), "similar")
-    store.drop(prefixes, root, reps, found)
+        drawn = F.min(F.struct(F.xxhash64("own", F.lit(p)).alias("h"), "own", "n", "root"))
+        runs = part.groupBy("s").agg(drawn.alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        return part.join(runs.select("s", "head"), "s")
+
+    for p in range(PASSES):  # each set is compared with the one head that it meets most often; what is linked needs no comparison in the next part
+        star = open_runs(p).filter("root <> head.root").filter(near_size("n", "head.n")).groupBy("own", F.col("head.own").alias("v")).agg(F.count("*").alias("times"))
+        best = star.groupBy("own").agg(F.max(F.struct("times", "v"))["v"].alias("v"))
+        root = now(root, confirmed(best.select(F.col("own").alias("u"), "v")))
+    # what is still apart is compared in full
+    parts = [store.keep(open_runs(p).select("s", "own", "n", "root").dropDuplicates(["s", "own"]), "open") for p in range(PASSES)]
+    store.drop(prefixes)
+    a = reduce(DataFrame.unionByName, parts).toDF("s", "u", "nu", "ru")
+    b = a.toDF("s", "v", "nv", "rv")
+    root = now(root, confirmed(a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct()))
+    store.drop(*parts)
+    out = store.keep(digests.join(root, "own").select("k", "l", "id", "root"), "similar")
+    store.drop(root, reps, found)
     return out
 
 
 def similar_duplicates(docs: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: components of ``similar`` or more in the Jaccard similarity of shingle sets."""
-    rows, key = store.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "numbered")
-    member = _similar_classes(rows.withColumnRenamed(key, "key"), width, similar)
-    store.drop(rows)
+    member = _similar_classes(_rows(docs, id_col, text_col), width, similar)
     least = member.groupBy("root").agg(F.min("id").alias("component_id"))
     return member.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def drop_similar(docs: DataFrame, *, width: int = WIDTH, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component of :func:`similar_duplicates` only: the smallest id's; of rows with that id one."""
-    rows, key = store.numbered(docs, "numbered")
-    member = _similar_classes(rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, similar)
-    return kept_rows(rows, key, member)
+    """``docs`` with one row of each component of :func:`similar_duplicates` only: the smallest id's; of several rows with that id one."""
+    member = _similar_classes(_rows(docs, id_col, text_col), width, similar)
+    return _one_of_each(docs, member, id_col, text_col)

@@ -19,7 +19,7 @@ from ..plans.tables import materialize, new_path, scope, write  # noqa: F401
 #: What separates words: space and the five ASCII controls 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys up to which a set of them is broadcast: at most some 30 MB.
+#: Keys up to which a table of them is broadcast: at most some 60 MB.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -33,20 +33,26 @@ def fresh(label: str = "key") -> str:
     return f"_{label}_{uuid.uuid4().hex}"
 
 
-def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``docs`` written once with a column (its name is fresh) that tells every row from every other, equal ones too."""
-    key = fresh()
-    return keep(docs.withColumn(key, F.monotonically_increasing_id()), label), key
+def row_keys(id_col: Column, text: Column) -> list[Column]:
+    """Two hashes (k, l) that tell rows apart by id and text; rows of the same id and text are the same document."""
+    parts = [id_col, id_col.isNull(), text, text.isNull()]
+    return [F.xxhash64(*parts).alias("k"), F.xxhash64(F.lit(1), *reversed(parts)).alias("l")]
 
 
 def small(keys: DataFrame) -> DataFrame:
-    """A written table of one long column, marked for broadcast if its checked size allows."""
+    """A written table of a few numbers a row, marked for broadcast if its checked size allows."""
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
-def without(rows: DataFrame, key: str, lost: DataFrame) -> DataFrame:
-    """``rows`` of :func:`numbered` less those whose key is in the one column of the written table ``lost``."""
-    return rows.join(small(lost.toDF(key)), key, "left_anti").drop(key)
+def kept_rows(docs: DataFrame, keys: list[Column], lost: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs``, which must be the same whenever read, less rows whose keys are in ``lost`` (k, l), and with one of those in ``repeated`` (k, l)."""
+    names = [fresh(), fresh()]
+    rows = docs.select("*", *[c.alias(n) for c, n in zip(keys, names, strict=True)])
+    out = rows.join(small(lost.toDF(*names)), names, "left_anti")
+    if not repeated.isEmpty():
+        again = small(repeated.toDF(*names))
+        out = out.join(again, names, "left_anti").unionByName(out.join(again, names, "left_semi").dropDuplicates(names))
+    return out.drop(*names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
