@@ -18,8 +18,9 @@ and rows look up theirs by fingerprint.
 :func:`similar_duplicates` is the verified form: components of 0.8 or more in the Jaccard similarity of
 5-word shingle sets, without loss.  Links of 5-word fingerprints come first, confirmed on the sets.  What
 is out of their reach meets under a shingle: of a set of n, the first n - ceil(0.8 n) + 1 in any one order
-must hold a common one.  The order is frequent shingles last, so runs are short; a set is first compared with one
-member of its runs, and all of a run only across components that are still apart.  A set's name is a 64-bit hash of it,
+must hold a common one, and from there on there must be as many left in both as two similar sets share.  The order is
+frequent shingles last, so runs are short; a set is first compared with one member of its runs, one that has few rare
+shingles as an unedited copy has, and all of a run only across components that are still apart.  A set's name is a 64-bit hash of it,
 and sets are compared by 48 bits of each shingle, read again from the texts of candidate pairs only.
 
 Defined cases: null or empty text, or white space only, has fingerprint zero and
@@ -37,7 +38,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -268,7 +269,7 @@ def _digests(width: int, id_type: pa.DataType):
 
 
 def _prefixes(frequent, width: int, similar: float):
-    """(s, own, n): the first shingles of each set, frequent ones last; a copy that the task has seen is left out."""
+    """(s, own, n, at): the first shingles of each set, frequent ones last, and their places; a copy that the task has seen is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rank = frequent.value
@@ -288,7 +289,8 @@ def _prefixes(frequent, width: int, similar: float):
                     own.append(name)
                     n.append(len(g))
                 times = [len(x) for x in s[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times))], ["s", "own", "n"])
+                at = np.concatenate([np.empty(0, np.int32), *(np.arange(x, dtype=np.int32) for x in times)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), times)), pa.array(np.repeat(np.array(n, np.int32), times)), pa.array(at)], ["s", "own", "n", "at"])
 
     return run
 
@@ -330,8 +332,9 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     digests = found.filter("n IS NULL").select("k", "l", "id", "own", "fp")
     reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("k", "l", "fp")).alias("r")).select("own", "r.k", "r.l", "r.fp"), "reps")
 
-    def near_size(a: str, b: str):
-        return F.least(a, b) >= F.lit(similar) * F.greatest(a, b) - 1e-9
+    def may_reach(n: str, at: str, m: str, to: str) -> Column:
+        """Sets of these sizes whose first common shingle has these places may be similar enough: so many shingles are left from there on."""
+        return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= F.lit(similar / (1 + similar)) * (F.col(n) + F.col(m)) - 1e-6
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar enough; only texts that are in a pair are read again."""
@@ -364,26 +367,26 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     s, n = often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()
     order = np.argsort(s)
     frequent = spark.sparkContext.broadcast((s[order], n[order]))
-    prefixes = store.keep(rows.select("text").mapInArrow(tidy(_prefixes(frequent, width, similar)), "s long, own long, n int"), "prefixes")
+    prefixes = store.keep(rows.select("text").mapInArrow(tidy(_prefixes(frequent, width, similar)), "s long, own long, n int, at int"), "prefixes")
     frequent.unpersist()
 
     def open_runs(p: int) -> DataFrame:
-        """(s, own, n, root, head): runs of a part of the shingles that reach over several components, each with a member drawn anew for each part."""
+        """(s, own, n, at, root, head): runs of a part of the shingles that reach over several components, with the member that has fewest rarer shingles."""
         part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p).join(root, "own")
-        drawn = F.min(F.struct(F.xxhash64("own", F.lit(p)).alias("h"), "own", "n", "root"))
-        runs = part.groupBy("s").agg(drawn.alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        runs = part.groupBy("s").agg(F.min(F.struct("at", "own", "n", "root")).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
         return part.join(runs.select("s", "head"), "s")
 
     for p in range(PASSES):  # each set is compared with the one head that it meets most often; what is linked needs no comparison in the next part
-        star = open_runs(p).filter("root <> head.root").filter(near_size("n", "head.n")).groupBy("own", F.col("head.own").alias("v")).agg(F.count("*").alias("times"))
+        star = open_runs(p).filter("root <> head.root").filter(may_reach("n", "at", "head.n", "head.at")).groupBy("own", F.col("head.own").alias("v")).agg(F.count("*").alias("times"))
         best = star.groupBy("own").agg(F.max(F.struct("times", "v"))["v"].alias("v"))
         root = now(root, confirmed(best.select(F.col("own").alias("u"), "v")))
     # what is still apart is compared in full
-    parts = [store.keep(open_runs(p).select("s", "own", "n", "root").dropDuplicates(["s", "own"]), "open") for p in range(PASSES)]
+    parts = [store.keep(open_runs(p).select("s", "own", "n", "at", "root").dropDuplicates(["s", "own"]), "open") for p in range(PASSES)]
     store.drop(prefixes)
-    a = reduce(DataFrame.unionByName, parts).toDF("s", "u", "nu", "ru")
-    b = a.toDF("s", "v", "nv", "rv")
-    root = now(root, confirmed(a.join(b, "s").filter("u < v AND ru <> rv").filter(near_size("nu", "nv")).select("u", "v").distinct()))
+    a = reduce(DataFrame.unionByName, parts).toDF("s", "u", "nu", "au", "ru")
+    b = a.toDF("s", "v", "nv", "av", "rv")
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_reach("nu", "au", "nv", "av"))
+    root = now(root, confirmed(met.select("u", "v").distinct()))
     store.drop(*parts)
     out = store.keep(digests.join(root, "own").select("k", "l", "id", "root"), "similar")
     store.drop(root, reps, found)
