@@ -21,7 +21,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def component_roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of (u, v) that is not the smallest of its component."""
+    """(node, root) of every node of (u, v) that is not the smallest of its component; the caller may discard it."""
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     last = mark(now)
@@ -32,7 +32,9 @@ def component_roots(edges: DataFrame) -> DataFrame:
         if this == last:
             break
         last = this
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._table_path = now._table_path
+    return out
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
