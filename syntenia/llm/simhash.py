@@ -193,7 +193,7 @@ def _near_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = store.keep(fps.select("fp").distinct(), "distinct")
     roots = component_roots(links(distinct))
     classes = store.keep(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
-    store.drop(distinct)
+    store.drop(distinct, roots)
     return fps, classes
 
 
@@ -212,7 +212,9 @@ def _one_of_each(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) ->
     first = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "l")).alias("first"))
     lost = store.keep(of.join(first, "root").filter("k <> first.k OR l <> first.l").select("k", "l").distinct(), "lost")
     repeated = of.groupBy("k", "l").agg(F.count("*").alias("n")).filter("n > 1").select("k", "l")
-    return store.kept_rows(docs, store.row_keys(F.col(id_col), F.col(text_col)), lost, store.keep(repeated, "repeated"))
+    repeated = store.keep(repeated, "repeated")
+    store.drop(of)
+    return store.kept_rows(docs, store.row_keys(F.col(id_col), F.col(text_col)), lost, repeated)
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,8 +354,9 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     def now(root: DataFrame | None, close: DataFrame) -> DataFrame:
         """(own, root) with more links."""
         links = close if root is None else close.unionByName(root.filter("own <> root").select(F.col("own").alias("u"), F.col("root").alias("v")))
-        new = store.keep(reps.select("own").join(component_roots(links), F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
-        store.drop(close, *([root] if root is not None else []))
+        found = component_roots(links)
+        new = store.keep(reps.select("own").join(found, F.col("own") == F.col("node"), "left").select("own", F.coalesce("root", "own").alias("root")), "roots")
+        store.drop(close, found, *([root] if root is not None else []))
         return new
 
     # sets of one fingerprint are linked to the first of them, fingerprints to each other

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from syntenia.plans import tables
 from syntenia.llm import bloom_lm, decontaminate, exact_dedup, language_id, mixing, queries, simhash, token_counts, toxicity, url_filter, wavelet
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,6 +71,18 @@ def test_mix_takes_rows(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
 
+def test_tables_go(spark, monkeypatch, tmp_path):
+    """Only what a result reads is left while it lasts, and nothing after the scope."""
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
+    left = lambda: sorted({p.parent.name.split("-")[0] for p in tmp_path.rglob("*.parquet")})
+    with tables.scope():
+        assert simhash.drop_similar(table(spark)).count() == 7 and left() == ["lost", "repeated"]
+    assert left() == []
+    with tables.scope():
+        assert bloom_lm.score(table(spark)).count() == len(ROWS) and left() == ["answers", "blocks"]
+    assert left() == []
+
+
 def test_equal_ids_enter_together(spark):
     df = table(spark, [(None, "a b", "en", f"s{k % 2}") for k in range(400)])
     rows = mixing.mixture(df).collect()
