@@ -69,7 +69,7 @@ def _sized(docs: DataFrame, *more: Column, seed: int, weight_col: str | None, id
 def _ranked(base: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
     """``base`` with its source's plan, the document's whole copies, and its rank for one more."""
     return (
-        base.join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+        base.join(store.small(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("expected", F.least(F.col("rate") * F.col("boost"), F.lit(float(cap))))
         .withColumn("whole", F.floor("expected"))
         .withColumn("p", F.col("expected") - F.col("whole"))
@@ -117,7 +117,7 @@ def _taken(ranked: DataFrame, cut: DataFrame) -> DataFrame:
     """``ranked`` with copies."""
     inside = (F.col("cell2") == F.col("cut_cell")) & F.coalesce(F.col("place") <= F.col("cut"), F.lit(False))
     enters = F.col("rank").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell2") < F.col("cut_cell")) | inside)
-    return ranked.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("c")), "left").withColumn("copies", (F.col("whole") + enters.cast("long")).cast("long"))
+    return ranked.join(store.small(cut), F.col("source").eqNullSafe(F.col("c")), "left").withColumn("copies", (F.col("whole") + enters.cast("long")).cast("long"))
 
 
 def mixture(docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 0, weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
