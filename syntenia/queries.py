@@ -70,7 +70,7 @@ def pangenome(s: SparkSession, d: str) -> Pangenome:
     """The events as an object of seven organisms; groups by type and value band, names that repeat."""
     group = F.ascii("event_type").cast("long") * 100 + F.floor(F.col("value") / 20).cast("long")
     genes = _t(s, d, "events").select(F.col("event_id").alias("gene_id"), (F.col("user_id") % 7).alias("org_id"), group.alias("group_id"), F.concat(F.lit("gene_"), (F.col("event_id") % 100).cast("string")).alias("desc"))
-    return Pangenome(genes, _t(s, d, "nation").filter("n_nationkey < 7").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("org_name")))
+    return Pangenome(genes, _t(s, d, "nation").filter("n_nationkey < 7").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("org_name"), F.lit(0).alias("n_genes")))
 
 
 def _by_group(pg: Pangenome) -> DataFrame:
@@ -90,6 +90,14 @@ def _kmer_split(s: SparkSession, d: str) -> DataFrame:
     return found.join(found.groupBy("group_id").agg(F.min("gene_id").alias("first_gene")), "group_id").select("gene_id", "first_gene")
 
 
+def _cliques(s: SparkSession, d: str) -> DataFrame:
+    """Cliques of turns of one role that are alike, the best edges first."""
+    g = said(s, d)
+    sims = K.cosine(K.kmers(g, 5, ("gene_id", "group_id")), "gene_id", 0.3, "group_id")
+    edges = sims.select("i", "j", F.round(F.col("sim") * 10).cast("long").alias("n_sim"), _r(F.col("sim")).alias("s_sim"), F.lit(0).alias("g_sim"))
+    return S.cliques(g, edges)
+
+
 def _remove(s: SparkSession, d: str) -> DataFrame:
     """Genes without those of one organism and one group; groups renumbered densely."""
     g = parts(s, d).filter("org_id <> 3 AND group_id <> 7")
@@ -222,6 +230,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "remove_names": lambda s, d: _by_group(pangenome(s, d).remove_genes(names=["gene_9", "gene_17"])),
     "remove_names_of_organisms": lambda s, d: _by_group(pangenome(s, d).remove_genes(names=["gene_9", "gene_17", "gene_18"], organisms=["NATION_1", "NATION_2", "NATION_3"])),
     "remove_places": lambda s, d: _by_group(pangenome(s, d).remove_genes(groups=[10100, 9901], ind=[1, 3])),
+    "cliques": _cliques,
+    "all_groups": lambda s, d: pangenome(s, d).all_groups().select("group_id", "n_org", "n_genes"),
+    "group_lists": lambda s, d: M.group_lists(pangenome(s, d).genes_).select("group_id", F.array_join(F.transform("genes", lambda g: g.cast("string")), ",").alias("genes")),
+    "plot_stat": lambda s, d: pangenome(s, d).set_defaults(core_threshold=0.8).plot_stat(False).select("org_id", "class", "n", "org_name"),
     "subset_object": lambda s, d: _by_group(pangenome(s, d).subset([5, 1, 2])),
     "linked_paralogues": lambda s, d: M.paralogue_counts(parts(s, d), M.renumber(_t(s, d, "part").select(F.col("p_partkey").alias("group_id"), F.col("p_brand").alias("paralogue")), "paralogue")),
     "org_graphs": lambda s, d: N.org_graphs(contigs(s, d)),
@@ -348,6 +360,10 @@ def oracle_sql() -> dict[str, str]:
         "remove_names": _changed("gene_id % 100 NOT IN (9, 17)"),
         "remove_names_of_organisms": _changed("NOT ((gene_id % 100 = 9 AND org_id = 1) OR (gene_id % 100 = 17 AND org_id = 2) OR (gene_id % 100 = 18 AND org_id = 3))"),
         "remove_places": _changed("NOT ((group_id = 10100 AND place = 1) OR (group_id = 9901 AND place = 3))"),
+        "all_groups": f"WITH g AS ({_OBJECT}), i AS (SELECT group_id, count(DISTINCT org_id) AS n_org, count(*) AS n_genes FROM g GROUP BY 1) SELECT r.group_id, coalesce(n_org, 0) AS n_org, coalesce(n_genes, 0) AS n_genes FROM range(1, (SELECT max(group_id) + 1 FROM g)) r(group_id) LEFT JOIN i USING (group_id)",
+        "group_lists": f"SELECT group_id, string_agg(gene_id::VARCHAR, ',' ORDER BY gene_id) AS genes FROM ({_OBJECT}) GROUP BY 1",
+        "plot_stat": f"""WITH g AS ({_OBJECT}), i AS (SELECT group_id, CASE WHEN count(DISTINCT org_id) / 7.0 >= 0.8 THEN 'Core' WHEN count(DISTINCT org_id) = 1 THEN 'Singleton' ELSE 'Accessory' END AS class FROM g GROUP BY 1)
+          SELECT org_id, class, count(*) AS n, n_name AS org_name FROM g JOIN i USING (group_id) JOIN nation ON n_nationkey = org_id GROUP BY ALL""",
         "subset_object": _changed("org_id IN (1, 2, 5)"),
         "linked_paralogues": f"""WITH l AS (SELECT p_partkey, dense_rank() OVER (ORDER BY p_brand) AS link FROM part), m AS (SELECT org_id, link, count(*) AS n, count(DISTINCT group_id) AS k FROM ({_PARTS}) JOIN l ON group_id = p_partkey GROUP BY 1, 2)
           SELECT org_id, sum(k)::BIGINT AS n_gene_groups, count(CASE WHEN n > 1 THEN 1 END) AS n_paralogues FROM m GROUP BY 1""",

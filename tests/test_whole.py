@@ -76,3 +76,19 @@ def test_renumber_all_orders(spark):
     own = {r.gene_id: r.group_id for r in Q.parts(spark, DATA, "l_orderkey").collect()}
     rank = {g: k for k, g in enumerate(sorted(set(own.values())), 1)}
     assert {r.gene_id: r.group_id for r in Q.queries()["renumber"](spark, DATA).collect()} == {g: rank[x] for g, x in own.items()}
+
+
+def test_cliques_of_turns(spark):
+    rows = {r.gene_id: r for r in Q.said(spark, DATA).collect()}
+    spectra = {g: Counter(r.sequence[i : i + 5] for i in range(len(r.sequence) - 4)) for g, r in rows.items()}
+    norm = {g: math.sqrt(sum(n * n for n in c.values())) for g, c in spectra.items()}
+    members = {}
+    for r in Q.queries()["cliques"](spark, DATA).collect():
+        members.setdefault(r.root, []).append(r.gene_id)
+    assert sorted(g for own in members.values() for g in own) == sorted(rows) and max(map(len, members.values())) > 1
+    for own in members.values():
+        for i in own:
+            for j in own:
+                if i < j:
+                    assert rows[i].group_id == rows[j].group_id
+                    assert sum(n * spectra[j][w] for w, n in spectra[i].items()) / norm[i] / norm[j] >= 0.3 - 1e-9
