@@ -53,8 +53,9 @@ SEED, SHINGLE, NEAR = 42, 3, 3
 PART, LARGE = 1 << 16, 4096
 #: Words of a shingle and Jaccard similarity of :func:`similar_duplicates`; shingles that are known as frequent.
 WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
-#: Copies that a task remembers, beyond which it repeats some; distinct shingles of a stretch; parts in which shingles are shuffled.
-SEEN, STRETCH, PASSES = 1 << 18, 1 << 18, 2
+#: Copies that a task remembers, beyond which it repeats some; distinct shingles of a stretch; parts in which shingles are shuffled;
+#: turns in which a set is compared with one other before runs are compared in full.
+SEEN, STRETCH, PASSES, TURNS = 1 << 18, 1 << 18, 2, 4
 
 
 def bit_counts(digests: bytes) -> np.ndarray:
@@ -373,14 +374,16 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     prefixes = store.keep(rows.select("text").mapInArrow(tidy(_prefixes(frequent, width, similar)), "s long, own long, n int, at int"), "prefixes")
     frequent.unpersist()
 
-    def open_runs(p: int) -> DataFrame:
-        """(s, own, n, at, root, head): runs of a part of the shingles that reach over several components, with the member that has fewest rarer shingles."""
-        part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == p).join(root, "own")
-        runs = part.groupBy("s").agg(F.min(F.struct("at", "own", "n", "root")).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    def open_runs(turn: int) -> DataFrame:
+        """(s, own, n, at, root, head): runs of a part of the shingles that reach over several components, each with a head:
+        in the first turn the member that has fewest rarer shingles, then one drawn anew for each turn."""
+        part = prefixes.filter(F.pmod("s", F.lit(PASSES)) == turn % PASSES).join(root, "own")
+        first = F.xxhash64("own", F.lit(turn)) if turn else F.col("at").cast("long")
+        runs = part.groupBy("s").agg(F.min(F.struct(first.alias("first"), "own", "n", "at", "root")).alias("head"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
         return part.join(runs.select("s", "head"), "s")
 
-    for p in range(PASSES):  # each set is compared with the one head that it meets most often; what is linked needs no comparison in the next part
-        star = open_runs(p).filter("root <> head.root").filter(may_reach("n", "at", "head.n", "head.at")).groupBy("own", F.col("head.own").alias("v")).agg(F.count("*").alias("times"))
+    for turn in range(TURNS):  # each set is compared with the one head that it meets most often; what is linked needs no comparison in the next turn
+        star = open_runs(turn).filter("root <> head.root").filter(may_reach("n", "at", "head.n", "head.at")).groupBy("own", F.col("head.own").alias("v")).agg(F.count("*").alias("times"))
         best = star.groupBy("own").agg(F.max(F.struct("times", "v"))["v"].alias("v"))
         root = now(root, confirmed(best.select(F.col("own").alias("u"), "v")))
     # what is still apart is compared in full
