@@ -15,8 +15,9 @@ from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Removes a written plan's shuffle files when its write has ended, not when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: a plan's shuffle files go when its write has ended, not when the driver happens to collect its garbage,
+#: and Python workers get batches that stay small where rows are long texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 _own: list[str] = []
 _live: dict[str, SparkSession] = {}
@@ -45,14 +46,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def write(df: DataFrame, path: str, **options: str) -> None:
-    """Write ``df`` as Parquet and let its shuffle files go."""
+    """Write ``df`` as Parquet under :data:`WRITING`."""
     conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    before = {key: conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        conf.set(key, value)
     try:
         df.write.options(**options).parquet(path)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def materialize(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
