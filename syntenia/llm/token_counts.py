@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .ragged import lone, tidy
 
 SPACE = "▁"
-#: Distinct pre-tokens whose counts a worker remembers (at some 150 bytes each); then it forgets all.  Longer ones aren't remembered.
+#: Distinct pre-tokens whose counts a worker remembers (at some 150 bytes each); then it forgets those met once.  Longer ones aren't remembered.
 REMEMBERED, LONGEST = 200_000, 32
 #: Symbols held in one ragged array.
 HELD = 1 << 20
@@ -76,6 +76,7 @@ class PieceMerger:
         # a pre-token: spaces and the joinable characters after them, or joinable characters, or others, each its own
         self.cut = re.compile(f"{SPACE}+[{edge.replace(re.escape(SPACE), '')}]*|[{edge.replace(re.escape(SPACE), '')}]+|[^{edge}]")
         self.known: dict[str, int] = {}
+        self.again: set[str] = set()
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or _NONE) and merged symbol of each pair."""
@@ -149,12 +150,16 @@ class PieceMerger:
         return int(sum(self.cost[s] for s in sym if s >= 0))
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # pre-tokens that came back stay
+            if len(self.again) > REMEMBERED // 2:
+                self.again.clear()
+            self.known = {p: self.known[p] for p in self.again}
         known, cut = self.known, self.cut.findall
         # every text gets a space in front; an inner word is cut only where a space follows something else
         parts = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {p for part in parts for p in part if p not in known}
+        own = set().union(*parts)
+        new = own.difference(known)
+        self.again.update(own.difference(new))
         todo, size = [], 0
         for p in new:
             if p[0] not in self.char:

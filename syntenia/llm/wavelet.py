@@ -37,14 +37,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import store
-from .ragged import lone, tidy
+from .ragged import blocks, lone, pieces, tidy
+from .ragged import words as word_places
 
 MAGIC = b"WMATRIX1"
 SHARD = 1 << 20
-#: Distinct words whose ids a worker remembers (at some 200 bytes each); then it forgets all.  Longer words aren't remembered.
-REMEMBERED, LONGEST = 150_000, 32
-#: Words encoded before it looks whether there are too many.
-STRETCH = 1 << 16
+#: Distinct words whose ids a worker remembers; then it forgets all.
+REMEMBERED = 1_000_000
 #: Letters of which neither normal form nor lower case ends in a combining mark, which would join what follows.
 LETTERS = re.compile("[À-ÖØ-öø-įıĲ-ɏ]").match
 #: ASCII characters that are neither letter, digit nor white space.
@@ -188,6 +187,7 @@ class Encoder:
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = np.dtype("<u2") if self.bits <= 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
+        self.memory = Memory(self.dtype)
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         # ids that end a run of letters
         suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=True)
@@ -238,28 +238,86 @@ class Encoder:
             self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
         return [w for w in need if w not in self.known]
 
+    def _ids_of(self, h: np.ndarray, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each word's ids begin, and how many they are; words that aren't there are encoded first."""
+        order = np.argsort(h)
+        s = h[order]
+        new = np.concatenate(([True], s[1:] != s[:-1]))
+        keys, one = s[new], order[new]
+        begin, size = self.memory.find(keys)
+        miss = np.flatnonzero(size < 0)
+        if len(miss):
+            words = [text[i:j] for i, j in zip(starts[one[miss]].tolist(), ends[one[miss]].tolist(), strict=True)]
+            self.known = {}
+            self.learn(set(words))
+            ids = [self.known[w] for w in words]
+            self.known = {}
+            begin[miss], size[miss] = self.memory.add(keys[miss], np.frombuffer(b"".join(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize)
+        place = np.empty(len(h), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return begin[place], size[place]
+
     def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
         # the vocabulary's text is lower case; texts with special strings or combining accents (U+0300 to U+037F) keep theirs for the library
-        split = [(t if not self.lowers or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
-        known, out, at = self.known, [], 0
-        while at < len(split):
-            to, size = at, 0
-            while to < len(split) and (to == at or size < STRETCH):
-                size += len(split[to])
-                to += 1
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = set().union(*split[at:to]).difference(known)
-            if new:
-                self.learn(new)
-            out += [b"".join(map(known.__getitem__, words)) + end for words in split[at:to]]
-            for w in new:
-                if len(w) > LONGEST:
-                    del known[w]
-            at = to
+        own = [t if not self.lowers or b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        out: list[bytes] = []
+        for i, j, run in blocks(own):
+            parts = pieces(run[0]) if j - i == 1 else [None]
+            rows: list[bytes] = []
+            for piece in parts:
+                part = run if piece is None else [piece]
+                w = word_places(part)
+                if len(self.memory) > REMEMBERED:
+                    self.memory = Memory(self.dtype)
+                begin, size = self._ids_of(w.hashes, b"\n".join(part), w.starts, w.ends) if len(w.hashes) else (np.empty(0, np.int64),) * 2
+                upto = np.concatenate(([0], np.cumsum(size)))
+                ids = self.memory.pool[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+                data, cut = ids.tobytes(), (upto[w.first] * self.dtype.itemsize).tolist()
+                rows += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            out += [b"".join(rows) + end] if len(parts) > 1 else [r + end for r in rows]
         return out
 
 
+class Memory:
+    """Ids of words by the words' hashes: sorted arrays, of some 25 bytes a word, and a few new words beside them."""
+
+    def __init__(self, dtype: np.dtype):
+        none = np.empty(0, np.int64)
+        self.parts = [(np.empty(0, np.uint64), none, none)] * 2  # many, and new ones
+        self.pool = np.empty(1 << 16, dtype)
+        self.used = 0
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _, _ in self.parts)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and number of each key's ids; -1 ids if it isn't there."""
+        begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for have, b, n in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = np.flatnonzero(have[at] == keys)
+                begin[hit], size[hit] = b[at[hit]], n[at[hit]]
+        return begin, size
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put ascending new keys with their ids; returns begin and number."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        self.parts[1] = self._joined(self.parts[1], (keys, begin, size))
+        if len(self.parts[1][0]) > 1 << 16:
+            self.parts = [self._joined(*self.parts), (keys[:0], begin[:0], size[:0])]
+        return begin, size
+
+    @staticmethod
+    def _joined(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        at = np.searchsorted(a[0], b[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(a, b, strict=True))
+
+
 def encoder_of(tokenizer_file: str) -> Encoder:
     """One encoder for each worker process, with what it remembers."""
     return lone(("encoder", tokenizer_file), lambda: Encoder(tokenizer_file))
