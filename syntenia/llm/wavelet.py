@@ -177,7 +177,9 @@ class WaveletMatrix:
 
 
 class Encoder:
-    """Ids of texts; equal to the library's on whole texts, as white space ends every word and is dropped."""
+    """Ids of texts; equal to the library's on whole texts, as white space ends every word and is dropped.
+
+    A word is known by a 64-bit hash of it: among a million words two meet with a chance of 3 in 10**8."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
