@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,29 @@ def test_pipeline_on_odd_rows(spark, bench, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/empty/documents.parquet")
     bench.write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_encoder_forgets_and_stays_right(monkeypatch):
+    """Words' ids are right whether they are remembered, forgotten, or beside the sorted ones."""
+    r = random.Random(5)
+    path = vocabulary("word_bpe_49k.json")
+    texts = [" ".join("".join(r.choice("abcé'") for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 60))) for _ in range(80)] + [LONG]
+    encoder = wavelet.Encoder(path)
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() + b"ee" for t in texts]
+    for most in (0, 40, 10**6):
+        monkeypatch.setattr(wavelet, "REMEMBERED", most)
+        encoder = wavelet.Encoder(path)
+        for at in range(0, len(texts), 7):
+            assert encoder.encode([t.encode() for t in texts[at : at + 7]], b"ee") == want[at : at + 7]
+    memory = wavelet.Memory(np.dtype("<u2"))
+    held = {}
+    for _ in range(40):
+        keys = np.setdiff1d(np.array([r.getrandbits(64) for _ in range(4000)], np.uint64), np.array(list(held), np.uint64))
+        size = np.array([r.randint(0, 3) for _ in keys])
+        ids = np.array([r.getrandbits(16) for _ in range(size.sum())], np.uint16)
+        memory.add(keys, ids, size)
+        held |= {k: x.tolist() for k, x in zip(keys.tolist(), np.split(ids, np.cumsum(size)[:-1]), strict=True)}
+    some = np.array([*r.sample(list(held), 500), 1, 2, 3], np.uint64)
+    begin, size = memory.find(some)
+    assert size[-3:].tolist() == [-1] * 3 and len(memory) == len(held)
+    assert all(memory.pool[b : b + n].tolist() == held[k] for k, b, n in zip(some[:-3].tolist(), begin.tolist(), size.tolist(), strict=False))
