@@ -20,7 +20,8 @@ and rows look up theirs by fingerprint.
 is out of their reach meets under a shingle: of a set of n, the first n - ceil(0.8 n) + 1 in any one order
 must hold a common one, and from there on there must be as many left in both as two similar sets share.  The order is
 frequent shingles last, so runs are short; a set is first compared with one member of its runs, one that has few rare
-shingles as an unedited copy has, and all of a run only across components that are still apart.  A set's name is a 64-bit hash of it,
+shingles as an unedited copy has, and all of a run only across components that are still apart, where parity maps of the
+sets do not show that they differ too much.  A set's name is a 64-bit hash of it,
 and sets are compared by 48 bits of each shingle, read again from the texts of candidate pairs only.
 
 Defined cases: null or empty text, or white space only, has fingerprint zero and
@@ -55,7 +56,9 @@ PART, LARGE = 1 << 16, 4096
 WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
 #: Copies that a task remembers, beyond which it repeats some; distinct shingles of a stretch; parts in which shingles are shuffled;
 #: turns in which a set is compared with one other before runs are compared in full.
-SEEN, STRETCH, PASSES, TURNS = 1 << 18, 1 << 18, 2, 4
+SEEN, STRETCH, PASSES, TURNS = 1 << 18, 1 << 18, 2, 2
+#: 64-bit words of a set's parity map.
+MAP = 4
 
 
 def bit_counts(digests: bytes) -> np.ndarray:
@@ -244,10 +247,16 @@ def _own(g: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh64_digest(g.tobytes(), SEED), "big", signed=True)
 
 
+def parity(g: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * MAP classes of shingles: whether the set has an odd number of it.  Sets that differ in d shingles have maps that differ in d bits at most."""
+    odd = np.bincount(((g >> np.uint64(20)) % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _digests(width: int, id_type: pa.DataType):
     """For each text its keys, id, the name of its set and its fingerprint; and shingles (in place of k) with their number
     where seen three times or more within a stretch, on which only an order depends, never a result."""
-    names = ["k", "l", "id", "own", "fp", "n"]
+    names = ["k", "l", "id", "own", "fp", "n", "map"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(STRETCH)
@@ -256,13 +265,13 @@ def _digests(width: int, id_type: pa.DataType):
             keys, n = tally.take()
             keys, n = keys[n > 2], n[n > 2]
             none = pa.nulls(len(n), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), none, pa.nulls(len(n), id_type), none, none, pa.array(n)], names)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), none, pa.nulls(len(n), id_type), none, none, pa.array(n), pa.nulls(len(n), pa.list_(pa.int64()))], names)
 
         for batch in batches:
             texts = lowered(batch.column(3))
             for i, j, found in shingle_sets(texts, width):
                 own, fps = [_own(g) for g in found], [fingerprint(t, width) for t in texts[i:j]]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(own, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(j - i, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(own, pa.int64()), pa.array(fps, pa.int64()), pa.nulls(j - i, pa.int64()), pa.array([parity(g) for g in found], pa.list_(pa.int64()))], names)
                 for g in found:
                     if tally.add(g):
                         yield often()
@@ -331,9 +340,9 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     """(k, l, id, root) for every row of ``rows`` (k, l, id, text), which must be the same whenever read."""
     spark = rows.sparkSession
     kind, id_type = dict(rows.dtypes)["id"], to_arrow_type(rows.schema["id"].dataType)
-    found = store.keep(rows.mapInArrow(tidy(_digests(width, id_type)), f"k long, l long, id {kind}, own long, fp long, n long"), "digests")
-    digests = found.filter("n IS NULL").select("k", "l", "id", "own", "fp")
-    reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("k", "l", "fp")).alias("r")).select("own", "r.k", "r.l", "r.fp"), "reps")
+    found = store.keep(rows.mapInArrow(tidy(_digests(width, id_type)), f"k long, l long, id {kind}, own long, fp long, n long, map array<long>"), "digests")
+    digests = found.filter("n IS NULL").select("k", "l", "id", "own", "fp", "map")
+    reps = store.keep(digests.groupBy("own").agg(F.min(F.struct("k", "l", "fp", "map")).alias("r")).select("own", "r.k", "r.l", "r.fp", *[F.col("r.map")[w].alias(f"m{w}") for w in range(MAP)]), "reps")
 
     def may_reach(n: str, at: str, m: str, to: str) -> Column:
         """Sets of these sizes whose first common shingle has these places may be similar enough: so many shingles are left from there on."""
@@ -387,11 +396,15 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
         best = star.groupBy("own").agg(F.max(F.struct("times", "v"))["v"].alias("v"))
         root = now(root, confirmed(best.select(F.col("own").alias("u"), "v")))
     # what is still apart is compared in full
-    parts = [store.keep(open_runs(p).select("s", "own", "n", "at", "root").dropDuplicates(["s", "own"]), "open") for p in range(PASSES)]
+    maps = [f"m{w}" for w in range(MAP)]
+    parts = [store.keep(open_runs(p).select("s", "own", "n", "at", "root").dropDuplicates(["s", "own"]).join(reps.select("own", *maps), "own").select("s", "own", "n", "at", "root", *maps), "open") for p in range(PASSES)]
     store.drop(prefixes)
-    a = reduce(DataFrame.unionByName, parts).toDF("s", "u", "nu", "au", "ru")
-    b = a.toDF("s", "v", "nv", "av", "rv")
-    met = a.join(b, (a["s"] == b["s"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_reach("nu", "au", "nv", "av"))
+    a = reduce(DataFrame.unionByName, parts).toDF("s", "u", "nu", "au", "ru", *[f"u{m}" for m in maps])
+    b = a.toDF("s", "v", "nv", "av", "rv", *[f"v{m}" for m in maps])
+    # as many shingles at least are in one set only as bits of the parity maps differ
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"u{m}").bitwiseXOR(F.col(f"v{m}"))) for m in maps])
+    may_be = may_reach("nu", "au", "nv", "av") & (apart <= F.lit((1 - similar) / (1 + similar)) * (F.col("nu") + F.col("nv")) + 1e-6)
+    met = a.join(b, (a["s"] == b["s"]) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & may_be)
     root = now(root, confirmed(met.select("u", "v").distinct()))
     store.drop(*parts)
     out = store.keep(digests.join(root, "own").select("k", "l", "id", "root"), "similar")
