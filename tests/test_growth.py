@@ -62,3 +62,7 @@ def test_similar_pairs_by_blocks(spark, monkeypatch):
             rows = P.similar_pairs(genes, 5, limit, block).collect()
             assert len(rows) == len(want) and all(abs(want[r.i, r.j] - r.sim) < 1e-12 for r in rows)
     assert P.similar_pairs(genes.limit(0), 5, 0.9).collect() == []
+
+
+def test_rescaled_pairs_are_not_joined_by_kmer(spark):
+    assert "kmer#" not in plan_of(Q.queries()["rescaled_sim"](spark, "/root/testdata/sf0.001"))
