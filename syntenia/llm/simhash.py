@@ -319,6 +319,46 @@ def _packed_sets(width: int):
     return run
 
 
+def wide_map(g: np.ndarray) -> bytes:
+    """A set's parity map of as many bits as it has shingles, rounded up to a power of two, 64 at least."""
+    bits = max(64, 1 << (len(g) - 1).bit_length()) if len(g) else 64
+    odd = np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many bits two wide maps differ, the larger folded to the smaller's bits: no more than their sets differ in shingles."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    small = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, small), axis=0) for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _wide_maps(width: int):
+    """(own, n, wide): size and wide parity map of each set of 48-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, found in shingle_sets(lowered(batch.column(1)), width):
+                sets = [distinct(g >> np.uint64(16)) for g in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(g) for g in sets], pa.int64()), pa.array([wide_map(g) for g in sets], pa.binary())], ["own", "n", "wide"])
+
+    return run
+
+
+def _may_be_alike(similar: float):
+    """(u, v) of the rows (u, v, nu, nv, wu, wv) whose wide maps do not show that they differ too much."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nu, nv, wu, wv = (batch.column(c).to_pylist() for c in range(2, 6))
+            good = [k for k in range(batch.num_rows) if differing(wu[k], wv[k]) <= (1 - similar) / (1 + similar) * (nu[k] + nv[k]) + 1e-6]
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["u", "v"])
+
+    return run
+
+
 def _alike(similar: float):
     """(u, v) of the rows (u, v, su, sv) whose sets are similar enough."""
 
@@ -351,14 +391,25 @@ def _similar_classes(rows: DataFrame, width: int, similar: float) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar enough; only texts that are in a pair are read again."""
         pairs = store.keep(pairs, "pairs")
-        own = pairs.select(F.col("u").alias("own")).union(pairs.select("v")).distinct()
-        wanted = store.keep(reps.join(own, "own", "left_semi").select("own", "k", "l"), "wanted")
-        texts = rows.select("k", "l", "text").join(store.small(wanted), ["k", "l"]).select("own", "text")
-        sets = store.keep(texts.mapInArrow(tidy(_packed_sets(width)), "own long, shingles binary").dropDuplicates(["own"]), "sets")
+
+        def of_texts(some: DataFrame, make, columns: str, label: str) -> tuple[DataFrame, DataFrame]:
+            """What ``make`` gives of each set in a pair, once."""
+            own = some.select(F.col("u").alias("own")).union(some.select("v")).distinct()
+            wanted = store.keep(reps.join(own, "own", "left_semi").select("own", "k", "l"), "wanted")
+            texts = rows.select("k", "l", "text").join(store.small(wanted), ["k", "l"]).select("own", "text")
+            return wanted, store.keep(texts.mapInArrow(tidy(make(width)), f"own long, {columns}").dropDuplicates(["own"]), label)
+
+        # most pairs are of unrelated texts, which their wide maps show; only the sets of the others, many times larger, are sent with each pair
+        wanted, maps = of_texts(pairs, _wide_maps, "n long, wide binary", "maps")
+        a, b = (maps.toDF(x, f"n{x}", f"w{x}") for x in ("u", "v"))
+        met = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "wu", "wv")
+        near = store.keep(met.mapInArrow(tidy(_may_be_alike(similar)), "u long, v long"), "maybe")
+        store.drop(pairs, wanted, maps)
+        wanted, sets = of_texts(near, _packed_sets, "shingles binary", "sets")
         a, b = (sets.toDF(x, f"s{x}") for x in ("u", "v"))
-        met = pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv")
+        met = near.join(a, "u").join(b, "v").select("u", "v", "su", "sv")
         out = store.keep(met.mapInArrow(tidy(_alike(similar)), "u long, v long"), "close")
-        store.drop(pairs, wanted, sets)
+        store.drop(near, wanted, sets)
         return out
 
     def now(root: DataFrame | None, close: DataFrame) -> DataFrame:
