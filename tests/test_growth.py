@@ -6,9 +6,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from syntenia import queries as Q
 from syntenia.functions import pairs as P
 from syntenia.operators import matrix as M
+from syntenia.operators import splitting as S
 
 
 def plan_of(df):
@@ -66,3 +69,43 @@ def test_similar_pairs_by_blocks(spark, monkeypatch):
 
 def test_rescaled_pairs_are_not_joined_by_kmer(spark):
     assert "kmer#" not in plan_of(Q.queries()["rescaled_sim"](spark, "/root/testdata/sf0.001"))
+
+
+def _cliques_by_scans(edges):
+    """The best edge, then again and again the best edge to a common neighbor, by a scan of all edges."""
+    ranked = sorted(edges, key=lambda e: (-e[2], -e[3], -e[4], e[0], e[1]))
+    near, out = {}, []
+    for i, j, *_ in ranked:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    left = set(near)
+    for i, j, *_ in ranked:
+        if i in left and j in left:
+            own, common = {i, j}, near[i] & near[j] & left
+            while common:
+                add = next(b if a in own else a for a, b, *_ in ranked if (a in own and b in common) or (b in own and a in common))
+                own.add(add)
+                common &= near[add]
+            out.append(sorted(own))
+            left -= own
+    return sorted(out + [[n] for n in left])
+
+
+def test_cliques_of_a_large_component(spark):
+    draw = random.Random(5)
+    for share in (0.2, 0.5, 0.9, 1.0):
+        edges = [(3 * i, 3 * j, draw.randint(0, 3), draw.randint(0, 2) / 2, draw.randint(0, 1)) for i in range(40) for j in range(i + 1, 40) if draw.random() < share]
+        assert sorted(S.extract_cliques(edges)) == _cliques_by_scans(edges)
+    parts = edges + [(1000 + i, 1000 + j, draw.randint(0, 3), 0.5, 0) for i in range(30) for j in range(i + 1, 30) if draw.random() < 0.4] + [(5000, 5001, 1, 0.5, 0)]
+    genes = spark.createDataFrame([(g,) for g in range(6000)], "gene_id long")
+    found = {}
+    for r in S.cliques(genes, spark.createDataFrame(parts, "i long, j long, n_sim long, s_sim double, g_sim long")).collect():
+        found.setdefault(r.root, []).append(r.gene_id)
+    assert all(root == min(own) for root, own in found.items()) and sorted(g for own in found.values() for g in own) == list(range(6000))
+    tied = {g for e in parts for g in e[:2]}
+    assert sorted(sorted(own) for own in found.values() if own[0] in tied) == _cliques_by_scans(parts)
+    # 1,200 nodes, all tied: some 720,000 edges; a scan of them for each new member of a clique took minutes
+    i, j = np.triu_indices(1200, 1)
+    at = np.random.default_rng(1).permutation(len(i))
+    nodes, root = S._grown(i[at][: len(i) // 2], j[at][: len(i) // 2])
+    assert len(nodes) == 1200 and len(np.unique(root)) < 300
