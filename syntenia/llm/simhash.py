@@ -58,7 +58,7 @@ WIDTH, SIMILAR, FREQUENT = 5, 0.8, 1 << 20
 #: turns in which a set is compared with one other before runs are compared in full.
 SEEN, STRETCH, PASSES, TURNS = 1 << 18, 1 << 18, 2, 2
 #: 64-bit words of a set's parity map.
-MAP = 4
+MAP = 16
 
 
 def bit_counts(digests: bytes) -> np.ndarray:

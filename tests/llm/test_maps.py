@@ -39,3 +39,13 @@ def test_unrelated_long_texts_send_no_sets(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in H.similar_duplicates(docs).collect()} == {k: 3 if k == 12 else k for k in range(13)}
     assert kept["pairs"] > 1 and kept["sets"] == 2
+
+
+def test_maps_part_sets_of_a_thousand_shingles():
+    draw = np.random.default_rng(8)
+    for n in (297, 801, 1503):  # Jaccard similarity 0.6, and 0.8
+        for both, apart in ((0.75, True), (8 / 9, False)):
+            g = np.unique(draw.integers(0, 1 << 63, n, np.uint64))
+            h = np.unique(np.concatenate([g[: round(both * n)], draw.integers(0, 1 << 63, n - round(both * n), np.uint64)]))
+            bits = int(np.bitwise_count((H.parity(g) ^ H.parity(h)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(g, h)) and (bits > 0.2 / 1.8 * (len(g) + len(h))) == apart
