@@ -132,3 +132,34 @@ def test_identity_candidates_by_blocks(spark, monkeypatch):
         assert len(rows) == len(want) and set(rows) == want
         assert "kmer#" not in plan_of(found)  # not joined by word
     assert C.identity_candidates(genes.limit(0), C.IdentityOptions()).collect() == []
+
+
+def test_neighborhood_pairs_by_parts(spark, monkeypatch):
+    draw = random.Random(11)
+    rows = []
+    for g in range(160):
+        flank = None if g % 40 == 7 else [draw.choice(["a", "b", "c", "d", None][: 4 + g % 2]) for _ in range(draw.randint(0, 5))]
+        rows.append((g * 7 % 160, draw.choice(["x", "x", "y", None]), draw.choice([1, 1, 2, 3, None]), draw.choice([90, 99, 100, 101, 109, 110, 120, 150, 1, None]), flank))
+    genes = spark.createDataFrame(rows, "gene_id long, group_id string, org_id long, width long, flank array<string>")
+
+    def want(apart, limit):
+        out = set()
+        for i, g, o, w, a in rows:
+            for j, h, p, x, b in rows:
+                if i < j and g == h is not None and None not in (w, x) and a and b and (not apart or (None not in (o, p) and o != p)) and abs(w - x) / (1 if limit >= 1 else min(w, x)) <= limit:
+                    n = sum(s == t for s, t in zip([s for s in a if s is not None and s in b], [t for t in b if t is not None and t in a], strict=False))
+                    if n:
+                        out.add((g, i, j, n))
+        return out
+
+    for part, tile in ((4096, 1 << 16), (7, 40)):
+        monkeypatch.setattr(S, "PART", part)
+        monkeypatch.setattr(S, "TILE", tile)
+        monkeypatch.setattr(S, "BATCH", tile)
+        for apart, limit in ((True, 0.1), (False, 0.1), (True, 0.0), (False, 9.0)):
+            found = S.neighborhood_similarity_of(genes, apart, limit)
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(set(got)) and set(got) == want(apart, limit)
+    # pairs are not made by a join and looked at one by one
+    assert "arrays" not in plan_of(found) and "zip_with" not in plan_of(found) and "flank_j" not in plan_of(found)
+    assert S.neighborhood_similarity_of(genes.limit(0), True, 0.1).collect() == []
