@@ -5,8 +5,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from syntenia import queries as Q
 from syntenia.functions import pairs as P
@@ -72,6 +74,28 @@ def test_rescaled_pairs_are_not_joined_by_kmer(spark):
     assert "kmer#" not in plan_of(Q.queries()["rescaled_sim"](spark, "/root/testdata/sf0.001"))
 
 
+def test_all_pairs_cut_each_sequence_once(spark, monkeypatch):
+    draw = random.Random(7)
+    base = ["".join(draw.choice(letters) for _ in range(300)) for letters in ("abcdef", "äöü中文\U0001f600z")]
+    own = [(f"g{k}", "".join(c if draw.random() > rate else "x" for c in base[k % 2])) for k, rate in enumerate([0.0, 0.01, 0.03, 0.2] * 25)] + [("ä", "a" * 70000), ("ö", "a" * 50000), ("short", "abc"), (None, "abcde"), ("none", None)]
+    genes = spark.createDataFrame(own, "gene_id string, sequence string")
+    spectra = {g: Counter(s[i : i + 5] for i in range(len(s) - 4)) for g, s in own if g and s and len(s) >= 5}
+    norm = {g: math.sqrt(sum(n * n for n in c.values())) for g, c in spectra.items()}
+    want = {(i, j): sum(n * spectra[j][w] for w, n in spectra[i].items()) / norm[i] / norm[j] for i in spectra for j in spectra if i < j}
+    want = {p: s for p, s in want.items() if s >= 0.8 - 1e-12}
+    for rows in (4096, 30, 20):  # one block, an even and an odd number of them
+        monkeypatch.setattr(P, "ROWS", rows)
+        found = P.similar_pairs(genes, 5, 0.8).collect()
+        assert len(found) == len(want) and all(abs(want[r.i, r.j] - r.sim) < 1e-12 for r in found)
+    # what is written of two blocks is enough for them to meet, without their texts
+    kept = [(g, s) for g, s in own if g in spectra]
+    one, two = (P._counted(5)(pa.table({"id": [g for g, _ in part], "text": [s for _, s in part], "part": pa.array([n] * len(part), pa.int32())})) for n, part in enumerate((kept[::2], kept[1::2])))
+    monkeypatch.setattr(P, "words", None)
+    met = [p for table in (one, two) for batch in P._alike(SimpleNamespace(value=one.to_pylist()[0]), 0, P.Cosine(0.8), ["i", "j", "sim"])(iter(table.to_batches())) for p in batch.to_pylist()]
+    first = {g for g, _ in kept[::2]}
+    assert {(min(p["i"], p["j"]), max(p["i"], p["j"])) for p in met} == {p for p in want if set(p) & first} and len(met) == sum(bool(set(p) & first) for p in want)
+
+
 def _cliques_by_scans(edges):
     """The best edge, then again and again the best edge to a common neighbor, by a scan of all edges."""
     ranked = sorted(edges, key=lambda e: (-e[2], -e[3], -e[4], e[0], e[1]))
