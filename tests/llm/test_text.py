@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from syntenia.llm import bloom_lm, decontaminate, language_id, queries, ragged, simhash, token_counts, toxicity, wavelet
+from syntenia.llm import bloom_lm, decontaminate, language_id, packed, queries, ragged, simhash, token_counts, toxicity, wavelet
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -284,6 +285,38 @@ def test_lm_drops_no_gram_of_a_large_corpus(spark):
     assert found[100]["score"] > 0.6 * found[100]["base_score"] and found[100]["score"] > found[101]["score"] + 3
 
 
+def test_packs_leave_out_zero_bytes():
+    own = [np.array([3, 0, 255], np.int64), np.empty(0, np.uint64), np.array([1, 2**63 + 5], np.uint64), np.array([256, 7], np.uint32), np.zeros(4, np.uint8)]
+    blob, types = packed.squeeze(*own), [a.dtype.type for a in own]
+    assert blob[24:29] == bytes([1, 0, 8, 2, 0])
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(own, packed.expand(blob, *types), strict=True))
+
+
+def test_lm_counts_without_a_sort_by_two_keys(monkeypatch):
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abcdefgh") * draw.randint(1, 3) for _ in range(draw.randint(0, 60))) for _ in range(300)]
+    grams = {k: Counter() for k in (1, 2, 3)}
+    for t in texts:
+        w = [*t.split(), None]
+        for k, own in grams.items():
+            own.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    monkeypatch.setattr(bloom_lm.np, "lexsort", None)
+    monkeypatch.setattr(bloom_lm, "HELD", 700)  # so that counts are given out in between
+    rows = [r for batch in bloom_lm._count(3, 5)(iter([pa.record_batch({"text": texts[:200]}), pa.record_batch({"text": texts[200:]})])) for r in batch.to_pylist()]
+    assert {r["bucket"] for r in rows} == set(range(5))
+    for k in (2, 3):
+        found, after = Counter(), {}
+        for r in rows:
+            if r["kind"] == k:
+                contexts, keys, n = bloom_lm.unpack([r["packed"]], np.uint64, np.uint32, np.int64)
+                assert (np.diff(contexts.astype(object)) >= 0).all()
+                for c, key, m in zip(contexts.tolist(), keys.tolist(), n.tolist(), strict=True):
+                    found[r["bucket"], key] += m
+                    assert after.setdefault((r["bucket"], key), c) == c
+        assert sorted(found.values()) == sorted(grams[k].values())
+        assert len(set(after.values())) == len({g[:-1] for g in grams[k]})
+
+
 def test_log_bloom():
     r = np.random.default_rng(5)
     keys, values = r.integers(0, 2**63, 20_000).astype(np.uint64), r.geometric(0.1, 20_000)
