@@ -187,3 +187,20 @@ def test_neighborhood_pairs_by_parts(spark, monkeypatch):
     # pairs are not made by a join and looked at one by one
     assert "arrays" not in plan_of(found) and "zip_with" not in plan_of(found) and "flank_j" not in plan_of(found)
     assert S.neighborhood_similarity_of(genes.limit(0), True, 0.1).collect() == []
+
+
+def test_levels_rule_out_most_pairs(spark):
+    draw = random.Random(13)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9))) for _ in range(400)]
+    prose = [" ".join(draw.choice(words) for _ in range(draw.choice((20, 100, 500)))) for _ in range(400)]
+    texts = [t if n % 4 else prose[0] + t[:60] for n, t in enumerate(prose)] + ["ab" * 300, "ab" * 5]
+    one = P._counted(5, 0.9)(pa.table({"id": list(range(len(texts))), "text": texts, "part": pa.array([0] * len(texts), pa.int32())})).to_pylist()[0]
+    block = P._Counted(one, np.empty(0, np.uint64))
+    left = {(x, y) for a in block.chunks() for b in block.chunks() for x, y in zip(*P._open(block, a, block, b, P.Cosine(0.9), (-1, 0)), strict=True)}
+    spectra = [Counter(texts[n][i : i + 5] for i in range(len(texts[n]) - 4)) for n in block.ids.to_pylist()]
+    norm = [math.sqrt(sum(n * n for n in c.values())) for c in spectra]
+    want = {(x, y) for x, a in enumerate(spectra) for y, b in enumerate(spectra) if sum(n * b[w] for w, n in a.items()) >= 0.9 * norm[x] * norm[y]}
+    assert want <= left and len(left) < 0.6 * len(texts) ** 2
+    # blocks of unlike sequences never meet
+    far = P._Coarse(P._counted(5, 0.9)(pa.table({"id": [0], "text": ["äöü中文ß" * 40 + "xyz"], "part": pa.array([1], pa.int32())})).to_pylist()[0])
+    assert not any(len(P._open(far, (0, 1), block, y, P.Cosine(0.9), (-1, 0))[0]) for y in block.chunks())
