@@ -204,3 +204,10 @@ def test_levels_rule_out_most_pairs(spark):
     # blocks of unlike sequences never meet
     far = P._Coarse(P._counted(5, 0.9)(pa.table({"id": [0], "text": ["äöü中文ß" * 40 + "xyz"], "part": pa.array([1], pa.int32())})).to_pylist()[0])
     assert not any(len(P._open(far, (0, 1), block, y, P.Cosine(0.9), (-1, 0))[0]) for y in block.chunks())
+
+
+def test_neighborhood_parts_are_sent_few_times(spark):
+    genes = spark.range(40_000).selectExpr("id AS gene_id", "'x' AS group_id", "id % 7 AS org_id", "1 AS width", "array('a', 'b') AS flank")
+    rows, key = S._meetings(genes, True, 0.1)
+    # a group of 40,000 has two parts, each of which meets itself and the other
+    assert rows.count() <= 3 * 40_000 and rows.select(*key).distinct().count() == 3
