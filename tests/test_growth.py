@@ -211,3 +211,21 @@ def test_neighborhood_parts_are_sent_few_times(spark):
     rows, key = S._meetings(genes, True, 0.1)
     # a group of 40,000 has two parts, each of which meets itself and the other
     assert rows.count() <= 3 * 40_000 and rows.select(*key).distinct().count() == 3
+
+
+def test_leaders_without_a_task_for_a_component(spark, monkeypatch):
+    draw = random.Random(17)
+    ids = draw.sample(range(1000), 60)
+    texts = {g: f"{draw.choice('abäz中')}{draw.randint(0, 20)}" for g in ids}
+    edges = [(i, j) for i in ids for j in ids if i < j and draw.random() < 0.15]
+    near, leader, when = {g: {x for e in edges if g in e for x in e if x != g} for g in ids}, {}, []
+    for g in sorted(ids, key=lambda g: (texts[g].encode(), g)):
+        mine = [x for x in when if x in near[g]]
+        leader[g] = mine[-1] if mine else g
+        when += [g] if not mine else []
+    one = spark.createDataFrame([(g, t) for g, t in texts.items()] + [(5000, "b"), (5001, None)], "gene_id long, sequence string")
+    links = spark.createDataFrame(edges, "i long, j long")
+    for scanned, rounds in ((0, 25), (0, 1), (10**6, 25)):  # all by rounds; one round and a scan; a scan
+        monkeypatch.setattr(C, "SCANNED", scanned)
+        monkeypatch.setattr(C, "ROUNDS", rounds)
+        assert {r.gene_id: r.leader for r in C._led(one, links).collect()} == leader | {5000: 5000, 5001: 5001}
