@@ -229,3 +229,15 @@ def test_leaders_without_a_task_for_a_component(spark, monkeypatch):
         monkeypatch.setattr(C, "SCANNED", scanned)
         monkeypatch.setattr(C, "ROUNDS", rounds)
         assert {r.gene_id: r.leader for r in C._led(one, links).collect()} == leader | {5000: 5000, 5001: 5001}
+
+
+def test_rescaled_pairs_come_by_languages(spark, monkeypatch):
+    dealt, real = [], P._dealt
+
+    def seen(own):
+        dealt.append({r.kind for r in own.select("kind").distinct().collect()})
+        return real(own)
+
+    monkeypatch.setattr(P, "_dealt", seen)
+    Q.queries()["rescaled_sim"](spark, "/root/testdata/sf0.001")
+    assert dealt and {"en", "de", "fr", "es"} <= dealt[0]
